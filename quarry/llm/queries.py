@@ -9,8 +9,49 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
 from quarry.llm.common import table, text_bytes
+from quarry.llm.quality_rules import apply_rules
 from quarry.llm.sharding import external_shuffle
 from quarry.llm.token_counts import count_tokens
+from quarry.llm.toxicity import held_out, score, train
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), statistics=True)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), spots AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM docs WHERE len(w) >= 3
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM spots
+), repeats AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE n > 1) GROUP BY doc_id
+), words AS (
+  SELECT doc_id, max(n) AS top_word FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM docs) GROUP BY ALL) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+  SELECT doc_id, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(top_word, 0)::BIGINT AS top_word,
+    length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS upper_letters, length(regexp_replace(text, '[^\p{Lu}\p{Ll}]', '', 'g')) AS letters
+  FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    10 * n_symbols > n_words OR 10 * n_dup_lines > 4 * n_lines OR 2 * upper_letters > letters
+      OR 10 * top_word > 3 * n_words OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words AS failed
+  FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept FROM judged
+"""
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +106,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_token_counts": op8_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
 }
