@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
 from quarry.llm.common import table, text_bytes
+from quarry.llm.packing import pack
 from quarry.llm.quality_rules import apply_rules
 from quarry.llm.sharding import external_shuffle
 from quarry.llm.token_counts import count_tokens
@@ -101,6 +102,11 @@ FROM hostile
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op10_toxicity": op10_toxicity,
 }
