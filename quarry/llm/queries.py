@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
 from quarry.llm.common import table, text_bytes
+from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack
 from quarry.llm.quality_rules import apply_rules
 from quarry.llm.sharding import external_shuffle
@@ -16,6 +17,41 @@ from quarry.llm.token_counts import count_tokens
 from quarry.llm.toxicity import held_out, score, train
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, k=3, threshold=0.85)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) >= 3)
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 2
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n
+  HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM docs
+  UNION
+  SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y
+), least AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN least ON x = doc_id
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), statistics=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -119,6 +155,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
@@ -128,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
 }
