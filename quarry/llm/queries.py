@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
 from quarry.llm.common import table, text_bytes
+from quarry.llm.decontamination import overlaps
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack
 from quarry.llm.quality_rules import apply_rules
@@ -17,6 +18,11 @@ from quarry.llm.token_counts import count_tokens
 from quarry.llm.toxicity import held_out, score, train
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, k=3, threshold=0.85)
@@ -155,6 +161,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
