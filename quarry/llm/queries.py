@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
 from quarry.llm.common import table, text_bytes
 from quarry.llm.decontamination import overlaps
+from quarry.llm.html_text import extract_text
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack
 from quarry.llm.quality_rules import apply_rules
 from quarry.llm.sharding import external_shuffle
 from quarry.llm.token_counts import count_tokens
 from quarry.llm.toxicity import held_out, score, train
+from quarry.llm.warc_fixity import audit, warc_record
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.col("text"), F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, k=3, threshold=0.85)
@@ -154,6 +161,41 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit of a replica in which one record in 256 (by its address) has a byte overwritten."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kept = pages.select(F.col("page_id").alias("id"), warc_record(F.col("url"), F.col("html")).alias("record"))
+    hit = F.md5(F.coalesce("url", F.lit(""))).startswith("00")
+    rotten = F.overlay("record", F.lit("#"), F.lit(2))
+    replica = pages.select(F.col("page_id").alias("id"), "url", warc_record(F.col("url"), F.col("html")).alias("record"))
+    replica = replica.select("id", F.when(hit, rotten).otherwise(F.col("record")).alias("record"))
+    return audit(kept, replica).withColumnRenamed("id", "page_id")
+
+
+OP9_SQL = r"""
+WITH made AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body, sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) AS u FROM pages
+), records AS (
+  SELECT page_id, url, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:'
+    || u[1:8] || '-' || u[9:12] || '-' || u[13:16] || '-' || u[17:20] || '-' || u[21:32] || '>' || chr(13) || chr(10)
+    || 'WARC-Date: 2026-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10)
+    || body || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM made
+), dealt AS (
+  SELECT page_id, strlen(record) AS size, sha256(record) AS digest,
+    CASE WHEN md5(url)[1:2] = '00' THEN sha256(record[1:1] || '#' || record[3:]) ELSE sha256(record) END AS replica_digest,
+    md5(url)[1:2] <> '00' AS intact,
+    ('0x' || md5(page_id::VARCHAR)[1:8])::BIGINT % (SELECT greatest(1, ceil(sum(strlen(record)) / 67108864.0))::BIGINT FROM records) AS archive
+  FROM records
+)
+SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY page_id, digest) - 1 AS ordinal, page_id,
+  (sum(size) OVER w - size)::BIGINT AS first, (sum(size) OVER w)::BIGINT AS last, digest, replica_digest, intact
+FROM dealt
+WINDOW w AS (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
@@ -162,12 +204,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -175,4 +219,5 @@ ORACLES: dict[str, str] = {
     "op3_near_dedup": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op9_warc_fixity": OP9_SQL,
 }
