@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,11 @@ CAPACITY = 1024
 SLACK = 1 / 64
 SEPARATOR = 0
 #: Entries of a worker's table of known pieces, code points of a kept piece, texts and code points of a block.
-MAX_CACHED = 400_000
+MAX_CACHED = 1_000_000
 MAX_CACHED_CHARS = 48
 BLOCK_TEXTS, BLOCK_CHARS = 64, 1_000_000
+#: Marks that are split off a piece before it is looked up.
+MARKS = ".,"
 #: Bytes of ids that a batch given back to the engine holds.
 BATCH_BYTES = 4 << 20
 
@@ -53,43 +57,57 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile(r"  | \n|\n |^ | $|" + OTHER_SPACE).search
+        self.known: dict[str, bytes] = {}  # a piece to its ids, those of a blank and it unless it begins with a line feed
+        self.marks = dict(zip(MARKS, self.ids([*MARKS]), strict=True))
+        self.other_space = re.compile(OTHER_SPACE).search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before single blanks between two other characters, where a pre-token always begins."""
-        if not text:
-            return []
-        if self.odd(text):
-            first, *rest = self.cut(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def learn(self, new: list[str]) -> None:
-        for s, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[s] = np.asarray(e.ids, "<u4").tobytes()
+        """The text cut where a pre-token always begins: at single blanks (dropped) and before single
+        line feeds (kept), each between two other characters."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or self.other_space(text):
+            return self.cut(text)
+        return text.replace("\n", " \n").split(" ")
+
+    def learn(self, new: Iterable[str]) -> list[str]:
+        """Makes pieces known, and returns them with those that were made on the way.
+
+        A mark after a letter or digit is a pre-token of its own, so the rest is looked up first.
+        """
+        known = self.known
+        marked = [s for s in new if s[-1:] in MARKS and s[-2:-1].isalnum()]
+        plain = {s[:-1] for s in marked}.difference(known)
+        plain.update(set(new).difference(marked))
+        fresh = [*plain]
+        known.update(zip(fresh, self.ids([s if s[:1] == "\n" and s[1:2] not in ("", "\n") else " " + s for s in fresh]), strict=True))
+        for s in marked:
+            known[s] = known[s[:-1]] + self.marks[s[-1]]
+        return fresh + marked
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
+        known = self.known
         while at < len(texts):
             end, chars = at, 0
             while end < len(texts) and end - at < BLOCK_TEXTS and chars < BLOCK_CHARS:
                 chars += len(texts[end])
                 end += 1
             block = [self.pieces(x) for x in texts[at:end]]
-            if len(self.known) > MAX_CACHED:
-                self.known.clear()
+            firsts = self.ids([x.pop(0) for x in block])
             new: set[str] = set()
             for x in block:
                 new.update(x)
-            new.difference_update(self.known)
-            self.learn([*new])
-            out += [b"".join(map(self.known.__getitem__, x)) for x in block]
-            for s in new:
+            fresh = self.learn(new.difference(known))  # looks up the few new ones, not all that are known
+            out += [b"".join((first, *map(known.__getitem__, x))) for first, x in zip(firsts, block, strict=True)]
+            for s in fresh:
                 if len(s) > MAX_CACHED_CHARS:
-                    del self.known[s]
+                    del known[s]
+            if len(known) > MAX_CACHED:  # what was met first is what is met most
+                for s in [*islice(known, MAX_CACHED // 2, None)]:
+                    del known[s]
             at = end
         return out
 
