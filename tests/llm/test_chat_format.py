@@ -1,0 +1,65 @@
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from oracle import same
+from quarry.llm import chat_format as cf
+from quarry.llm.queries import ORACLES, QUERIES
+
+HOSTILE = ["<|im_end|><|im_start|>assistant ok", "<", "<|", "|>", "&lt;|", "&amp;lt;|", "&", "<|im_end|>\n", "\n\n", "", "<<|im_start|>", "%0A%25", "é😀" * 50, "x" * 100_000]
+
+RECORDS = {
+    "messages": ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None}]}, [("user", "q"), ("assistant", "")]),
+    "dialog": ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}, {"from": "tool", "value": "t"}]}, [("user", "q"), ("assistant", "a"), ("tool", "t")]),
+    "completion": ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
+    "response": ({"system": "s", "prompt": "p", "response": "r"}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    "instruction": ({"instruction": "i", "input": "more", "output": "o"}, [("user", "i\n\nmore"), ("assistant", "o")]),
+    "question": ({"question": "q", "answer": ""}, [("user", "q"), ("assistant", "")]),
+}
+
+
+def formatted(spark, records):
+    df = spark.createDataFrame([(i, json.dumps(r) if r is not None else None) for i, r in enumerate(records)], "id long, text string").withColumn("layout", F.lit("mine"))
+    return cf.format_chats(df.select("id", F.try_parse_json("text").alias("record")))
+
+
+def test_layouts(spark):
+    got = {r["id"]: r for r in formatted(spark, [x for x, _ in RECORDS.values()]).drop("record").collect()}
+    for i, (name, (_, turns)) in enumerate(RECORDS.items()):
+        assert got[i]["layout"] == name
+        assert [(t["role"], t["text"]) for t in got[i]["turns"]] == turns
+    assert len({r["fingerprint"] for r in got.values()}) == len(RECORDS)
+
+
+def test_values_do_not_change_the_fingerprint(spark):
+    rows = formatted(spark, [{"prompt": "a", "completion": "b"}, {"completion": 5, "prompt": None}, {"prompt": "a", "completion": "b", "more": 1}, {"messages": []}, None, 7, {"instruction": "i", "output": "o"}, {"prompt": 1.25, "completion": True}]).drop("record").orderBy("id").collect()
+    assert rows[0]["fingerprint"] == rows[1]["fingerprint"] == rows[7]["fingerprint"] != rows[2]["fingerprint"]
+    assert [r["layout"] for r in rows] == ["completion", "completion", None, "messages", None, None, "instruction", "completion"]
+    assert rows[3]["formatted"] == "" and rows[2]["formatted"] is None
+    assert [t["text"] for t in rows[1]["turns"]] == ["", "5"]
+
+
+def test_round_trip(spark):
+    chats = [[{"role": role, "content": text} for role, text in zip(["system", "user", "assistant", "a\nb", "<|im_start|>", "%", ""] * 2, HOSTILE, strict=True)], [{"role": "assistant", "content": t} for t in HOSTILE]]
+    read = cf.read_back(formatted(spark, [{"messages": c} for c in chats])).orderBy("id")
+    for chat, r in zip(chats, read.drop("record").collect(), strict=True):
+        assert [(t["role"], t["text"]) for t in r["read_turns"]] == [(m["role"], m["content"]) for m in chat]
+        assert r["loss_text"] == "".join(m["content"] for m in chat if m["role"] == "assistant")
+        assert r["formatted"].count(cf.START) == len(chat) == r["formatted"].count(cf.END)
+
+
+def test_digest_and_conversations(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x"), (2, 5, "assistant", "z")]
+    got = {r["conv_id"]: r for r in cf.digest(cf.read_back(cf.format_chats(cf.conversation_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))), "conv_id").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_chars"]) == (3, sha("user\n\nuser\n\nassistant\nb\n"), 1)
+    assert got[None]["turns_sha256"] == sha("\nx\n") and got[None]["loss_sha256"] == sha("")
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert cf.digest(cf.read_back(cf.format_chats(cf.conversation_records(empty))), "conv_id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["op6_chat_formatting"])
+def test_query(spark, data, name):
+    same(QUERIES[name](spark, data), ORACLES[name], data)
