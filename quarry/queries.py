@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as fn
 from quarry.operators import compare, index, keywords, search, suggest, tree
 from quarry.plans.spec import SearchSpec, encode_cursor
-from quarry.sources.items import parsed_files, picked_preview, since, with_file_facts
+from quarry.sources.items import file_changes as changes_of_files
+from quarry.sources.items import fingerprinted, parsed_files, picked_preview, since, with_file_facts
 from quarry.sources.keyword_files import ascii_terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,6 +352,15 @@ def incremental_sync_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files.
 
 
+@query("SELECT doc_id AS id, CASE WHEN doc_id >= 150 THEN 'new' ELSE 'changed' END AS kind FROM documents WHERE doc_id >= 150 OR doc_id % 7 = 0")
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh writes, when the store lacks some items and holds other texts of some."""
+    now = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("files"))
+    old = now.where("id < 150").withColumn("files", F.when(F.col("id") % 7 == 0, F.concat("files", F.lit("!"))).otherwise(F.col("files")))
+    found = changes_of_files(now, fingerprinted(old))
+    return found.new.select("id", F.lit("new").alias("kind")).unionByName(found.changed.select("id", F.lit("changed").alias("kind")))
+
+
 @query(
     f"""SELECT id, count(*)::INTEGER AS file_count, string_agg(path, chr(10) ORDER BY pos) AS body,
   string_agg(path, chr(10) ORDER BY pos) FILTER (pos <= 8) AS preview FROM ({FILES}) GROUP BY id"""
@@ -476,13 +486,14 @@ def url_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Suggestions and display.
 
-_RANKED = f"SELECT term, row_number() OVER (ORDER BY doc_count DESC, occurrences DESC, term) - 1 AS rank FROM ({STATS}) WHERE doc_count >= 3 AND regexp_full_match(term, '[a-z0-9]+')"
+_RANKED = f"SELECT term, row_number() OVER (ORDER BY doc_count DESC, occurrences DESC, term) - 1 AS rank FROM ({STATS}) WHERE doc_count >= 3 AND regexp_full_match(term, '[a-z0-9]+') ORDER BY rank LIMIT 100000"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ranked word list of ASCII terms (of others DuckDB counts edits in bytes)."""
+    """A ranked word list of ASCII terms (of others DuckDB counts edits in bytes). The ranking is bounded before it is numbered."""
     order = Window.orderBy(F.desc("doc_count"), F.desc("occurrences"), "term")
-    return _stats(spark, sf_dir).where("doc_count >= 3 and term rlike '^[a-z0-9]+$'").select("term", (F.row_number().over(order) - 1).alias("rank"))
+    top = keywords.top_keywords(_stats(spark, sf_dir).where("term rlike '^[a-z0-9]+$'"), min_docs=3)
+    return top.select("term", (F.row_number().over(order) - 1).alias("rank"))
 
 
 def _score_sql(t: str) -> str:

@@ -56,10 +56,10 @@ class Sync:
         name = f"{high}-{uuid.uuid4().hex[:12]}"
         at = lambda part: self.store.place(name, part)
         items = fingerprinted(with_file_facts(rows)).withColumns({"name": F.coalesce("name", F.lit("")), "total_size": F.coalesce("total_size", F.lit(0)), "fetched_at": F.coalesce("fetched_at", F.lit(0))})
-        self._step(result, "files", lambda: items.select("id", "files", "file_list", "preview", "body", "fingerprint").write.mode("overwrite").parquet(at("files")))
+        self._step(result, "files", lambda: items.select("id", "name", "files", "file_list", "preview", "body", "fingerprint").write.mode("overwrite").parquet(at("files")))
         self._step(result, "docs", lambda: items.select("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count").write.mode("overwrite").parquet(at("docs")))
         spark = self.store.spark
-        texts = spark.read.parquet(at("docs")).select("id", "name").join(spark.read.parquet(at("files")).select("id", "body"), "id")
+        texts = spark.read.parquet(at("files")).select("id", "name", "body")
         terms = postings(texts)
         self._step(result, "postings", lambda: terms.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(at("postings")))
         self._step(result, "doc_stats", lambda: doc_stats(texts).write.mode("overwrite").parquet(at("doc_stats")))
