@@ -118,18 +118,27 @@ def hash_hits(items: DataFrame, text: str, column: str = "infohash") -> DataFram
     return items.where((low == own) | (low == "hash" + own) | low.startswith(own))
 
 
-def matching(items: DataFrame, spec: SearchSpec, index: Index | None = None) -> DataFrame:
-    """All items that a spec matches, sizes included, with score if it sorts by relevance."""
+def matching(items: DataFrame, spec: SearchSpec, index: Index | None = None, paged: bool = False) -> DataFrame:
+    """All items that a spec matches, sizes included, with score if it sorts by relevance.
+
+    ``paged``: only those after the spec's cursor. Ranges and cursors are tested before texts
+    are looked at; only a ranking's totals need every item.
+    """
+    near = size_range(spec)
+    past = after_cursor(spec) if paged else None
+    if past is not None:
+        near = near & past
     if spec.by == "hash":
         if spec.sort_by == "relevance":
             raise ValueError("hash look-ups have no relevance")
-        found = hash_hits(items, spec.query)
-    elif index is None:
-        found = scan_ranked(items, spec.query, spec.search_in) if spec.sort_by == "relevance" else scan_hits(items, spec.query, spec.search_in)
-    else:
-        hits = index_ranked(index, spec.query, spec.search_in) if spec.sort_by == "relevance" else index_hits(index, spec.query, spec.search_in)
-        found = items.join(hits.select("id", *(["score"] if spec.sort_by == "relevance" else [])), "id")
-    return found.where(size_range(spec))
+        return hash_hits(items.where(near), spec.query)
+    by_score = spec.sort_by == "relevance"
+    if index is None:
+        if by_score:
+            return scan_ranked(items, spec.query, spec.search_in).where(near)
+        return scan_hits(items.where(near), spec.query, spec.search_in)
+    hits = index_ranked(index, spec.query, spec.search_in) if by_score else index_hits(index, spec.query, spec.search_in)
+    return items.where(near).join(hits.select("id", *(["score"] if by_score else [])), "id")
 
 
 def whole_set_cap(most: int | None = None) -> int:
@@ -178,7 +187,7 @@ def search(
     spec = SearchSpec.of(raw)
     found = matching(items, spec, index)
     total = count(spec, found) if count else found.count()
-    top = page(found, spec, most)
+    top = page(matching(items, spec, index, paged=True) if spec.cursor else found, spec, most)
     listed = [c for c in LISTED if c in found.columns] + (["score"] if "score" in found.columns else [])
     top = top.select(*listed)
     if previews is not None:

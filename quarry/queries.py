@@ -275,7 +275,7 @@ def search_size_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page(items: DataFrame, columns: list[str], **spec) -> DataFrame:
     own = SearchSpec.of(spec)
-    return search.page(search.matching(items, own), own).select(*columns)
+    return search.page(search.matching(items, own, paged=True), own).select(*columns)
 
 
 @query(f"SELECT id, total_size FROM ({_hits_sql('the')}) WHERE {_where('the')} ORDER BY total_size DESC, id DESC LIMIT 60")
