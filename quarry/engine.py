@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from quarry.sources.keyword_files import read_keywords, write_keywords
 from quarry.streaming.store import Store
 from quarry.streaming.sync import Result, Sync
 
-#: Totals that are remembered, by state and search.
-KNOWN_TOTALS = 200
+#: Totals and pages that are remembered, by state and search.
+KNOWN_TOTALS, KNOWN_PAGES = 200, 200
 
 
 class Keywords:
@@ -77,6 +78,7 @@ class Engine:
         self.runs = Sync(self.store)
         self.keywords = Keywords(self)
         self._totals: OrderedDict[Any, int] = OrderedDict()
+        self._pages: OrderedDict[Any, Response] = OrderedDict()
 
     def rebuild(self, source: DataFrame) -> Result:
         return self.runs.rebuild(source)
@@ -94,19 +96,42 @@ class Engine:
     def index(self) -> Index:
         return Index(self.read("docs"), self.read("postings"), self.read("doc_stats"), self.read("corpus"))
 
-    def _total(self, spec: SearchSpec, found: DataFrame) -> int:
+    def _state(self) -> tuple:
+        """Changes with every commit, so what is remembered under it is never stale."""
         state = self.store.manifest()
-        key = (state.version, state.watermark, len(state.segments), spec.without_paging())
-        if key not in self._totals:
-            self._totals[key] = found.count()
-            while len(self._totals) > KNOWN_TOTALS:
-                self._totals.popitem(last=False)
-        self._totals.move_to_end(key)
-        return self._totals[key]
-
-    def search(self, raw: SearchSpec | dict | None = None, **more: Any) -> Response:
+        return state.version, state.watermark, tuple(s.name for s in state.segments)
+
+    @staticmethod
+    def _remembered(known: OrderedDict, key: Any, most: int, make: Callable[[], Any]) -> Any:
+        if key not in known:
+            known[key] = make()
+            while len(known) > most:
+                known.popitem(last=False)
+        known.move_to_end(key)
+        return known[key]
+
+    def _total(self, spec: SearchSpec, found: DataFrame) -> int:
+        return self._remembered(self._totals, (self._state(), spec.without_paging()), KNOWN_TOTALS, found.count)
+
+    def search(self, raw: SearchSpec | dict | None = None, tag: str | None = None, **more: Any) -> Response:
+        """One page. Pages are remembered, whole sets are not. A search with a tag can be cancelled by it."""
         spec = SearchSpec.of(raw, **more)
-        return search(self.read("docs"), spec, self.read("files").select("id", "preview"), self.index(), count=self._total)
+
+        def run() -> Response:
+            return search(self.read("docs"), spec, self.read("files").select("id", "preview"), self.index(), count=self._total)
+
+        context = self.spark.sparkContext
+        if tag:
+            context.addJobTag(tag)
+        try:
+            return run() if spec.whole else self._remembered(self._pages, (self._state(), spec), KNOWN_PAGES, run)
+        finally:
+            if tag:
+                context.removeJobTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        """Ends the searches that run under a tag."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def latest(self, limit: Any = None, offset: Any = None) -> Response:
         n, skip = latest_page(limit, offset)

@@ -133,3 +133,12 @@ def test_empty_source(spark, tmp_path):
     assert e.stats()["items"] == 0
     e.sync(spark.createDataFrame(SECOND, ITEM_SCHEMA))
     assert e.count() == 2
+
+
+def test_pages_are_remembered_until_the_state_changes(spark, engine):
+    first = engine.search(query="movie", tag="one")
+    assert engine.search(query="movie") is first
+    assert engine.search(query="movie", limit="all") is not engine.search(query="movie", limit="all")
+    engine.sync(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
+    assert engine.search(query="movie").total == 2
+    engine.cancel("one")
