@@ -45,6 +45,7 @@ SKETCH_BITS = 512
 #: Estimates so far below the threshold still count as candidates: about six standard deviations.
 MARGIN = 0.18
 MAX_BUCKET = 20_000
+SALTS = 32
 BLOCK_SHINGLES = 1_000_000
 
 _MIN_XOR = numbers(41, 1024)
@@ -109,32 +110,23 @@ def clusters(sketches: np.ndarray, most: int) -> np.ndarray:
     return first
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
-    """Rows that follow each other with the same first column, batches joined.
-
-    A run of over ``most`` rows comes in parts, each with True.
-    """
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that follow each other with the same first column, batches joined."""
     held: list[pa.RecordBatch] = []
-    last, rows, parted = None, 0, False
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for a, b in zip(edges, edges[1:]):
-            if rows and keys[a] != last:
-                if held:
-                    yield pa.Table.from_batches(held), parted
-                held, rows, parted = [], 0, False
+            if held and keys[a] != last:
+                yield pa.Table.from_batches(held)
+                held = []
             last = keys[a]
             held.append(batch.slice(a, b - a))
-            rows += b - a
-            if most is not None and rows > most:
-                parted = True
-                yield pa.Table.from_batches(held), True
-                held = []
     if held:
-        yield pa.Table.from_batches(held), parted
+        yield pa.Table.from_batches(held)
 
 
 class _Edges:
@@ -179,28 +171,28 @@ def features(docs: DataFrame, k: int, n: int, rows: int = ROWS, key: str = "doc_
 
 
 def _candidate_edges(classes: DataFrame, most: int) -> DataFrame:
-    """(u, v): inside each band bucket, stars of the classes that odd sketches connect."""
+    """(u, v): inside each band bucket, stars of the classes that odd sketches connect.
+
+    A bucket too large for one task becomes a star around its smallest id by a join, which
+    may be split over tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, center = _Edges(), None
-        for bucket, parted in _runs(batches, MAX_BUCKET):
+        edges = _Edges()
+        for bucket in _runs(batches):
             ids = bucket.column(1).to_numpy()
-            if parted:
-                band = bucket.column(0)[0].as_py()
-                if center is None or center[0] != band:
-                    center = (band, ids[0])
-                edges.star(ids, np.full(len(ids), center[1]))
-            else:
-                sketches = np.frombuffer(b"".join(bucket.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
-                edges.star(ids, ids[clusters(sketches, most)])
+            sketches = np.frombuffer(b"".join(bucket.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
+            edges.star(ids, ids[clusters(sketches, most)])
             yield from edges.batch(20_000)
         yield from edges.batch()
 
     members = classes.select("id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").count().where("count > 1").select("band")
-    shared = members.join(shared, "band").join(classes.select("id", "sketch"), "id").select("band", "id", "sketch")
-    shared = shared.repartition("band").sortWithinPartitions("band", "id")
-    return shared.mapInArrow(run, "u long, v long").distinct()
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    shared = checkpoint(members.join(shared, "band"))
+    stars = shared.where(F.col("n") > MAX_BUCKET).select(F.col("id").alias("u"), F.col("least").alias("v"))
+    small = shared.where(F.col("n") <= MAX_BUCKET).join(classes.select("id", "sketch"), "id").select("band", "id", "sketch")
+    small = small.repartition("band").sortWithinPartitions("band", "id")
+    return small.mapInArrow(run, "u long, v long").unionByName(stars).distinct()
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -243,7 +235,7 @@ def _confirmed_edges(docs: DataFrame, groups: DataFrame, classes: DataFrame, k:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _Edges()
-        for group, _ in _runs(batches):
+        for group in _runs(batches):
             ids = group.column(1).to_numpy()
             found = [text_shingles(x.as_py(), k) for x in group.column(2)]
             edges.star(ids, ids[linked(found, threshold)])
@@ -268,8 +260,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: i
     every = checkpoint(features(docs, k, n, rows, key, text))
     worded = every.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
     copies = worded.groupBy("set_hash").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("set_hash", "least")
-    named = every.select("id", "n_shingles", "set_hash").join(copies, "set_hash", "left").select("id", "n_shingles", F.coalesce("least", "id").alias("class"))
-    classes = worded.join(copies, "set_hash", "left").where("least is null or least = id").select("id", "n_shingles", "bands", "sketch")
+    # A set that very many rows share would be one key of the join: its rows are dealt over SALTS keys.
+    salted = copies.select("set_hash", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["set_hash", "salt"], "left").drop("salt")
+    named = dealt.select("id", "n_shingles", F.coalesce("least", "id").alias("class"))
+    classes = dealt.where("set_hash is not null and id is not null and (least is null or least = id)").select("id", "n_shingles", "bands", "sketch")
 
     most = most_differing_bits(threshold - MARGIN, n)
     groups = components(_candidate_edges(classes, most))
