@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
@@ -45,6 +45,22 @@ def top_keywords(stats: DataFrame, filtered: DataFrame | None = None, min_docs:
     return kept.orderBy(F.desc("doc_count"), F.desc("occurrences"), F.asc("term")).limit(most)
 
 
+def ranked(stats: DataFrame, filtered: DataFrame | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
+    """term and rank (from 0) of every term in at least ``min_docs`` items, in the order of ``top_keywords`` and without its bound.
+
+    Terms are numbered within buckets that follow the order (equal counts, first two characters), and a bucket's
+    terms come after those of the buckets before it: only the buckets are numbered in one task.
+    """
+    kept = stats.where(F.col("doc_count") >= min_docs)
+    kept = kept if filtered is None else without(kept, filtered)
+    kept = kept.withColumn("head", F.substring("term", 1, 2))
+    bucket = ["doc_count", "occurrences", "head"]
+    order = Window.orderBy(F.desc("doc_count"), F.desc("occurrences"), F.asc("head"))
+    ahead = kept.groupBy(*bucket).agg(F.count("*").alias("n")).select(*bucket, (F.sum("n").over(order) - F.col("n")).alias("ahead"))
+    rows = kept.withColumn("place", F.row_number().over(Window.partitionBy(*bucket).orderBy("term")))
+    return rows.join(ahead, bucket).select("term", (F.col("ahead") + F.col("place") - 1).alias("rank"))
+
+
 # Terms that tell nothing about an item, by kind. Order of kinds is the order of the test.
 FILE_FORMATS = """
 mp4 mkv avi mov wmv flv webm m4v mpg mpeg m2ts mts ogv ogm rmvb vob ts mka mks mk3d mp3 flac wav aac ac3 dts ogg oga opus wma

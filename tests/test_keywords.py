@@ -1,3 +1,4 @@
+from quarry import queries
 from quarry.operators import compare, keywords, suggest
 
 
@@ -49,6 +50,23 @@ def test_suggestions(spark):
     assert "mobie" not in {r["term"] for r in suggest.suggestion_scores(late, ["movie"]).collect()}
 
 
+def test_every_term_is_ranked(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "MAX_TERMS", 3)
+    rows = [("tionè", 9, 9), ("thion", 9, 12), ("a", 4, 4), ("ab", 4, 4), ("aé", 4, 4), ("日本", 4, 4), ("abc", 4, 5), ("rare", 2, 9)]
+    stats = spark.createDataFrame(rows, "term string, doc_count long, occurrences long")
+    got = {r["term"]: r["rank"] for r in keywords.ranked(stats, min_docs=3).collect()}
+    whole = sorted((r for r in rows if r[1] >= 3), key=lambda r: (-r[1], -r[2], r[0]))
+    assert got == {r[0]: i for i, r in enumerate(whole)}
+    gone = keywords.ranked(stats, spark.createDataFrame([("thion",)], "term string"), 3)
+    assert {r["term"]: r["rank"] for r in gone.collect()}["tionè"] == 0
+
+
+def test_suggestions_hold_terms_that_are_not_ascii(spark, data):
+    every = {r["term"] for r in queries.suggest_scores_all(spark, data).collect()}
+    ascii_ = {r["term"] for r in queries.suggest_scores(spark, data).collect()}
+    assert ascii_ and any(not t.isascii() for t in every)
+
+
 def test_agreement(spark):
     a = spark.createDataFrame([("q", [1, 2, 3]), ("r", []), ("s", [4])], "query string, ids array<long>")
     b = spark.createDataFrame([("q", [1, 3, 4]), ("r", []), ("s", [])], "query string, ids array<long>")
