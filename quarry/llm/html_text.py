@@ -5,7 +5,12 @@ A page is cut into tags and texts, built into a tree with the tags that HTML imp
 does, head and body where they must), and rendered: everything visible comes out, hidden
 elements do not. Blocks stand on lines of their own, paragraphs and headings between blank
 lines, list items behind bullets or numbers with their nesting indented, table cells in
-aligned columns, preformatted text as it is.
+aligned columns, preformatted text (also that of textarea, xmp and plaintext) as it is. Of a
+select every option comes out, on a line of its own; of svg the texts that are drawn, each on a
+line (those of definitions where they are defined); of math what is shown, children of a
+fraction and cells with a blank between. Not visible are the head, script, style, template,
+datalist, a closed dialog or details, and what stands in for content that browsers show
+otherwise (noscript, noembed, noframes, iframe, object, audio, video, canvas).
 
 Neither step recurses, so depth is bounded by memory alone, and both take time in
 proportion to the page (a table also to the width of its columns).
@@ -31,12 +36,19 @@ from quarry.llm.common import column, free_name
 # The element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas svg math select datalist title textarea xmp plaintext".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
+HIDDEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp plaintext table ul ol dl figure hr".split())
 BLOCKS = SPACED | frozenset("html body address article aside caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary thead tbody tfoot tr".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script template noscript".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body caption legend option optgroup thead tbody tfoot tr".split())
 LISTS = frozenset("ul ol menu dir".split())
+PREFORMATTED = frozenset("pre textarea xmp plaintext".split())
+#: Start tags of these end an open svg or math, unless they stand where it may hold HTML.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Of the children of these, the first is shown, or all with a blank between.
+ONE_SHOWN = frozenset("semantics maction".split())
+APART = frozenset("mfrac munder mover munderover mtr".split())
 #: A start tag ends open elements of these names, unless one of the barrier comes first.
 IMPLIED_END = {
     "li": (frozenset(["li"]), LISTS),
@@ -113,17 +125,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "start", tag, m[3]
         if tag in RAW and not m[3].endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at) if tag != "plaintext" else None
             end = stop.start() if stop else n
             if end > at:
                 yield "text", page[at:end], ""
             at = end
 
 
-def attributes(raw: str) -> dict[str, str]:
-    """Attributes as a dict; empty without work if none can matter."""
+def attributes(raw: str, every: bool = False) -> dict[str, str]:
+    """Attributes as a dict; empty without work if none can matter (``every``: whatever they are)."""
     low = raw.lower()
-    if not any(x in low for x in ("hidden", "style", "open", "start", "value", "span", "reversed", "type")):
+    if not every and not any(x in low for x in ("hidden", "style", "open", "start", "value", "span", "reversed", "type")):
         return {}
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _attribute.finditer(raw)}
 
@@ -180,12 +192,25 @@ def tree(page: str) -> Node:
                 open_[-1].children.append(Node("br", {}))
             elif x in ("html", "body"):
                 continue  # what follows still belongs to the body
+            elif x in ("select", "datalist"):  # their options end with them
+                close(frozenset([x]), SCOPE)
             elif x in ("td", "th", "li", "tr", "dt", "dd") or x in BLOCKS:
                 close(frozenset([x]), frozenset(["table"]) if x not in ("table", "thead", "tbody", "tfoot") else frozenset())
             else:
                 close(frozenset([x]), SCOPE | BLOCKS)
             continue
-        given = attributes(raw) if raw else {}
+        foreign = count["svg"] or count["math"]
+        given = attributes(raw, bool(foreign) or x in ("option", "optgroup")) if raw else {}
+        if foreign and (x in BREAKS_OUT or (x == "font" and given.keys() & {"color", "face", "size"})):
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].tag in ("svg", "math"):
+                    leave(i)
+                    foreign = count["svg"] or count["math"]
+                    break
+                if open_[i].tag in BREAKS_OUT or open_[i].tag in HOLDS_HTML:
+                    break
+        if count["svg"] and (given.get("display") == "none" or given.get("visibility") in ("hidden", "collapse")):
+            given["hidden"] = ""
         if x == "html":
             root.attributes.update(given)
             continue
@@ -219,7 +244,7 @@ def tree(page: str) -> Node:
             push("tr", {})
         node = Node(x, given)
         open_[-1].children.append(node)
-        if x not in VOID and not (raw.endswith("/") and x in ("svg", "math")):
+        if x not in VOID and not (raw.endswith("/") and (x in ("svg", "math") or foreign and x not in BLOCKS)):
             enter(node)
     return root
 
@@ -338,15 +363,17 @@ def render(root: Node) -> str:
     tables: list[list[list[tuple[str, int]]]] = []
     lists: list[list] = []  # of open lists: next number or None for bullets
     pre = 0
+    drawn: list[bool] = []  # in svg: whether text is drawn here
     work: list[tuple[Node | str, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
         if isinstance(node, str):
-            out.text(node, pre > 0)
+            if not drawn or drawn[-1]:
+                out.text(node, pre > 0)
             continue
         tag = node.tag
         if not leaving:
-            if node.hidden:
+            if node.hidden or (drawn and tag in ("desc", "metadata")):
                 continue
             if tag == "br":
                 out.newline()
@@ -364,6 +391,12 @@ def render(root: Node) -> str:
                 out = Writer()
             elif tag in BLOCKS:
                 out.block(2 if tag in SPACED and not (tag in LISTS and lists) else 1)
+            elif tag in ("select", "textarea", "mtr") or (drawn and (tag in ("text", "foreignobject") or (tag == "tspan" and node.attributes.keys() & {"x", "y"}))):
+                out.block(1)
+            if tag == "svg":
+                drawn.append(False)
+            elif drawn and tag in ("text", "foreignobject"):
+                drawn.append(True)
             if tag in LISTS:
                 lists.append([_number(node.attributes.get("start"), 1) if tag == "ol" else None])
             elif tag == "li":
@@ -376,13 +409,24 @@ def render(root: Node) -> str:
                 out.mark = mark
             elif tag in ("blockquote", "dd"):
                 out.indents.append("  ")
-            elif tag == "pre":
+            elif tag in PREFORMATTED:
                 pre += 1
             children = node.children
+            if tag in ("option", "optgroup") and (label := node.attributes.get("label")):
+                children = [label] if tag == "option" else [label, *children]
+            elif tag == "textarea" and children and isinstance(children[0], str):
+                children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
+            elif tag in ONE_SHOWN:
+                children = [x for x in children if isinstance(x, Node)][:1]
+            elif tag in APART:
+                children = [y for x in children for y in (x, " ")]
             if tag == "details" and "open" not in node.attributes:
                 children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
             work.extend((x, False) for x in reversed(children))
             continue
+        pre -= tag in PREFORMATTED
+        if tag == "svg" or (drawn and tag in ("text", "foreignobject")):
+            drawn.pop()
         if tag in ("td", "th") and tables and tables[-1] and writers:
             text, out = out.done(), writers.pop()
             tables[-1][-1].append((text, max(1, min(_number(node.attributes.get("colspan"), 1), 1000))))
@@ -402,8 +446,9 @@ def render(root: Node) -> str:
         elif tag == "tr" and tables:
             pass
         elif tag in BLOCKS:
-            pre -= tag == "pre"
             out.block(2 if tag in SPACED else 1)
+        elif tag in ("select", "textarea", "mtr") or (drawn and tag in ("text", "foreignobject")):
+            out.block(1)
     return out.done()
 
 

@@ -43,6 +43,31 @@ def test_rendering(html, text):
     assert extract(html) == text
 
 
+SHOWN = [
+    ("a<select><option>Red<option selected>Blue</select>b", "a\nRed\nBlue\nb"),
+    ("<select><optgroup label=Warm><option>Red</option><option label=Pink>p</option></optgroup></select>", "Warm\nRed\nPink"),
+    ("<select hidden><option>no</select><datalist><option>no</datalist>yes", "yes"),
+    ("a<textarea>\nx  &amp;\n <b>y</b></textarea>b", "a\nx  &\n <b>y</b>\nb"),
+    ("<p>k<xmp>if (a<b)\n  &amp; <i>c</i></xmp>d", "k\n\nif (a<b)\n  &amp; <i>c</i>\n\nd"),
+    ("<p>k<xmp>open <b>to the end", "k\n\nopen <b>to the end"),
+    ("<p>k<plaintext>a <b>c</b></plaintext> d", "k\n\na <b>c</b></plaintext> d"),
+    ("so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math>.", "so x=1 2 ."),
+    ("<math><semantics><mi>y</mi><annotation>\\upsilon</annotation></semantics></math>", "y"),
+    ("<math><mspace/><mi>x</mi></math><p>after", "x\n\nafter"),
+    ("a<svg viewBox='0 0 9 9'><title>no</title><desc>no</desc>no<path d='M0'/><text x=1>Label <tspan>one</tspan></text><g><text>two</text></g></svg>b", "a\nLabel one\ntwo\nb"),
+    ("<svg><text><tspan x=0>up</tspan><tspan x=0>down</tspan></text></svg>", "up\ndown"),
+    ("<svg><text display=none>no</text><desc/><text>yes</text></svg>", "yes"),
+    ("<svg><foreignObject><div>in<p>side</div></foreignObject></svg>out", "in\n\nside\n\nout"),
+    ("<svg><circle><p>never closed</p>seen", "never closed\n\nseen"),
+    ("<svg><style>no</style>not supported</svg><script>no</script><template>no</template><video>no</video>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("html, text", SHOWN)
+def test_what_browsers_show_comes_out(html, text):
+    assert extract(html) == text
+
+
 class Words(HTMLParser):
     """Visible words by the standard library's parser."""
 
