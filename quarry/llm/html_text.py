@@ -65,8 +65,12 @@ IMPLIED_END = {
 }
 SCOPE = frozenset("td th caption table button object html".split())
 
-_tag = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_attribute = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+# A quote begins a string only after '='; elsewhere it is part of a name or value.
+_name = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+_equals = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
+_bare = r"""[^ \t\n\r\f"'>][^ \t\n\r\f>]*+"""
+_tag = re.compile(rf"""<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_name}(?:{_equals}(?:"[^"]*+"|'[^']*+'|{_bare})?+)?+)*+)>""")
+_attribute = re.compile(rf"""({_name})(?:{_equals}(?:"([^"]*+)"|'([^']*+)'|({_bare}))?+)?+""")
 _unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
 

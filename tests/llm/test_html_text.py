@@ -68,6 +68,22 @@ def test_what_browsers_show_comes_out(html, text):
     assert extract(html) == text
 
 
+STRAY_QUOTES = [
+    ('<li><a href="x"">Alpha text</a> visible <li><a href="y"">Beta</a>', "- Alpha text visible\n- Beta"),
+    ("<p title=don't>First paragraph.</p><p>It's here.</p>", "First paragraph.\n\nIt's here."),
+    ('<p "a>b</p>"c', 'b\n\n"c'),
+    ('<p title = "x>y" id=\'a>b\'>c</p title="x>y">d', "c\n\nd"),
+    ("<p title=>a</p>b", "a\n\nb"),
+    ('<p title="x"hidden>no</p><p title=a"hidden">yes</p>', "yes"),
+    ("<p id=1 title=it's style='display:none'>no</p>it's", "it's"),
+]
+
+
+@pytest.mark.parametrize("html, text", STRAY_QUOTES)
+def test_a_stray_quote_opens_no_string(html, text):
+    assert extract(html) == text
+
+
 class Words(HTMLParser):
     """Visible words by the standard library's parser."""
 
