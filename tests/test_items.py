@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.sources.items import ITEM_SCHEMA, SourceError, check_schema, extent, file_changes, fingerprinted, open_source, picked_preview, since, with_file_facts
 from quarry.sources.keyword_files import read_keywords, write_ascii_dump, write_keywords
 
@@ -70,3 +71,11 @@ def test_keyword_files(spark, tmp_path):
     stats = spark.createDataFrame([("a", 2, 3), ("é", 9, 9), ("b", 5, 5)], "term string, doc_count long, occurrences long")
     write_ascii_dump(stats, str(tmp_path / "dump"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "dump")).collect()) == ["a\t2\t3", "b\t5\t5"]
+
+
+def test_changes_are_looked_for_in_the_whole_table(spark, data):
+    kinds = {r["kind"]: r["count"] for r in queries.file_changes_all(spark, data).groupBy("kind").count().collect()}
+    n = spark.read.parquet(f"{data}/documents.parquet").count()
+    assert all(n / 8 < kinds[k] < n / 2 for k in ("new", "changed"))
+    high = queries.file_changes_all(spark, data).where("kind = 'changed' and id >= 150").count()
+    assert high > 0 and queries.file_changes(spark, data).where("kind = 'changed' and id >= 150").count() == 0
