@@ -13,7 +13,8 @@ positions whose bit is set go on, with the tokens around them, to the join; a la
 benchmark fills the bitmap and makes the join larger, never wrong.
 
 Defined results: null and empty texts have no tokens and no overlap; items of fewer than
-``MIN_ITEM`` tokens cannot be told from chance and are not searched for; items with equal
+``MIN_ITEM`` tokens cannot be told from chance inside a sentence and are searched for only with
+``short``, as whole texts or whole lines of equal tokens; items with equal
 tokens are searched for once, under their smallest id; a document has one row an item, its
 longest overlap (the earliest on ties); rows with a null id are compared under the null id;
 rows that share an id count as one document; empty tables give an empty result.
@@ -82,12 +83,12 @@ def enough(matches: int, length: int, item: int, min_matches: int = MIN_MATCHES)
 
 
 def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """item_id and tokens of each different item that is long enough."""
+    """item_id and tokens of each different item that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tokens(x.as_py()).view(np.int64) for x in batch.column(1)]
-            long = [len(x) >= MIN_ITEM for x in found]
+            long = [len(x) > 0 for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(long)), pa.array([x for x, y in zip(found, long, strict=True) if y], pa.list_(pa.int64()))], ["item_id", "tokens"])
 
     rows = benchmark.select(column(benchmark, key).cast("long").alias("item_id"), column(benchmark, text).alias("text"))
@@ -156,6 +157,27 @@ def _regions(docs: DataFrame, bitmap: np.ndarray, key: str, text: str) -> DataFr
     return rows.mapInArrow(run, "doc_id long, start long, tokens array<long>, spots array<int>, seeds array<long>")
 
 
+def _whole_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, start and tokens of each line, and of each whole text, of fewer than ``MIN_ITEM`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = [tokens(line) for line in (x.as_py() or "").split("\n")]
+                starts = np.cumsum([0, *map(len, lines)])
+                short = [(doc, int(a), line.view(np.int64)) for a, line in zip(starts, lines) if 0 < len(line) < MIN_ITEM]
+                if len(short) > 1 and starts[-1] < MIN_ITEM:
+                    short.append((doc, 0, np.concatenate(lines).view(np.int64)))
+                out += short
+            if out:
+                cols = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["doc_id", "start", "tokens"])
+
+    rows = docs.select(column(docs, key).cast("long").alias("doc_id"), column(docs, text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, start long, tokens array<long>")
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -164,9 +186,14 @@ def overlaps(
     text: str = "text",
     item_key: str = "item_id",
     item_text: str = "text",
+    short: bool = False,
 ) -> DataFrame:
-    """doc_id, item_id, start and length (tokens of the document), matches and item_tokens of every overlap."""
-    items = checkpoint(_items(benchmark, item_key, item_text))
+    """doc_id, item_id, start and length (tokens of the document), matches and item_tokens of every overlap.
+
+    ``short``: also items of fewer than ``MIN_ITEM`` tokens, where a whole text or line equals them.
+    """
+    every = checkpoint(_items(benchmark, item_key, item_text))
+    items = every.where(F.size("tokens") >= MIN_ITEM)
     item_seeds = checkpoint(_item_seeds(items))
     regions = checkpoint(_regions(docs, _bitmap(item_seeds), key, text).withColumn("region", F.xxhash64("doc_id", "start", "tokens")))
     hits = regions.select("region", F.explode(F.arrays_zip("spots", "seeds")).alias("hit")).select("region", F.col("hit.spots").alias("spot"), F.col("hit.seeds").alias("seed"))
@@ -186,10 +213,15 @@ def overlaps(
 
     found = whole.select("doc_id", "start", "diagonal", "around", "item_id", "tokens").mapInArrow(run, "doc_id long, item_id long, start long, length long, matches long, item_tokens long")
     best = F.max_by(F.struct("start", "length", "matches", "item_tokens"), F.struct("matches", -F.col("length"), -F.col("start")))
+    few = every.where(F.size("tokens") < MIN_ITEM)
+    if short and not few.isEmpty():
+        n = F.size("tokens").cast("long")
+        equal = _whole_lines(docs, key, text).join(few, "tokens")
+        found = found.unionByName(equal.select("doc_id", "item_id", "start", n.alias("length"), n.alias("matches"), n.alias("item_tokens")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """``docs`` without the documents that overlap the benchmark; rows with a null id are kept."""
-    leaks = overlaps(docs, benchmark, min_matches, key, text).select(F.col("doc_id").alias(key)).distinct()
+    leaks = overlaps(docs, benchmark, min_matches, key, text, short=short).select(F.col("doc_id").alias(key)).distinct()
     return docs.join(leaks, key, "left_anti")

@@ -22,7 +22,7 @@ from quarry.llm.warc_fixity import audit, warc_record
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), short=True)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

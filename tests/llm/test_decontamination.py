@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -79,6 +80,19 @@ def test_shared_passages_are_no_leaks(spark, words):
     assert dc.decontaminate(d, b).count() == 10
 
 
+def test_short_items_are_found_as_whole_lines(spark, tmp_path):
+    docs = [(1, "What is two plus two?"), (2, "before it\n\nWHAT is, two plus two\r\nafter"), (3, "they ask what is two plus two often"), (4, "what is\ntwo plus two"), (5, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, "What is two plus two?"), (8, "..."), (9, None)], "item_id long, text string")
+    got = {tuple(r) for r in dc.overlaps(d, b, short=True).collect()}
+    assert got == {(1, 7, 0, 5, 5, 5), (2, 7, 2, 5, 5, 5), (4, 7, 0, 5, 5, 5)}
+    assert dc.overlaps(d, b).count() == 0
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r["doc_id"] for r in QUERIES["op1_decontamination"](spark, str(tmp_path)).collect()} == {1, 2, 4}
+    assert {r["doc_id"] for r in cp.decontamination(spark, d, str(tmp_path)).collect()} == {3, 5}
+
+
 def test_empty_and_null(spark):
     d = spark.createDataFrame([(None, "a b c d e f g h i j k l m n"), (1, None)], "doc_id long, text string")
     b = spark.createDataFrame([(None, None), (2, "a b c d e f g h i j k l m n")], "item_id long, text string")
