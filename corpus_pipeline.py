@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with the benchmark."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), short=True).select(*docs.columns)
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), short=True, by_row=True).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, column
+from quarry.llm.common import checkpoint, column, free_name
 from quarry.llm.words import mixed, numbers, word_hashes
 
 # Six hashed tokens each, over seven to ten.
@@ -221,7 +221,15 @@ def overlaps(
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
-    """``docs`` without the documents that overlap the benchmark; rows with a null id are kept."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_MATCHES, key: str = "doc_id", text: str = "text", short: bool = False, by_row: bool = False) -> DataFrame:
+    """``docs`` without the documents that overlap the benchmark.
+
+    Rows with a null id are kept, or with ``by_row`` judged each by its own text: a hash of it stands for their id.
+    """
+    if by_row:
+        row, own = free_name(docs, "row"), column(docs, key).cast("long")
+        keyed = docs.withColumn(row, F.coalesce(own, F.xxhash64(column(docs, text), F.lit("null id"))))
+        kept = decontaminate(keyed, benchmark, min_matches, row, text, short)
+        return kept.select(*(column(kept, c) for c in docs.columns))
     leaks = overlaps(docs, benchmark, min_matches, key, text, short=short).select(F.col("doc_id").alias(key)).distinct()
     return docs.join(leaks, key, "left_anti")

@@ -101,6 +101,16 @@ def test_empty_and_null(spark):
     assert dc.overlaps(d, b.limit(0)).count() == 0 and dc.overlaps(d.limit(0), b).count() == 0
 
 
+def test_leaks_go_whatever_their_id(spark, tmp_path):
+    leak = "a b c d e f g h i j k l m n"
+    d = spark.createDataFrame([("x", None, leak), ("y", None, "clean text"), ("z", None, None), ("u", 1, leak), ("v", 42, leak), ("w", 2, "clean")], "`my.name` string, doc_id long, text string")
+    b = spark.createDataFrame([(2, leak)], "item_id long, text string")
+    assert {r[0] for r in dc.decontaminate(d, b, by_row=True).collect()} == {"y", "z", "w"}
+    assert dc.decontaminate(d, b, by_row=True).columns == d.columns
+    b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r[0] for r in cp.decontamination(spark, d.withColumnRenamed("my.name", "name"), str(tmp_path)).collect()} == {"y", "z", "w"}
+
+
 def test_query(spark, data):
     """Against verbatim containment, over the whole small tables."""
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
