@@ -31,9 +31,8 @@ from quarry.llm.words import numbers
 
 ORDERS = (3, 4, 5)
 BITS = 20
-#: Labelled rows that the classifier is fitted on at most; of texts longer than this none is fitted on (all are scored).
+#: Labelled rows that the classifier is fitted on at most, whole texts of any length.
 MAX_ROWS = 8000
-MAX_FIT_CHARS = 200_000
 MAX_FEATURES = 8192
 MIN_TEXTS = 4
 SLICE = 1 << 19
@@ -189,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: st
     """
     own = labels.select(column(labels, key).alias("k"), column(labels, label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
     own = own.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    rows = docs.select(column(docs, key).alias("k"), F.coalesce(column(docs, text), F.lit("")).alias("x")).where(F.char_length("x") <= MAX_FIT_CHARS)
+    rows = docs.select(column(docs, key).alias("k"), F.coalesce(column(docs, text), F.lit("")).alias("x"))
     rows = rows.join(F.broadcast(own), "k").groupBy("k", "y").agg(F.min("x").alias("x"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -76,3 +76,14 @@ def test_query(spark, data):
     assert len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     assert np.mean([got[i]["predicted"] == y for i, y in labels.items()]) >= 0.9
+
+
+def test_long_texts_are_fitted_on(spark, words):
+    texts = [" ".join(words(30, seed=i)) + (" zorkface grumbol" + " and so on" * 20_001 if i % 3 == 0 else "") for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert min(len(x) for x in texts[::3]) > 200_000
+    model = tx.train(d, labels)
+    flags = np.zeros(len(model.features) + 1, bool)
+    scores = [model.score(x, model.lookup(), flags) for x in texts]
+    assert all((s >= 0.5) == (i % 3 == 0) for i, s in enumerate(scores))
