@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key of over HEAVY rows is dealt over SALTS keys of a join. Keys are told apart by SPOTS values of
+#: their hash, so what is broadcast for it has SPOTS rows at most.
+HEAVY, SALTS, SPOTS = 256, 64, 4096
+
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if its files give fewer tasks than there are cores (a small table, or one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """``stem``, lengthened until no column of ``df`` has that name in any case."""
     taken = {c.lower() for c in df.columns}
@@ -24,18 +39,58 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only local sessions may leave it unset: theirs is in the warehouse."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that a lost executor costs no lineage.
+    """``df`` as a Parquet table in the shared folder, so that a lost executor costs no lineage."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    kept = spark.read.schema(df.schema).parquet(place)
+    _places[kept] = place
+    return kept
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (plain local sessions) a folder of the warehouse is used.
-    """
+
+def forget(kept: DataFrame) -> None:
+    """Deletes what ``checkpoint`` wrote for this table, which nothing may read any more."""
+    place = _places.pop(kept, None)
+    if place:
+        spark = kept.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over all shuffle partitions, however small it is: for tasks whose work is in Python."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        place = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(place or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def spot(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SPOTS)).cast("int")
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` on ``key``, where very many rows of ``many`` may have one key.
+
+    Rows of such a key, and those of a null key, are dealt over ``SALTS`` keys by a hash of
+    ``by``. ``counts``: key and n, the rows of ``many`` with it.
+    """
+    hot = F.broadcast(counts.where(F.col("n") > HEAVY).select(spot(key).alias("_spot"), F.lit(True).alias("_hot")).distinct())
+    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = many.withColumn("_spot", spot(key)).join(hot, "_spot", "left").withColumn("_salt", salt).drop("_spot", "_hot")
+    copies = one.withColumn("_spot", spot(key)).join(hot, "_spot", "left").withColumn("_salt", F.explode(salts)).drop("_spot", "_hot")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def text_bytes(column: Column) -> Column:

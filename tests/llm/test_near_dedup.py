@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from oracle import same
+from quarry.llm import common
 from quarry.llm import near_dedup as nd
 from quarry.llm.components import components
 from quarry.llm.queries import ORACLES, QUERIES
@@ -56,12 +57,13 @@ def test_components_are_those_of_all_pairs(spark, words, k, threshold):
     assert got == brute(texts, k, round(threshold * 100))
 
 
-def test_blocks_and_large_buckets_lose_nothing(spark, words, monkeypatch):
+def test_blocks_and_hot_keys_lose_nothing(spark, words, monkeypatch):
     texts = corpus(words, seed=4)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 100)
-    monkeypatch.setattr(nd, "SALTS", 2)
-    monkeypatch.setattr(nd, "MAX_BUCKET", 3)
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "PART", 2)
+    monkeypatch.setattr(common, "HEAVY", 3)
+    monkeypatch.setattr(common, "SALTS", 4)
     got = sorted((r["doc_id"], r["component_id"]) for r in nd.near_duplicates(df, 3, 0.85).collect())
     assert got == [(i, c) for i, _, c in brute(texts, 3, 85)]
 
@@ -96,6 +98,29 @@ def test_sketch_estimates_are_close():
         assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < nd.MARGIN
 
 
+def test_the_sketch_filter_loses_no_pair_at_the_threshold():
+    """Pairs at exactly the threshold, each with samples of its own: a pair's samples agree with that probability."""
+    rnd = np.random.default_rng(5)
+    for threshold in (0.85, 0.8):
+        n = nd.band_count(threshold) * nd.ROWS
+        most = nd.most_differing_bits(threshold - nd.MARGIN, n)
+        worst = 0
+        for _ in range(4000):
+            a = rnd.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.where(rnd.random(n) < threshold, a, rnd.integers(0, 2**63, n, dtype=np.uint64))
+            x, y = (np.frombuffer(nd.odd_sketch(s), np.uint64) for s in (a, b))
+            worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+        assert worst <= most
+
+
+def test_similar_is_exact():
+    rnd = np.random.default_rng(3)
+    for _ in range(500):
+        a, b = (np.unique(rnd.integers(0, 60, rnd.integers(1, 60), dtype=np.uint64)) for _ in range(2))
+        common_, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        assert nd.similar(a, b, 50) == (100 * common_ >= 50 * union)
+
+
 def test_sets_do_not_depend_on_slices(monkeypatch):
     from quarry.llm import words as w
 
