@@ -12,12 +12,14 @@ The corpus is read once. Benchmark hashes first set bits of a bitmap of fixed si
 positions whose bit is set go on, with the tokens around them, to the join; a larger
 benchmark fills the bitmap and makes the join larger, never wrong.
 
-Defined results: null and empty texts have no tokens and no overlap; items of fewer than
+Defined results: null and empty texts have no tokens and no overlap; very long texts are read
+whole, and only the tokens around hits leave the worker; items of fewer than
 ``MIN_ITEM`` tokens cannot be told from chance inside a sentence and are searched for only with
 ``short``, as whole texts or whole lines of equal tokens; items with equal
 tokens are searched for once, under their smallest id; a document has one row an item, its
 longest overlap (the earliest on ties); rows with a null id are compared under the null id;
-rows that share an id count as one document; empty tables give an empty result.
+rows that share an id count as one document; empty tables give an empty result; ids may be of
+any type that can be joined on; only ids and texts are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -28,13 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import checkpoint, column, free_name
+from quarry.llm.common import checkpoint, column, free_name, spread_join
 from quarry.llm.words import mixed, numbers, word_hashes
 
-# Six hashed tokens each, over seven to ten.
-MASKS = ("1110111", "11011011", "110101011", "1100110011")
+# Six hashed tokens each, over seven to ten; the last mask is for short items alone.
+MASKS = ("1110111", "11011011", "110101011", "1100110011", "1111")
+SPAN = max(map(len, MASKS))
 MIN_ITEM = 8
+#: Items of fewer tokens have the last mask's hashes too: a substitution leaves them few windows.
+SHORT_ITEM = 16
 #: Matching tokens that an overlap needs; of shorter items four in five.
 MIN_MATCHES = 12
 MISMATCH = -2
@@ -82,6 +88,14 @@ def enough(matches: int, length: int, item: int, min_matches: int = MIN_MATCHES)
     return length > 0 and matches >= min(min_matches, -(-4 * item // 5)) and 4 * matches >= 3 * length
 
 
+_LONGS = T.ArrayType(T.LongType())
+
+
+def _schema(rows: DataFrame, key: str, **fields: T.DataType) -> T.StructType:
+    """The key as ``rows`` have it, and further fields."""
+    return T.StructType([rows.schema[key], *(T.StructField(n, t) for n, t in fields.items())])
+
+
 def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """item_id and tokens of each different item that has any."""
 
@@ -91,8 +105,8 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
             long = [len(x) > 0 for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(long)), pa.array([x for x, y in zip(found, long, strict=True) if y], pa.list_(pa.int64()))], ["item_id", "tokens"])
 
-    rows = benchmark.select(column(benchmark, key).cast("long").alias("item_id"), column(benchmark, text).alias("text"))
-    return rows.mapInArrow(run, "item_id long, tokens array<long>").groupBy("tokens").agg(F.min("item_id").alias("item_id"))
+    rows = benchmark.select(column(benchmark, key).alias("item_id"), column(benchmark, text).alias("text"))
+    return rows.mapInArrow(run, _schema(rows, "item_id", tokens=_LONGS)).groupBy("tokens").agg(F.min("item_id").alias("item_id"))
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
@@ -101,11 +115,13 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, found in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = [seeds(np.asarray(found.values).view(np.uint64), m) for m in range(len(MASKS))]
+                n = len(MASKS) if len(found) < SHORT_ITEM else len(MASKS) - 1
+                own = [seeds(np.asarray(found.values).view(np.uint64), m) for m in range(n)]
                 at = np.concatenate([np.arange(len(x)) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int32())], ["seed", "item_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array([i] * len(at), batch.schema.field(0).type), pa.array(at, pa.int32())], ["seed", "item_id", "at"])
 
-    return items.select("item_id", "tokens").mapInArrow(run, "seed long, item_id long, at int")
+    schema = T.StructType([T.StructField("seed", T.LongType()), items.schema["item_id"], T.StructField("at", T.IntegerType())])
+    return items.select("item_id", "tokens").mapInArrow(run, schema)
 
 
 def _bitmap(item_seeds: DataFrame) -> np.ndarray:
@@ -147,14 +163,14 @@ def _regions(docs: DataFrame, bitmap: np.ndarray, key: str, text: str) -> DataFr
                 spot, seed = spot[order], seed[order]
                 for part in np.split(np.arange(len(spot)), np.flatnonzero(np.diff(spot) > MARGIN) + 1):
                     a = max(0, int(spot[part[0]]) - MARGIN)
-                    b = int(spot[part[-1]]) + len(MASKS[-1]) + MARGIN
+                    b = int(spot[part[-1]]) + SPAN + MARGIN
                     out.append((doc, a, found[a:b].view(np.int64), spot[part].astype(np.int32), seed[part].view(np.int64)))
             if out:
-                cols = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
+                cols = zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["doc_id", "start", "tokens", "spots", "seeds"])
 
-    rows = docs.select(column(docs, key).cast("long").alias("doc_id"), column(docs, text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, tokens array<long>, spots array<int>, seeds array<long>")
+    rows = docs.select(column(docs, key).alias("doc_id"), column(docs, text).alias("text"))
+    return rows.mapInArrow(run, _schema(rows, "doc_id", start=T.LongType(), tokens=_LONGS, spots=T.ArrayType(T.IntegerType()), seeds=_LONGS))
 
 
 def _whole_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -171,11 +187,11 @@ def _whole_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
                     short.append((doc, 0, np.concatenate(lines).view(np.int64)))
                 out += short
             if out:
-                cols = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)
+                cols = zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64())), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["doc_id", "start", "tokens"])
 
-    rows = docs.select(column(docs, key).cast("long").alias("doc_id"), column(docs, text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, tokens array<long>")
+    rows = docs.select(column(docs, key).alias("doc_id"), column(docs, text).alias("text"))
+    return rows.mapInArrow(run, _schema(rows, "doc_id", start=T.LongType(), tokens=_LONGS))
 
 
 def overlaps(
@@ -197,8 +213,11 @@ def overlaps(
     item_seeds = checkpoint(_item_seeds(items))
     regions = checkpoint(_regions(docs, _bitmap(item_seeds), key, text).withColumn("region", F.xxhash64("doc_id", "start", "tokens")))
     hits = regions.select("region", F.explode(F.arrays_zip("spots", "seeds")).alias("hit")).select("region", F.col("hit.spots").alias("spot"), F.col("hit.seeds").alias("seed"))
-    lines = hits.join(item_seeds, "seed").select("region", "item_id", (F.col("spot") - F.col("at")).alias("diagonal")).distinct()
-    whole = lines.join(regions.select("region", "doc_id", "start", F.col("tokens").alias("around")).dropDuplicates(["region"]), "region").join(items, "item_id")
+    # A passage that very many documents hold is one key of the first join, an item that very many hold one of the second.
+    met = spread_join(hits, item_seeds, "seed", "region", hits.groupBy("seed").agg(F.count("*").alias("n")))
+    lines = checkpoint(met.select("region", "item_id", (F.col("spot") - F.col("at")).alias("diagonal")).distinct())
+    whole = spread_join(lines, items, "item_id", "region", lines.groupBy("item_id").agg(F.count("*").alias("n")))
+    whole = whole.join(regions.select("region", "doc_id", "start", F.col("tokens").alias("around")).dropDuplicates(["region"]), "region")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +228,11 @@ def overlaps(
                 if enough(matches, length, len(b), min_matches):
                     out.append((doc.as_py(), item.as_py(), first + start.as_py(), length, matches, len(b)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "start", "length", "matches", "item_tokens"])
+                kinds = [batch.schema.field(0).type, batch.schema.field(4).type, *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "length", "matches", "item_tokens"])
 
-    found = whole.select("doc_id", "start", "diagonal", "around", "item_id", "tokens").mapInArrow(run, "doc_id long, item_id long, start long, length long, matches long, item_tokens long")
+    schema = T.StructType([whole.schema["doc_id"], whole.schema["item_id"], *(T.StructField(x, T.LongType()) for x in ("start", "length", "matches", "item_tokens"))])
+    found = whole.select("doc_id", "start", "diagonal", "around", "item_id", "tokens").mapInArrow(run, schema)
     best = F.max_by(F.struct("start", "length", "matches", "item_tokens"), F.struct("matches", -F.col("length"), -F.col("start")))
     few = every.where(F.size("tokens") < MIN_ITEM)
     if short and not few.isEmpty():
@@ -227,8 +248,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matches: int = MIN_
     Rows with a null id are kept, or with ``by_row`` judged each by its own text: a hash of it stands for their id.
     """
     if by_row:
-        row, own = free_name(docs, "row"), column(docs, key).cast("long")
-        keyed = docs.withColumn(row, F.coalesce(own, F.xxhash64(column(docs, text), F.lit("null id"))))
+        row, own = free_name(docs, "row"), column(docs, key).cast("string")
+        keyed = docs.withColumn(row, F.coalesce(own, F.concat(F.lit("null id "), F.xxhash64(column(docs, text)).cast("string"))))
         kept = decontaminate(keyed, benchmark, min_matches, row, text, short)
         return kept.select(*(column(kept, c) for c in docs.columns))
     leaks = overlaps(docs, benchmark, min_matches, key, text, short=short).select(F.col("doc_id").alias(key)).distinct()

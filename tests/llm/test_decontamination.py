@@ -72,6 +72,37 @@ def test_substitutions_are_tolerated(words):
     assert sum(hit(with_changes(p)) for p in pairs) >= 0.7 * len(pairs)
 
 
+def test_recall_of_seeds_at_every_length():
+    """Of overlaps that count as such, with as many substitutions as that allows, nine in ten at least hold a seed."""
+    rnd = np.random.default_rng(7)
+    for length in [*range(dc.MIN_ITEM, 24), 32, 48, 64]:
+        found = total = 0
+        while total < 400:
+            item = rnd.integers(0, 2**62, length, dtype=np.uint64)
+            doc = item.copy()
+            spots = rnd.choice(length, rnd.integers(1, length // 4 + 2), replace=False)
+            doc[spots] = rnd.integers(0, 2**62, len(spots), dtype=np.uint64)
+            _, n, matches = dc.overlap(doc, item, 0)
+            if not dc.enough(matches, n, length):
+                continue
+            total += 1
+            masks = range(len(dc.MASKS) if length < dc.SHORT_ITEM else len(dc.MASKS) - 1)
+            found += any(np.any(dc.seeds(doc, m) == dc.seeds(item, m)) for m in masks)
+        assert found >= 0.95 * total, (length, found, total)
+
+
+def test_ids_of_any_type_and_hot_passages(spark, words, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 2)
+    monkeypatch.setattr(common, "SALTS", 4)
+    text = " ".join(words(20, seed=3))
+    d = spark.createDataFrame([(f"d{i}", text if i < 9 else "clean " * 20) for i in range(12)], "doc_id string, text string")
+    b = spark.createDataFrame([("q1", text), ("q2", text + " and more"), (None, None)], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"], r["matches"]) for r in dc.overlaps(d, b).collect()}
+    assert got == {(f"d{i}", q, 20) for i in range(9) for q in ("q1", "q2")}
+
+
 def test_shared_passages_are_no_leaks(spark, words):
     shared = " ".join(words(60, seed=1))
     d = spark.createDataFrame([(i, shared + " " + " ".join(words(20, seed=i))) for i in range(10, 20)], "doc_id long, text string")
