@@ -13,17 +13,22 @@ datalist, a closed dialog or details, and what stands in for content that browse
 otherwise (noscript, noembed, noframes, iframe, object, audio, video, canvas).
 
 Neither step recurses, so depth is bounded by memory alone, and both take time in
-proportion to the page (a table also to the width of its columns).
+proportion to the page: open elements are found by name, not by walking up. So is the text: cells
+of over ``WIDE`` characters do not widen their column, and a table row that would need far more
+blanks than it has cells and lines stands unaligned, its cells two blanks apart.
 
-Defined results: a null or empty page, or one without visible text, gives an empty text;
+Defined results: a null or empty page, or one without visible text, gives an empty text; a very
+long page is rendered whole;
 unclosed tags end with the page, an unfinished tag at its end is dropped; repeated rows are
-rendered each; other columns pass through and ``text`` gives way where it exists.
+rendered each; an empty table gives an empty result; other columns pass through and ``text`` gives
+way where it exists.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -37,12 +42,12 @@ from quarry.llm.common import column, free_name
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 HIDDEN = frozenset("head script style template noscript noembed noframes iframe object audio video canvas datalist title".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp plaintext table ul ol dl figure hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre listing xmp plaintext table ul ol dl figure hr".split())
 BLOCKS = SPACED | frozenset("html body address article aside caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary thead tbody tfoot tr".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script template noscript".split())
 ENDS_PARAGRAPH = BLOCKS - frozenset("html body caption legend option optgroup thead tbody tfoot tr".split())
 LISTS = frozenset("ul ol menu dir".split())
-PREFORMATTED = frozenset("pre textarea xmp plaintext".split())
+PREFORMATTED = frozenset("pre listing textarea xmp plaintext".split())
 #: Start tags of these end an open svg or math, unless they stand where it may hold HTML.
 BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
@@ -64,6 +69,14 @@ IMPLIED_END = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
 }
 SCOPE = frozenset("td th caption table button object html".split())
+#: End tags of these close whatever is open inside.
+CLOSES_ALL = HIDDEN | frozenset("select button svg math".split())
+SOLID = SCOPE | BLOCKS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of a cell that widens its column; row spans that are kept track of at once.
+WIDE, MOST_SPANS = 40, 64
+#: Blanks that aligning a row may cost: so many, and so many for each of its cells and lines.
+FREE_BLANKS, BLANKS = 96, 32
 
 # A quote begins a string only after '='; elsewhere it is part of a name or value.
 _name = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
@@ -71,7 +84,8 @@ _equals = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
 _bare = r"""[^ \t\n\r\f"'>][^ \t\n\r\f>]*+"""
 _tag = re.compile(rf"""<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_name}(?:{_equals}(?:"[^"]*+"|'[^']*+'|{_bare})?+)?+)*+)>""")
 _attribute = re.compile(rf"""({_name})(?:{_equals}(?:"([^"]*+)"|'([^']*+)'|({_bare}))?+)?+""")
-_unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_unseen = re.compile(r"display\s*:\s*none", re.I)
+_visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -93,6 +107,12 @@ class Node:
             or (self.tag == "dialog" and "open" not in a)
         )
 
+    @property
+    def seen(self) -> bool | None:
+        """Whether its own text can be seen, which what is inside may change; None if that is as around it."""
+        found = _visibility.findall(self.attributes.get("style", ""))
+        return found[-1].lower() == "visible" if found else None
+
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", it, ""), ("start", tag, attributes) and ("end", tag, "") of a page."""
@@ -149,25 +169,33 @@ def tree(page: str) -> Node:
     root = Node("html", {})
     body: Node | None = None
     open_: list[Node] = [root]
-    count: Counter[str] = Counter()  # of the open elements' tags
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, and of some classes
+    classes = {"*solid": SOLID, "*foreign": frozenset(["svg", "math"]), "*html": BREAKS_OUT | HOLDS_HTML}
+
+    def named(tag: str) -> Iterator[list[int]]:
+        yield places[tag]
+        for name, tags in classes.items():
+            if tag in tags:
+                yield places[name]
 
     def enter(node: Node) -> None:
+        for x in named(node.tag):
+            x.append(len(open_))
         open_.append(node)
-        count[node.tag] += 1
 
     def leave(i: int) -> None:
-        for node in open_[i:]:
-            count[node.tag] -= 1
-        del open_[i:]
+        while len(open_) > i:
+            for x in named(open_.pop().tag):
+                x.pop()
+
+    def last(tags: frozenset[str]) -> int:
+        """The innermost open element of these tags; 0 if there is none."""
+        return max((places[x][-1] for x in tags if places[x]), default=0)
 
     def close(names: frozenset[str], barrier: frozenset[str]) -> None:
-        if any(count[x] for x in names):
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in names:
-                    leave(i)
-                    return
-                if open_[i].tag in barrier:
-                    return
+        at = last(names)
+        if at and at >= (places["*solid"][-1] if barrier is SOLID and places["*solid"] else last(barrier)):
+            leave(at)
 
     def push(tag: str, given: dict[str, str]) -> Node:
         node = Node(tag, given)
@@ -190,31 +218,30 @@ def tree(page: str) -> Node:
             open_[-1].children.append(x if open_[-1].tag in RAW and open_[-1].tag not in ("title", "textarea") else unescape(x))
             continue
         if kind == "end":
-            if x == "p" and not count["p"]:
+            if x == "p" and not places["p"]:
                 open_[-1].children.append(Node("p", {}))
             elif x == "br":
                 open_[-1].children.append(Node("br", {}))
             elif x in ("html", "body"):
                 continue  # what follows still belongs to the body
-            elif x in ("select", "datalist"):  # their options end with them
-                close(frozenset([x]), SCOPE)
+            elif x in CLOSES_ALL:
+                close(frozenset([x]), frozenset())
             elif x in ("td", "th", "li", "tr", "dt", "dd") or x in BLOCKS:
                 close(frozenset([x]), frozenset(["table"]) if x not in ("table", "thead", "tbody", "tfoot") else frozenset())
             else:
-                close(frozenset([x]), SCOPE | BLOCKS)
+                close(frozenset([x]), SOLID)
             continue
-        foreign = count["svg"] or count["math"]
-        given = attributes(raw, bool(foreign) or x in ("option", "optgroup")) if raw else {}
+        foreign = bool(places["*foreign"])
+        given = attributes(raw, foreign or x in ("option", "optgroup")) if raw else {}
         if foreign and (x in BREAKS_OUT or (x == "font" and given.keys() & {"color", "face", "size"})):
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in ("svg", "math"):
-                    leave(i)
-                    foreign = count["svg"] or count["math"]
-                    break
-                if open_[i].tag in BREAKS_OUT or open_[i].tag in HOLDS_HTML:
-                    break
-        if count["svg"] and (given.get("display") == "none" or given.get("visibility") in ("hidden", "collapse")):
+            around = places["*foreign"][-1]
+            if not places["*html"] or places["*html"][-1] < around:
+                leave(around)
+                foreign = bool(places["*foreign"])
+        if places["svg"] and given.get("display") == "none":
             given["hidden"] = ""
+        if places["svg"] and "visibility" in given:
+            given["style"] = f"{given.get('style', '')};visibility:{given['visibility']}"
         if x == "html":
             root.attributes.update(given)
             continue
@@ -242,7 +269,7 @@ def tree(page: str) -> Node:
             close(paragraph, SCOPE)
         if x in IMPLIED_END:
             close(*IMPLIED_END[x])
-        if x in ("h1", "h2", "h3", "h4", "h5", "h6") and open_[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        if x in HEADINGS and open_[-1].tag in HEADINGS:
             leave(len(open_) - 1)
         if x in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
             push("tr", {})
@@ -322,7 +349,7 @@ class Writer:
 
     def rows(self, lines: list[str]) -> None:
         for x in lines:
-            self.block(1)
+            self.block(1 if x else 2)
             self._put(x)
 
     def done(self) -> str:
@@ -333,26 +360,54 @@ class Writer:
         return "\n".join(self.lines)
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Table rows of (text, columns spanned) as lines: columns start at the same place, two blanks apart."""
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Table rows of (text, columns spanned, rows spanned) as lines: columns start at the same place, two blanks apart."""
+    placed: list[list[tuple[int, str]]] = []
     width: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, text.split("\n"))))
-            at += span
+    wide: list[tuple[int, int, int]] = []  # cells over several columns: first, end, characters
+    busy: list[tuple[int, int, int]] = []  # columns that cells of earlier rows reach down to: first, end, last row
+    for n, row in enumerate(rows):
+        busy = sorted(x for x in busy if x[2] >= n)[-MOST_SPANS:]
+        at, spans, taken = 0, [], iter(busy)
+        ahead = next(taken, None)
+        here: list[tuple[int, str]] = []
+        for text, columns, down in row:
+            while ahead and ahead[0] <= at:
+                at, ahead = max(at, ahead[1]), next(taken, None)
+            here.append((at, text))
+            widest = max(map(len, text.split("\n")))
+            width.setdefault(at, 0)
+            if widest <= WIDE:
+                if columns == 1:
+                    width[at] = max(width[at], widest)
+                else:
+                    wide.append((at, at + columns, widest))
+            if down > 1:
+                spans.append((at, at + columns, n + down - 1))
+            at += columns
+        busy += spans
+        placed.append(here)
+    starts = sorted(width)
+    before: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
+    for first, end, n in wide:
+        before[bisect_left(starts, end)].append((bisect_left(starts, first), n))
+    offset = [0]
+    for i, x in enumerate(starts):
+        offset.append(max([offset[-1] + width[x] + 2, *(offset[a] + n + 2 for a, n in before[i + 1])]))
     out = []
-    for row in rows:
-        cells, at = [], 0
-        for text, span in row:
-            room = sum(width.get(at + j, 0) for j in range(span)) + 2 * (span - 1)
-            cells.append((text.split("\n"), room))
-            at += span
-        for i in range(max((len(lines) for lines, _ in cells), default=0)):
-            line = "  ".join((lines[i] if i < len(lines) else "").ljust(room) for lines, room in cells).rstrip(" ")
-            if line:
-                out.append(line)
+    for here in placed:
+        lines: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for at, text in here:
+            for i, piece in enumerate(text.split("\n")):
+                if piece:
+                    lines[i].append((offset[bisect_left(starts, at)], piece))
+        blanks = sum(parts[-1][0] - sum(len(x) for _, x in parts[:-1]) for parts in lines.values())
+        free = blanks <= FREE_BLANKS + BLANKS * (len(here) + len(lines))
+        for i in range(max(lines, default=-1) + 1):
+            line = ""
+            for start, piece in lines[i]:
+                line = line.ljust(max(start if free else 0, len(line) + 2 if line else 0)) + piece
+            out.append(line)
     return out
 
 
@@ -364,15 +419,16 @@ def render(root: Node) -> str:
     """All visible text of a tree."""
     out = Writer()
     writers: list[Writer] = []  # of the flows around open table cells
-    tables: list[list[list[tuple[str, int]]]] = []
-    lists: list[list] = []  # of open lists: next number or None for bullets
+    tables: list[list[list[tuple[str, int, int]]]] = []
+    lists: list[list] = []  # of open lists: next number or None for bullets, and the step
+    seen = [True]
     pre = 0
     drawn: list[bool] = []  # in svg: whether text is drawn here
     work: list[tuple[Node | str, bool]] = [(root, False)]
     while work:
         node, leaving = work.pop()
         if isinstance(node, str):
-            if not drawn or drawn[-1]:
+            if seen[-1] and (not drawn or drawn[-1]):
                 out.text(node, pre > 0)
             continue
         tag = node.tag
@@ -385,6 +441,8 @@ def render(root: Node) -> str:
             if tag == "wbr" or tag == "input":
                 continue
             work.append((node, True))
+            if node.seen is not None:
+                seen.append(node.seen)
             if tag == "table":
                 out.block(2)
                 tables.append([])
@@ -402,13 +460,15 @@ def render(root: Node) -> str:
             elif drawn and tag in ("text", "foreignobject"):
                 drawn.append(True)
             if tag in LISTS:
-                lists.append([_number(node.attributes.get("start"), 1) if tag == "ol" else None])
+                back = tag == "ol" and "reversed" in node.attributes
+                first = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) if back else 1
+                lists.append([_number(node.attributes.get("start"), first) if tag == "ol" else None, -1 if back else 1])
             elif tag == "li":
-                here = lists[-1] if lists else [None]
+                here = lists[-1] if lists else [None, 1]
                 here[0] = _number(node.attributes.get("value"), here[0]) if here[0] is not None else None
                 mark = "- " if here[0] is None else f"{here[0]}. "
                 if here[0] is not None:
-                    here[0] += 1
+                    here[0] += here[1]
                 out.indents.append(" " * len(mark))
                 out.mark = mark
             elif tag in ("blockquote", "dd"):
@@ -418,7 +478,7 @@ def render(root: Node) -> str:
             children = node.children
             if tag in ("option", "optgroup") and (label := node.attributes.get("label")):
                 children = [label] if tag == "option" else [label, *children]
-            elif tag == "textarea" and children and isinstance(children[0], str):
+            elif tag in ("pre", "listing", "textarea") and children and isinstance(children[0], str):
                 children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
             elif tag in ONE_SHOWN:
                 children = [x for x in children if isinstance(x, Node)][:1]
@@ -429,11 +489,14 @@ def render(root: Node) -> str:
             work.extend((x, False) for x in reversed(children))
             continue
         pre -= tag in PREFORMATTED
+        if node.seen is not None:
+            seen.pop()
         if tag == "svg" or (drawn and tag in ("text", "foreignobject")):
             drawn.pop()
         if tag in ("td", "th") and tables and tables[-1] and writers:
             text, out = out.done(), writers.pop()
-            tables[-1][-1].append((text, max(1, min(_number(node.attributes.get("colspan"), 1), 1000))))
+            down = _number(node.attributes.get("rowspan"), 1)
+            tables[-1][-1].append((text, max(1, min(_number(node.attributes.get("colspan"), 1), 1000)), down if down > 0 else 1 << 30))
         elif tag == "table":
             out.rows(aligned(tables.pop()))
             out.block(2)
