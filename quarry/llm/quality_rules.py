@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade (operator 4).
 
 Each rule looks at one text and rejects it or not. Before the run every rule's cost (seconds)
-and selectivity (share of texts rejected) are estimated on a sample; the rules then run in
+and selectivity (share of texts rejected) are estimated on a sample, the first rows of every
+partition, so that no part of a sorted table is left out and nothing is read twice whole. What several
+rules need (bytes, words) is measured apart and charged to the first of them. The rules then run in
 the order of rejections per second, and a text that one rule rejects meets no later one.
 The order changes the work done, never the verdict.
 
 Defined results: a null or empty text has no words; texts of any length are measured whole;
-the verdict is a function of the text alone, so repeated rows agree; other columns pass
-through and the new ones give way (``kept_``) where a column of that name exists.
+the verdict is a function of the text alone, so repeated rows agree; an empty table gives an
+empty result; other columns pass through and the new ones give way (``kept_``) where a column of that name exists.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from quarry.llm.words import windows, word_hashes
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
 
-#: Rows of the sample on which costs and selectivities are estimated.
-SAMPLE_ROWS = 1000
+#: Rows of each partition on which costs and selectivities are estimated.
+SAMPLE_ROWS = 64
 
 
 class Text:
@@ -105,10 +107,11 @@ class Text:
 
 @dataclass(frozen=True)
 class Rule:
-    """A name and a test that is true for a text to be rejected."""
+    """A name, a test that is true for a text to be rejected, and what of the text it shares with other rules."""
 
     name: str
     rejects: Callable[[Text], bool]
+    needs: tuple[str, ...] = ("raw", "words")
 
 
 #: What every text must pass before the method's own rules count: enough words, not mostly repeated ones.
@@ -119,8 +122,8 @@ BASE_RULES = (
 
 RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > t.n_words),
-    Rule("repeated_lines", lambda t: 10 * t.lines[1] > 4 * t.lines[0]),
-    Rule("capitals", lambda t: 2 * t.letters[1] > t.letters[0]),
+    Rule("repeated_lines", lambda t: 10 * t.lines[1] > 4 * t.lines[0], ("raw",)),
+    Rule("capitals", lambda t: 2 * t.letters[1] > t.letters[0], ("raw",)),
     Rule("one_word", lambda t: 10 * t.top_word > 3 * t.n_words),
     Rule("word_length", lambda t: not 2 * t.n_words <= t.word_chars <= 15 * t.n_words),
 )
@@ -147,31 +150,53 @@ class Estimate:
 
 
 def measured(texts: list[str | None], rules: tuple[Rule, ...]) -> list[tuple[str, float, int, int]]:
-    """Of each rule alone: name, seconds, rejections, texts."""
-    out = []
-    for rule in rules:
-        began, n = time.perf_counter(), 0
-        for text in texts:
-            n += bool(rule.rejects(Text(text)))
-        out.append((rule.name, time.perf_counter() - began, n, len(texts)))
+    """Of each rule alone, and of each thing that rules need: name, seconds, rejections, texts."""
+    spent = dict.fromkeys([*dict.fromkeys(x for r in rules for x in r.needs), *(r.name for r in rules)], 0.0)
+    rejected = dict.fromkeys(spent, 0)
+    needs = [x for x in spent if hasattr(Text, x)]
+    for text in texts:
+        shared = Text(text)
+        for x in needs:
+            began = time.perf_counter()
+            getattr(shared, x)
+            spent[x] += time.perf_counter() - began
+        for rule in rules:
+            own = Text(text)
+            own.__dict__.update({x: getattr(shared, x) for x in needs})
+            began = time.perf_counter()
+            rejected[rule.name] += bool(rule.rejects(own))
+            spent[rule.name] += time.perf_counter() - began
+    return [(x, spent[x], rejected[x], len(texts)) for x in spent]
+
+
+def in_order(rules: tuple[Rule, ...], seconds: dict[str, float], rejected: dict[str, float]) -> list[Estimate]:
+    """The rules by rejections per second: each time the best one, given what those before it have made known."""
+    left, known, out = [*rules], set(), []
+    while left:
+        costs = [Estimate(r, seconds.get(r.name, 0.0) + sum(seconds.get(x, 0.0) for x in r.needs if x not in known), rejected.get(r.name, 0.0)) for r in left]
+        best = max(costs, key=lambda e: e.rank)
+        out.append(best)
+        left.remove(best.rule)
+        known.update(best.rule.needs)
     return out
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """The rules with their estimates, most rejections per second first. Only sums reach the driver."""
-    total = docs.count()
-    share = min(1.0, max(3 * sample_rows / max(total, 1), 0.001))
-    sample = docs.select(column(docs, text).alias("text")).sample(share, seed=7).limit(sample_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = sample_rows
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                yield pd.DataFrame(measured(batch["text"].iloc[at : at + 64].tolist(), rules), columns=["rule", "s", "rejected", "n"])
-
-    sums = sample.mapInPandas(run, "rule string, s double, rejected long, n long").groupBy("rule")
-    found = {r["rule"]: r for r in sums.agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()}
-    estimates = [Estimate(r, found[r.name]["s"] / found[r.name]["n"], found[r.name]["rejected"] / found[r.name]["n"]) if r.name in found else Estimate(r, 0.0, 0.0) for r in rules]
-    return sorted(estimates, key=lambda e: -e.rank)
+            part = batch["text"].iloc[:left].tolist()
+            left -= len(part)
+            if part:
+                yield pd.DataFrame(measured(part, rules), columns=["rule", "s", "rejected", "n"])
+            if left <= 0:
+                return  # the rest of the partition is not read
+
+    sums = docs.select(column(docs, text).alias("text")).mapInPandas(run, "rule string, s double, rejected long, n long").groupBy("rule")
+    found = sums.agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()
+    return in_order(rules, {r["rule"]: r["s"] / r["n"] for r in found}, {r["rule"]: r["rejected"] / r["n"] for r in found})
 
 
 def apply_rules(

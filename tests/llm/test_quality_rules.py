@@ -65,5 +65,19 @@ def test_cascade_is_ordered_and_stops(spark):
     assert {r["rejected_by"] for r in qr.apply_rules(df, (dear, cheap)).collect()} == {"cheap", None}
 
 
+def test_shared_work_is_charged_once():
+    a, b = qr.Rule("a", None, ("words",)), qr.Rule("b", None, ("words",))
+    c = qr.Rule("c", None, ())
+    plan = qr.in_order((a, b, c), {"words": 10.0, "a": 1.0, "b": 1.0, "c": 4.0}, {"a": 0.5, "b": 0.3, "c": 0.3})
+    assert [(e.rule.name, e.seconds) for e in plan] == [("c", 4.0), ("a", 11.0), ("b", 1.0)]
+
+
+def test_the_sample_is_of_every_partition(spark):
+    """A table sorted by what rules reject: only its last part is rejected, and the sample sees that."""
+    df = spark.range(0, 4000, 1, 8).selectExpr("id doc_id", f"if(id < 3000, '{PROSE}', 'short') text")
+    plan = {e.rule.name: e for e in qr.plan_cascade(df, sample_rows=5)}
+    assert plan["few_words"].rejected == pytest.approx(0.25)
+
+
 def test_query(spark, data):
     same(QUERIES["op4_quality_rules"](spark, data), ORACLES["op4_quality_rules"], data)
