@@ -7,29 +7,68 @@ its position. Shards are equal ranges of positions, so their row counts differ b
 most (law ``rows``), and no group of records, copies of one text included, can make a shard
 larger.
 
-A repeated task makes the same order again: rows reach ``shuffle`` sorted by bucket and hash
-within a partition of fixed number, and the seed is fixed. Only rows that are equal in every
-hashed column are interchangeable.
+A repeated task makes the same order again: rows reach ``shuffle`` sorted by bucket, hash and
+copy within a partition of fixed number, and the seed is fixed. Rows that are equal in every
+column are interchangeable. Very many of them (over ``HEAVY``) do not meet in one bucket: they are
+counted, dealt anew as copies with a number each, and the number takes part in the hash.
 
 Defined results: null ids and null texts are values like others; an empty table gives an
-empty result; repeated rows get a slot each; all columns pass through, and the new ones give
+empty result; a very long text is a record like others (its bucket is larger by it); repeated rows
+get a slot each; all columns pass through, and the new ones give
 way (``shard_``) where a column of that name exists. Columns of types that cannot be hashed
-(maps, variants) are carried along but do not steer the scatter.
+(maps, variants) are hashed as JSON.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import column, free_name, text_bytes
+from pyspark.sql import types as T
+
+from quarry.llm import common
+from quarry.llm.common import column, free_name, spot, text_bytes
 
 #: UTF-8 bytes of text that a bucket holds on average.
 BUCKET_BYTES = 8 << 20
 #: Rows that a bucket holds on average, whatever their size.
 BUCKET_ROWS = 200_000
+#: Copies of a row that are dealt at once; buckets that are numbered together.
+CHUNK, BLOCK = 4096, 4096
+
+
+def _plain(kind: T.DataType) -> bool:
+    """Whether values of a type can be hashed and grouped."""
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _plain(kind.elementType)
+    return kind.typeName() not in ("map", "variant")
+
+
+def _scattered(docs: DataFrame, seed: int, buckets: int) -> DataFrame:
+    """bucket, h, copy and record of every row: uniform over the buckets, whatever repeats."""
+    values: list[Column] = [column(docs, f.name) if _plain(f.dataType) else F.to_json(F.struct(column(docs, f.name))) for f in docs.schema]
+    rows = docs.select(F.xxhash64(F.lit(seed), *values).alias("h"), F.struct(*values).alias("values"), F.struct(*(column(docs, c) for c in docs.columns)).alias("record"))
+    hot = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > common.HEAVY)
+    hot = F.broadcast(hot.select(spot("h").alias("spot"), F.lit(True).alias("hot")).distinct())  # SPOTS rows at most
+    marked = rows.withColumn("spot", spot("h")).join(hot, "spot", "left")
+    single = marked.where("hot is null").select(F.pmod("h", F.lit(buckets)).alias("bucket"), "h", F.lit(0).cast("long").alias("copy"), "record")
+    counted = marked.where("hot").groupBy("h", "values").agg(F.first("record").alias("record"), F.count("*").alias("n"))
+    chunks = counted.select("h", "record", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}"))).alias("chunk")).repartition("h", "chunk")
+    copies = chunks.select("h", "record", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("copy"))
+    return single.unionByName(copies.select(F.pmod(F.xxhash64("h", "copy"), F.lit(buckets)).alias("bucket"), "h", "copy", "record"))
+
+
+def _firsts(scattered: DataFrame) -> DataFrame:
+    """bucket and first: how many rows the buckets before it hold. Buckets are added up by block, then inside it."""
+    sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.expr(f"bucket div {BLOCK}"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n")).select("block", (F.sum("n").over(before) - F.col("n")).alias("ahead"))  # one row for 4096 buckets
+    inside = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sizes.withColumn("own", F.sum("n").over(inside) - F.col("n")).join(blocks, "block").select("bucket", (F.col("ahead") + F.col("own")).alias("first"))
 
 
 def external_shuffle(
@@ -46,15 +85,9 @@ def external_shuffle(
     rows = max(1, total["n"])
     buckets = max(1, math.ceil((total["b"] or 0) / bucket_bytes), math.ceil(rows / bucket_rows))
 
-    hashed = [column(docs, f.name) for f in docs.schema if f.dataType.typeName() not in ("map", "variant", "struct", "array")]
-    scattered = docs.select(F.xxhash64(F.lit(seed), *hashed).alias("h"), F.struct(*(column(docs, c) for c in docs.columns)).alias("record"))
-    scattered = scattered.select(F.pmod("h", F.lit(buckets)).alias("bucket"), "h", "record")
-
-    sizes = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
-    first = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    sizes = sizes.select("bucket", first.alias("first"))  # one narrow row a bucket
-
-    whole = scattered.repartition(buckets, "bucket").sortWithinPartitions("bucket", "h").groupBy("bucket").agg(F.collect_list("record").alias("records"))
+    scattered = _scattered(docs, seed, buckets)
+    sizes = _firsts(scattered)
+    whole = scattered.repartition(buckets, "bucket").sortWithinPartitions("bucket", "h", "copy").groupBy("bucket").agg(F.collect_list("record").alias("records"))
     shuffled = whole.select("bucket", F.posexplode(F.shuffle("records", seed)).alias("at", "record"))
     placed = shuffled.join(sizes, "bucket").select((F.col("first") + F.col("at")).alias(position), "record")
     share = F.expr(f"(({position} + 1) * {shards} - 1) div {rows}")

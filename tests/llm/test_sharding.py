@@ -44,6 +44,22 @@ def test_few_rows_clashing_names_and_repeated_rows(spark):
     assert sharding.external_shuffle(df.limit(0), 16).count() == 0
 
 
+def test_equal_rows_are_dealt_over_all_buckets(spark, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 20)
+    monkeypatch.setattr(sharding, "CHUNK", 30)
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    rows = [(1, "same")] * 700 + [(None, None)] * 90 + [(i, f"text {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.lit(1))).withColumn("s", F.struct("doc_id"))
+    buckets = 20
+    sizes = Counter(r["bucket"] for r in sharding._scattered(df, 1, buckets).collect())
+    assert len(sizes) == buckets and max(sizes.values()) < 3 * len(rows) / buckets
+    got = sharding.external_shuffle(df, 16, bucket_rows=50).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows) and got[0]["m"] == {"k": 1}
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+
+
 def test_writing(spark, tmp_path):
     shuffled = sharding.external_shuffle(table_of(spark), 5)
     sharding.write_shards(shuffled, str(tmp_path / "out"))
