@@ -14,7 +14,9 @@ after its ``<|im_start|>``, then take so many.
 
 Defined results: a null text or role is an empty one; a record of no known layout has null
 turns and formatted text and its fingerprint is kept for a mapping to be written; a record
-without turns gives an empty text; other columns pass through.
+without turns gives an empty text; a very long text is formatted whole; repeated rows are formatted
+each; an empty table gives an empty result; other columns pass through, and the new ones give way
+where names clash: ``chat_names`` tells what they are called then.
 """
 
 from __future__ import annotations
@@ -25,8 +27,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import column, free_name
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: The columns that formatting and reading back add.
+NAMES = {x: x for x in ("fingerprint", "layout", "turns", "formatted", "loss_runs", "read_turns", "loss_text")}
+
+
+def chat_names(records: DataFrame) -> dict[str, str]:
+    """What the added columns are called beside those of ``records``."""
+    return {x: free_name(records, x) for x in NAMES}
 
 
 @dataclass(frozen=True)
@@ -109,13 +120,15 @@ def fingerprint(record: Column) -> Column:
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``records`` with fingerprint, layout (its name) and turns. ``record``: a variant column."""
-    found = F.col("fingerprint")
+    names, own = chat_names(records), column(records, record)
+    marked = records.withColumn(names["fingerprint"], fingerprint(own))
+    found, own = F.col(names["fingerprint"]), column(marked, record)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in reversed(layouts):
         known = found.isin(*(F.xxhash64(F.lit(s)) for s in layout.schemas()))
         name = F.when(known, F.lit(layout.name)).otherwise(name)
-        turns = F.when(known, layout.turns(F.col(record)).cast(TURNS)).otherwise(turns)
-    return records.withColumn("fingerprint", fingerprint(F.col(record))).withColumns({"layout": name, "turns": turns})
+        turns = F.when(known, layout.turns(own).cast(TURNS)).otherwise(turns)
+    return marked.withColumns({names["layout"]: name, names["turns"]: turns})
 
 
 def escaped(text: Column) -> Column:
@@ -145,8 +158,9 @@ def _joined(parts: Column, part: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(parts, part), "")
 
 
-def render(records: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def render(records: DataFrame, learn_from: tuple[str, ...] = ("assistant",), names: dict[str, str] = NAMES) -> DataFrame:
     """``records`` (with turns) with formatted and loss_runs (skip, take: code points; one a turn)."""
+    turns = F.col(names["turns"])
 
     def one(t: Column) -> Column:
         return F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"), escaped(t["text"]), F.lit(END + "\n"))
@@ -158,12 +172,12 @@ def render(records: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) ->
             F.when(learnt, F.char_length(escaped(t["text"]))).otherwise(0).alias("take"),
         )
 
-    return records.withColumns({"formatted": _joined(F.col("turns"), one), "loss_runs": F.transform("turns", run)})
+    return records.withColumns({names["formatted"]: _joined(turns, one), names["loss_runs"]: F.transform(turns, run)})
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, names: dict[str, str] = NAMES) -> DataFrame:
     """Turns and the text under the loss mask, from nothing but formatted and loss_runs."""
-    parts = F.split(F.col("formatted"), r"<\|im_start\|>", -1)
+    parts = F.split(F.col(names["formatted"]), r"<\|im_start\|>", -1)
     parts = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["i"] > 0)
     parts = F.transform(parts, lambda p: p["x"])
 
@@ -176,21 +190,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def learnt(p: Column, r: Column) -> Column:
         return unescaped(F.substring(p, r["skip"] + 1, r["take"]))
 
-    read = formatted.withColumn("parts", parts)
-    read = read.withColumns({"read_turns": F.transform("parts", turn), "loss_text": F.array_join(F.zip_with("parts", "loss_runs", learnt), "")})
-    return read.drop("parts")
+    held = free_name(formatted, "parts")
+    read = formatted.withColumn(held, parts)
+    loss = F.array_join(F.zip_with(held, names["loss_runs"], learnt), "")
+    return read.withColumns({names["read_turns"]: F.transform(held, turn), names["loss_text"]: loss}).drop(held)
 
 
-def digest(read: DataFrame, key: str) -> DataFrame:
+def digest(read: DataFrame, key: str, names: dict[str, str] = NAMES) -> DataFrame:
     """Counts and SHA-256 digests of what ``read_back`` gives."""
-    turns = _joined(F.col("read_turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    turns = _joined(F.col(names["read_turns"]), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return read.select(
-        key,
-        F.size("read_turns").cast("long").alias("n_turns"),
+        column(read, key).alias(key),
+        F.size(names["read_turns"]).cast("long").alias("n_turns"),
         F.sha2(turns, 256).alias("turns_sha256"),
-        F.char_length("loss_text").cast("long").alias("loss_chars"),
-        F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.char_length(names["loss_text"]).cast("long").alias("loss_chars"),
+        F.sha2(names["loss_text"], 256).alias("loss_sha256"),
+        F.char_length(names["formatted"]).cast("long").alias("formatted_chars"),
     )
 
 
@@ -207,4 +222,4 @@ def conversation_records(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 def format_chats(records: DataFrame, record: str = "record") -> DataFrame:
     """Records of mixed layouts (variant) to fingerprint, layout, turns, formatted and loss_runs."""
-    return render(canonical_turns(records, record))
+    return render(canonical_turns(records, record), names=chat_names(records))

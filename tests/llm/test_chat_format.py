@@ -60,6 +60,26 @@ def test_digest_and_conversations(spark):
     assert cf.digest(cf.read_back(cf.format_chats(cf.conversation_records(empty))), "conv_id").count() == 0
 
 
+def test_all_layouts_of_a_table_with_clashing_names(spark):
+    """Every layout and hostile text through the whole chain, beside columns that are called like the added ones."""
+    records = [x for x, _ in RECORDS.values()] + [{"prompt": h, "completion": h} for h in HOSTILE] + [{"unknown": 1}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, text string")
+    clashing = [*cf.NAMES, "parts", "FORMATTED"]
+    df = df.select("id", F.try_parse_json("text").alias("record"), *(F.lit(f"mine {c}").alias(c if c != "FORMATTED" else "Formatted_") for c in clashing))
+    names = cf.chat_names(df)
+    assert not set(names.values()) & set(df.columns) and names["formatted"] == "formatted__"
+    read = cf.read_back(cf.format_chats(df), names)
+    assert all(r[c] == f"mine {c}" for r in read.select(*cf.NAMES, "parts").collect() for c in [*cf.NAMES, "parts"])
+    got = {r["id"]: r for r in read.select("id", *names.values()).collect()}
+    expected = [turns for _, turns in RECORDS.values()] + [[("user", h), ("assistant", h)] for h in HOSTILE]
+    for i, turns in enumerate(expected):
+        assert [(t["role"], t["text"]) for t in got[i][names["read_turns"]]] == turns
+        assert got[i][names["loss_text"]] == "".join(t for r, t in turns if r == "assistant")
+    assert got[len(expected)][names["formatted"]] is None
+    assert cf.digest(read, "id", names).count() == len(records)
+    assert cf.read_back(cf.format_chats(df.limit(0)), names).count() == 0
+
+
 @pytest.mark.parametrize("name", ["op6_chat_formatting"])
 def test_query(spark, data, name):
     same(QUERIES[name](spark, data), ORACLES[name], data)
