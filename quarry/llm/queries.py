@@ -186,11 +186,12 @@ WITH made AS (
   SELECT page_id, strlen(record) AS size, sha256(record) AS digest,
     CASE WHEN md5(url)[1:2] = '00' THEN sha256(record[1:1] || '#' || record[3:]) ELSE sha256(record) END AS replica_digest,
     md5(url)[1:2] <> '00' AS intact,
-    ('0x' || md5(page_id::VARCHAR)[1:8])::BIGINT % (SELECT greatest(1, ceil(sum(strlen(record)) / 67108864.0))::BIGINT FROM records) AS archive
+    ('0x' || md5(coalesce(page_id::VARCHAR, 'size ' || strlen(record)))[1:8])::BIGINT % (SELECT greatest(1, ceil(sum(strlen(record)) / 67108864.0))::BIGINT FROM records) AS archive
   FROM records
 )
 SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY page_id, digest) - 1 AS ordinal, page_id,
-  (sum(size) OVER w - size)::BIGINT AS first, (sum(size) OVER w)::BIGINT AS last, digest, replica_digest, intact
+  (sum(size) OVER w - size)::BIGINT AS first, (sum(size) OVER w)::BIGINT AS last, digest, replica_digest, intact,
+  CASE WHEN intact THEN 'intact' ELSE 'damaged' END AS status
 FROM dealt
 WINDOW w AS (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """

@@ -7,13 +7,18 @@ replicas' roots, archive by archive, and descends only into children of nodes th
 so the work below the roots follows the damage, not the collection.
 
 Archives are bounded (``ARCHIVE_BYTES`` on average): records are dealt to them by a digest of
-their id, so no source or host can make one large, and one shuffle of narrow rows (never of
-contents) by archive serves offsets and every level of the tree.
+their id (of their size, if they have none), so no source or host can make one large, and one shuffle of narrow rows (never of
+contents) by archive serves offsets and every level of the tree. What differs at one level is
+written before the next one is compared, so the plan does not grow with the depth.
+
+A record whose leaf differs is ``damaged`` if the replica holds its id with other contents,
+``moved`` if it holds the same contents elsewhere (all records after one that grew or went), else ``missing``;
+one that only the replica holds is ``extra``.
 
 Defined results: a null payload is an empty one; null ids and repeated rows are records like
-others, ordered by digest among themselves; an archive or record that only one replica has is
+others, ordered by digest among themselves; a very long record is hashed whole by the engine; an archive or record that only one replica has is
 reported; empty tables give an empty result; input columns beyond those named are not
-carried.
+carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, column
+from quarry.llm.common import checkpoint, column, forget
 
 FANOUT = 16
 ARCHIVE_BYTES = 64 << 20
@@ -56,9 +61,9 @@ def archive_count(records: DataFrame, record: str = "record", archive_bytes: int
     return max(1, math.ceil(total / archive_bytes))
 
 
-def archive_of(key: Column, archives: int) -> Column:
-    """The archive of an id: the first 32 bits of its text's MD5, modulo the number of archives."""
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+def archive_of(key: Column, size: Column, archives: int) -> Column:
+    """The archive of an id: the first 32 bits of its text's MD5, modulo the number of archives. Without an id, the record's bytes count."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.concat(F.lit("size "), size.cast("string"))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % archives
 
 
@@ -66,7 +71,7 @@ def leaves(records: DataFrame, archives: int, key: str = "id", record: str = "re
     """archive, ordinal, id, first and last (offsets), digest (SHA-256 of the record) and hash of each record."""
     body = F.coalesce(column(records, record), F.lit(""))
     rows = records.select(
-        archive_of(column(records, key), archives).alias("archive"),
+        archive_of(column(records, key), F.octet_length(body), archives).alias("archive"),
         column(records, key).alias("id"),
         F.octet_length(body).cast("long").alias("size"),
         F.sha2(body.cast("binary"), 256).alias("digest"),
@@ -98,6 +103,7 @@ def nodes(own: DataFrame, depth: int, fanout: int = FANOUT) -> DataFrame:
         level = level.groupBy("archive", F.expr(f"place div {fanout}").alias("place")).agg(
             F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(parts, "\n"), 256).alias("hash")
         )
+        level = checkpoint(level)  # else each level's plan would hold those below it
         every.append(level.withColumn("level", F.lit(i)))
     out = every[0]
     for x in every[1:]:
@@ -112,47 +118,56 @@ def mismatches(mine: DataFrame, theirs: DataFrame, depth: int, fanout: int = FAN
         a, b = a.select("archive", "place", F.col("hash").alias("a")), b.select("archive", "place", F.col("hash").alias("b"))
         return a.join(b, ["archive", "place"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("archive", "place")
 
-    found = differing(mine.where(F.col("level") == depth), theirs.where(F.col("level") == depth))
+    found = checkpoint(differing(mine.where(F.col("level") == depth), theirs.where(F.col("level") == depth)))
     for i in range(depth - 1, -1, -1):
         above = found.select("archive", F.col("place").alias("parent"))
 
         def below(x: DataFrame, i: int = i, above: DataFrame = above) -> DataFrame:
             return x.where(F.col("level") == i).withColumn("parent", F.expr(f"place div {fanout}")).join(above, ["archive", "parent"], "left_semi")
 
-        found = differing(below(mine), below(theirs))
+        last, found = found, checkpoint(differing(below(mine), below(theirs)))
+        forget(last)
     return found.select("archive", F.col("place").alias("ordinal"))
 
 
 def audit(records: DataFrame, replica: DataFrame, key: str = "id", record: str = "record", archive_bytes: int = ARCHIVE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """Every record of the first replica, and those only the second has, with where it stands and intact.
+    """Every record of the first replica, and those only the second has, with where it stands, intact and status.
 
     ``records`` and ``replica`` have the id and the record (text). Columns: archive, ordinal, id,
-    first, last, digest, replica_digest, intact.
+    first, last, digest, replica_digest (of what the replica holds at that place), intact, status.
     """
     archives = archive_count(records, record, archive_bytes)
     mine, theirs = checkpoint(leaves(records, archives, key, record)), checkpoint(leaves(replica, archives, key, record))
     depth = max(tree_depth(mine, fanout), tree_depth(theirs, fanout))
-    bad = mismatches(checkpoint(nodes(mine, depth, fanout)), checkpoint(nodes(theirs, depth, fanout)), depth, fanout)
-    other = theirs.join(bad, ["archive", "ordinal"], "left_semi").select("archive", "ordinal", F.col("id").alias("other_id"), F.col("first").alias("other_first"), F.col("last").alias("other_last"), F.col("digest").alias("replica_digest"))
-    damaged = bad.join(other, ["archive", "ordinal"], "left").withColumn("bad", F.lit(True))
-    out = mine.drop("hash").join(damaged, ["archive", "ordinal"], "full")
-    intact = F.col("bad").isNull()
-    return out.select(
-        "archive",
-        "ordinal",
-        F.coalesce("id", "other_id").alias("id"),
-        F.coalesce("first", "other_first").alias("first"),
-        F.coalesce("last", "other_last").alias("last"),
-        "digest",
-        F.when(intact, F.col("digest")).otherwise(F.col("replica_digest")).alias("replica_digest"),
-        intact.alias("intact"),
+    bad = mismatches(nodes(mine, depth, fanout), nodes(theirs, depth, fanout), depth, fanout)
+    place = ["archive", "ordinal"]
+    lost, other = mine.join(bad, place, "left_semi"), theirs.join(bad, place, "left_semi")
+
+    def known(rows: DataFrame, among: DataFrame, name: str, by: list[str]) -> DataFrame:
+        """``rows`` with a mark where ``among`` has a row of the same values, null ids included."""
+        a, b = rows.alias("a"), among.select(*by).distinct().withColumn(name, F.lit(True)).alias("b")
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        return a.join(b, same, "left").select("a.*", F.col(f"b.{name}").isNotNull().alias(name))
+
+    judged = known(known(lost, other, "held", ["archive", "id", "digest"]), other, "named", ["archive", "id"])
+    status = F.when(F.col("held"), "moved").when(F.col("named"), "damaged").otherwise("missing")
+    there = other.select(*place, F.col("digest").alias("replica_digest"))
+    judged = judged.select(*place, status.alias("status")).join(there, place, "left")
+    intact = F.col("status").isNull()
+    out = mine.join(judged, place, "left").select(
+        *place, "id", "first", "last", "digest", F.when(intact, F.col("digest")).otherwise(F.col("replica_digest")).alias("replica_digest"), intact.alias("intact"), F.coalesce("status", F.lit("intact")).alias("status")
     )
+    extra = known(other, lost, "named", ["archive", "id"]).where("not named")
+    nothing = F.lit(None).cast("string").alias("digest")
+    return out.unionByName(extra.select(*place, "id", "first", "last", nothing, F.col("digest").alias("replica_digest"), F.lit(False).alias("intact"), F.lit("extra").alias("status")))
 
 
 def write_archives(records: DataFrame, path: str, archives: int, key: str = "id", record: str = "record") -> None:
     """One folder an archive, with one file: the records' bytes one after another, in the order of ``leaves``."""
     body = column(records, record)
-    rows = records.select(archive_of(column(records, key), archives).alias("archive"), column(records, key).alias("id"), F.sha2(body.cast("binary"), 256).alias("digest"), body.alias("value"))
+    rows = records.select(archive_of(column(records, key), F.octet_length(F.coalesce(body, F.lit(""))), archives).alias("archive"), column(records, key).alias("id"), F.sha2(body.cast("binary"), 256).alias("digest"), body.alias("value"))
     # The writer ends each row with a line feed; a record ends with one.
     rows = rows.repartition("archive").sortWithinPartitions("archive", "id", "digest").select("archive", F.expr("substring(value, 1, char_length(value) - 1)").alias("value"))
     rows.write.mode("overwrite").partitionBy("archive").text(path)

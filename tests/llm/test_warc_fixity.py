@@ -55,6 +55,35 @@ def test_missing_and_moved_records(spark):
     longer = wf.audit(df, changed(df, {30: lambda b: F.concat(b, F.lit("!"))}), archive_bytes=10**6).where("not intact")
     assert {r["id"] for r in longer.collect()} == set(range(30, 50))  # what follows has moved
     assert longer.where("digest <> replica_digest").count() == 1
+    assert {(r["id"], r["status"]) for r in longer.collect()} == {(30, "damaged"), *((i, "moved") for i in range(31, 50))}
+    assert gone[0]["status"] == "extra"
+
+
+def test_what_went_and_came_in_between(spark):
+    df = records(spark, 40)
+    got = wf.audit(df.where("id <> 7"), df.where("id <> 20"), archive_bytes=10**6).collect()
+    by = {r["id"]: r["status"] for r in got}
+    assert len(got) == 40 and by[20] == "missing" and by[7] == "extra"
+    assert {i for i, x in by.items() if x == "moved"} >= set(range(8, 20))  # behind what came in, before what went
+    assert all(by[i] == "intact" for i in range(7))
+    assert all(by[i] in ("intact", "moved") for i in by if i not in (7, 20))
+
+
+def test_records_without_an_id_do_not_meet_in_one_archive(spark):
+    df = records(spark).withColumn("id", F.lit(None).cast("long"))
+    replica = df.withColumn("record", F.when(F.col("record").startswith("record 7 "), F.overlay("record", F.lit("#"), F.lit(3))).otherwise(F.col("record")))
+    got = wf.audit(df, replica, archive_bytes=2000, fanout=3)
+    assert got.count() == 300 and got.select("archive").distinct().count() > 3
+    assert got.where("digest <> replica_digest and status in ('damaged', 'missing')").count() == 1
+
+
+def test_the_plan_does_not_grow_with_the_depth(spark):
+    df = records(spark, 80)
+
+    def joins(fanout):
+        return wf.audit(df, df, archive_bytes=10**6, fanout=fanout)._jdf.queryExecution().executedPlan().toString().count("Join")
+
+    assert joins(2) == joins(80)
 
 
 def test_defined_results(spark):
