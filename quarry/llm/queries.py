@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
-from quarry.llm.common import table, text_bytes
+from quarry.llm.common import spread, table, text_bytes
 from quarry.llm.decontamination import overlaps
 from quarry.llm.html_text import extract_text
 from quarry.llm.near_dedup import near_duplicates
@@ -21,17 +21,17 @@ from quarry.llm.warc_fixity import audit, warc_record
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return overlaps(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), short=True)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = extract_text(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
     return pages.select("page_id", F.col("text"), F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return near_duplicates(docs, k=3, threshold=0.85)
 
 
@@ -66,7 +66,7 @@ FROM docs LEFT JOIN sizes USING (doc_id) JOIN least ON x = doc_id
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), statistics=True)
+    docs = apply_rules(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), statistics=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
 
@@ -152,12 +152,12 @@ FROM hostile
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    packed = pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
@@ -198,7 +198,7 @@ WINDOW w AS (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDE
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
