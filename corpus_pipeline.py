@@ -6,8 +6,12 @@ overlap the benchmark; what is left is packed into sequences. No stage is expres
 as a whole (the first fits a classifier, the last encodes tokens), so ORACLE_SQL is None and
 the tests hold the result against brute force.
 
-Defined results: rows with a null text are empty texts, which the quality rules reject; all
-columns of the documents pass through the filtering stages; an empty table gives no pieces.
+What a stage keeps is written once, to the shared folder, before the next one reads it, so
+nothing is computed twice.
+
+Defined results: rows with a null text are empty texts, which the quality rules reject; of rows that
+repeat (one id, one text) one stays; rows with a null id are linked with nothing; very long texts are
+taken whole; all columns of the documents pass through the filtering stages; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import checkpoint, spread, table
 from quarry.llm.decontamination import decontaminate
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack
@@ -39,8 +43,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity of 0.8 or more."""
-    gone = near_duplicates(docs, k=5, threshold=0.8).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = near_duplicates(docs, k=5, threshold=0.8)
+    left = docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +73,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = spread(table(spark, sf_dir, "documents"))
+    for name, stage in STAGES:
+        kept = stage(spark, docs, sf_dir)
+        docs = kept if name == STAGES[-1][0] else checkpoint(kept)
     return docs
