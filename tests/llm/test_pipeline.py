@@ -1,6 +1,8 @@
 import inspect
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from quarry.llm import decontamination as dc
 from quarry.llm import near_dedup as nd
 from quarry.llm.quality_rules import BASE_RULES, RULES, Text
@@ -61,3 +63,31 @@ def test_nulls_extra_columns_and_nothing(spark, data):
         rows = out
     assert cp.packing(spark, rows, data).count() > 0
     assert dc.MIN_ITEM > 1
+
+
+def test_every_stage_runs_once(spark, data, monkeypatch):
+    """A document is scored once, and what a stage kept is read from what it wrote."""
+    scored, written = spark.sparkContext.accumulator(0), []
+
+    def counting(docs, model):
+        @F.udf("int")
+        def never(i):
+            scored.add(1)
+            return 0
+
+        return docs.withColumn("predicted", never("doc_id"))
+
+    monkeypatch.setattr(cp, "score", counting)
+    keep = cp.checkpoint
+    monkeypatch.setattr(cp, "checkpoint", lambda df: written.append(df.columns) or keep(df))
+    assert cp.run(spark, data).count() > 0
+    assert scored.value == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert len(written) == len(cp.STAGES) - 1
+
+
+def test_of_repeated_rows_one_stays(spark, data, words):
+    text = " ".join(words(80, seed=1))
+    rows = [(1, text), (1, text), (2, text), (3, " ".join(words(80, seed=2))), (3, " ".join(words(80, seed=3))), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, cp.near_dedup(spark, docs, data).collect()), key=str)
+    assert got == sorted([rows[0], rows[3], rows[4], rows[5]], key=str)
