@@ -7,26 +7,24 @@
    shares no bucket with a probability below ``MISS``.
 3. All samples are folded into an odd sketch, a bitmap in which each sample toggles one
    bit. The population count of two sketches' XOR estimates their similarity closely where it
-   is high. A pair in a bucket is a candidate if this estimate is not clearly (``MARGIN``)
-   below the threshold and the sizes of its sets allow the threshold.
-4. Candidates are confirmed on whole sets: a task holds one class's set and streams those
-   of its candidates past it. First every bucket's smallest id is compared with the others of
-   the bucket. What is linked becomes a component, and from then on only pairs of
-   different components matter: as long as links are found, each class is compared with the
-   nearest one (by sketch) of another component in its buckets; at last with all that are left.
+   is high. Inside a bucket, classes are joined if this estimate is not clearly (``MARGIN``)
+   below the threshold.
+4. Classes so connected meet in one task with their whole sets, and links are confirmed
+   exactly. A connected group of over ``BLOCK_SHINGLES`` shingles is dealt in blocks and every pair
+   of blocks is a task, so memory stays bounded and no link is lost.
 5. Components of the confirmed links, labelled by their smallest id.
 
-Every step is the same at every size. Pairs of one component are never listed, so a group of
-near copies costs in proportion to its members; buckets are compared in blocks of
-``BLOCK``, where the members of the bucket's largest component are not compared with each other;
-rows of one key (copies of one text, a bucket, a hub) are dealt over many tasks.
+Nothing is capped: a bucket of over ``MAX_BUCKET`` classes is passed on unfiltered as a star
+around its smallest id, which only makes the exact step's groups larger. Pairs are never
+listed; each task gives at most one edge a member. Rows of one key that may be very many (copies of
+one text, a bucket, a hub of the graph) are dealt over many tasks.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked
 with nothing; a text of fewer words than a shingle is one shingle; a very long text is taken in
-slices, and only its set is held whole; rows with a null id are linked with nothing and kept;
-rows that share an id (ids are meant to be unique) are one node, linked by any of their texts,
-and get a row each; an empty table gives an empty result; only the id and the text are read,
-so other columns cannot clash.
+slices, and only its set is held whole; rows with a null id are
+linked with nothing and kept; rows that share an id (ids are meant to be unique) are one node and
+get a row each; an empty table gives an empty result; only the id and the text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -39,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import by_key, checkpoint, column, forget, spot, spread_join
+from quarry.llm.common import by_key, checkpoint, column, forget, spread_join
 from quarry.llm.components import components
 from quarry.llm.words import mixed, numbers, shingles, word_hashes
 
@@ -49,8 +47,8 @@ MISS = 1e-8
 SKETCH_BITS = 512
 #: Estimates so far below the threshold still count as candidates: about six standard deviations.
 MARGIN = 0.18
-#: Classes of a bucket that one task compares with as many others; candidates that one task streams past one set.
-BLOCK, PART = 2048, 256
+MAX_BUCKET = 20_000
+BLOCK_SHINGLES = 1_000_000
 
 _MIN_XOR = numbers(41, 1024)
 _MIN_TIMES = numbers(42, 1024) | np.uint64(1)
@@ -99,6 +97,21 @@ def estimate(differing: int, n: int, bits: int = SKETCH_BITS) -> float:
     return 1 + bits / (4 * n) * math.log(left) if left > 0 else -math.inf
 
 
+def clusters(sketches: np.ndarray, most: int) -> np.ndarray:
+    """For each sketch (rows of 64-bit words) the first one that it reaches over pairs with at most so many differing bits."""
+    n = len(sketches)
+    first, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        root, queue, rest = rest[0], [rest[0]], rest[1:]
+        while queue and len(rest):
+            near = np.bitwise_count(sketches[rest] ^ sketches[queue.pop()]).sum(1) <= most
+            if near.any():
+                first[rest[near]] = root
+                queue += rest[near].tolist()
+                rest = rest[~near]
+    return first
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows that follow each other with the same first column, batches joined."""
     held: list[pa.RecordBatch] = []
@@ -118,167 +131,146 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pairs(u: list, v: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+class _Edges:
+    """Pairs of ids, given back in batches."""
+
+    def __init__(self):
+        self.u: list = []
+        self.v: list = []
+
+    def star(self, ids: np.ndarray, roots: np.ndarray) -> None:
+        far = ids != roots
+        self.u += ids[far].tolist()
+        self.v += roots[far].tolist()
+
+    def batch(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.u) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(self.u, pa.int64()), pa.array(self.v, pa.int64())], ["u", "v"])
+            self.u, self.v = [], []
 
 
 def features(docs: DataFrame, k: int, n: int, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, set_hash (of the whole set, null if empty), band keys and odd sketch (64-bit words) of each row."""
+    """id, n_shingles, set_hash (of the whole set, null if empty), band keys and odd sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
-                for x in part.column(1):
-                    found = text_shingles(x.as_py(), k)
+                for x in part.column(1).to_pylist():
+                    found = text_shingles(x, k)
                     if not len(found):
                         out.append((0, None, None, None))
                         continue
                     least = samples(found, n)
                     both = (int(mixed(found).sum(dtype=np.uint64)), int(mixed(found ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64)))
-                    out.append((len(found), f"{both[0]:016x}{both[1]:016x}", band_keys(least, rows).view(np.int64), np.frombuffer(odd_sketch(least), np.int64)))
+                    out.append((len(found), f"{both[0]:016x}{both[1]:016x}", band_keys(least, rows).view(np.int64), odd_sketch(least)))
                 sizes, whole, bands, sketches = zip(*out, strict=True)
-                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+                arrays = [part.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "set_hash", "bands", "sketch"])
 
     rows_in = docs.select(column(docs, key).cast("long").alias("id"), column(docs, text).alias("text"))
-    return rows_in.mapInArrow(run, "id long, n_shingles long, set_hash string, bands array<long>, sketch array<long>")
-
-
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union, of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or 100 * len(a) < percent * len(b):
-        return False
-    spots = np.searchsorted(b, a)
-    spots[spots == len(b)] = 0
-    common = int(np.count_nonzero(b[spots] == a))
-    return 100 * common >= percent * (len(a) + len(b) - common)
-
-
-def _sketched(pairs: DataFrame, marks: DataFrame, most: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sketches differ in at most ``most`` bits and whose sizes allow the threshold."""
-    theirs = marks.select(F.col("id").alias("v"), F.col("n_shingles").alias("n_v"), F.col("sketch").alias("sketch_v"))
-    mine = marks.select(F.col("id").alias("u"), F.col("n_shingles").alias("n_u"), F.col("sketch").alias("sketch_u"))
-    both = spread_join(pairs.join(theirs, "v"), mine, "u", "v", pairs.groupBy("u").agg(F.count("*").alias("n")))
-    differing = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    able = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    return both.where(able & (differing <= most)).select("u", "v").distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that exact similarities confirm. A task holds the set of one u and streams those of its v."""
-    sizes = pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    hot = F.broadcast(sizes.groupBy(spot("u").alias("spot")).agg(F.max("n").alias("most")))  # SPOTS rows at most
-    part = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(F.col("most") / PART)), F.lit(0))
-    dealt = pairs.withColumn("spot", spot("u")).join(hot, "spot", "left").select("u", "v", part.cast("long").alias("part"))
-    heads = dealt.select("u", "part").distinct().select("u", "part", F.lit(0).alias("role"), F.col("u").alias("id"))
-    rows = heads.unionByName(dealt.select("u", "part", F.lit(1).alias("role"), F.col("v").alias("id"))).join(texts, "id")
+    return rows_in.mapInArrow(run, "id long, n_shingles long, set_hash string, bands array<long>, sketch binary")
+
+
+def _candidate_edges(classes: DataFrame, most: int) -> DataFrame:
+    """(u, v): inside each band bucket, stars of the classes that odd sketches connect.
+
+    A bucket too large for one task becomes a star around its smallest id by a join, which
+    may be split over tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            u, v = [], []
-            heads, parts, roles, ids = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(4))
-            for key, role, other, text in zip(zip(heads, parts), roles, ids, batch.column(4)):
-                if key != now:
-                    now, held = key, []
-                found = text_shingles(text.as_py(), k)
-                if role == 0:
-                    held.append(found)
-                elif any(similar(x, found, percent) for x in held):
-                    u.append(key[0])
-                    v.append(other)
-            yield _pairs(u, v)
-
-    ready = by_key(rows.select("u", "part", "role", "id", "text"), "u", "part").sortWithinPartitions("u", "part", "role")
-    return ready.mapInArrow(run, "u long, v long")
-
-
-def _cross_pairs(members: DataFrame, labels: DataFrame, marks: DataFrame, most: int, percent: int, nearest: bool) -> DataFrame:
-    """(u, v): pairs inside a bucket, of different components, whose sketches and sizes allow a link.
-
-    ``members``: band and id without each bucket's smallest; ``labels``: id and component.
-    ``nearest``: of each class only the pair whose sketches differ least. Tasks are pairs of blocks; the
-    members of a bucket's largest component are only compared with the others.
+        edges = _Edges()
+        for bucket in _runs(batches):
+            ids = bucket.column(1).to_numpy()
+            sketches = np.frombuffer(b"".join(bucket.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
+            edges.star(ids, ids[clusters(sketches, most)])
+            yield from edges.batch(20_000)
+        yield from edges.batch()
+
+    members = classes.select("id", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    shared = checkpoint(spread_join(members, shared, "band", "id", shared))
+    stars = shared.where(F.col("n") > MAX_BUCKET).select(F.col("id").alias("u"), F.col("least").alias("v"))
+    small = shared.where(F.col("n") <= MAX_BUCKET).join(classes.select("id", "sketch"), "id").select("band", "id", "sketch")
+    small = small.repartition("band").sortWithinPartitions("band", "id")
+    return small.mapInArrow(run, "u long, v long").unionByName(stars).distinct()
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each set the first one that it reaches over pairs with 100 * intersection >= threshold * 100 * union."""
+    percent = round(threshold * 100)
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    marks = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+    first, rest = np.arange(n), np.arange(n)
+    while len(rest):
+        root, queue, rest = rest[0], [rest[0]], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            own = flat[ends[i] - sizes[i] : ends[i]]
+            able = (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
+            near = np.zeros(len(rest), bool)
+            if able.any() and sizes[i]:
+                marks[own] = True
+                them = rest[able]
+                spans = sizes[them]
+                starts = np.cumsum(spans) - spans
+                spots = np.arange(int(spans.sum())) + np.repeat(ends[them] - spans - starts, spans)
+                common = np.add.reduceat(marks[flat[spots]].astype(np.int64), starts)
+                marks[own] = False
+                near[able] = 100 * common >= percent * (spans + sizes[i] - common)
+            if near.any():
+                first[rest[near]] = root
+                queue += rest[near].tolist()
+                rest = rest[~near]
+    return first
+
+
+def _confirmed_edges(docs: DataFrame, groups: DataFrame, classes: DataFrame, k: int, threshold: float, key: str, text: str) -> DataFrame:
+    """(u, v): stars of the ids that exact similarities connect, from each group's whole texts.
+
+    ``groups``: (id, component) of the ids that candidates connect; ``classes``: their n_shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
-        for rows in _runs(batches):
-            second, ids, label, sizes = (rows.column(i).to_numpy() for i in range(1, 5))
-            bits = np.array(rows.column(5).to_pylist(), np.int64).view(np.uint64)
-            mine = np.flatnonzero(~second)
-            theirs = np.flatnonzero(second) if second.any() else mine
-            inside = theirs is mine
-            for n, i in enumerate(mine):
-                rest = theirs[n + 1 :] if inside and not nearest else theirs
-                able = (label[rest] != label[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
-                rest = rest[able]
-                differing = np.bitwise_count(bits[rest] ^ bits[i]).sum(1)
-                near = rest[differing <= most]
-                if nearest and len(near):
-                    near = rest[[int(np.argmin(differing))]]
-                u += np.minimum(ids[near], ids[i]).tolist()
-                v += np.maximum(ids[near], ids[i]).tolist()
-                if len(u) >= 20_000:
-                    yield _pairs(u, v)
-                    u, v = [], []
-        if u:
-            yield _pairs(u, v)
-
-    named = members.join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("label"))
-    sizes = named.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed_ = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    few, many = F.ceil((F.col("n") - F.col("most")) / BLOCK), F.ceil(F.col("most") / BLOCK)
-    rows = spread_join(named, mixed_.select("band", "major", few.alias("few"), many.alias("many")), "band", "id", mixed_)
-    minor, place = F.col("label") != F.col("major"), F.xxhash64("id")
-    block = F.when(minor, F.pmod(place, F.col("few"))).otherwise(F.col("few") + F.pmod(place, F.col("many")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("few") + F.when(minor, F.col("many")).otherwise(0) - 1)
-    rows = rows.join(marks, "id").select("band", "id", "label", "n_shingles", "sketch", block.alias("block"), F.explode(others).alias("other"))
-    task = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
-    rows = rows.select(task.alias("task"), (F.col("block") > F.col("other")).alias("second"), "id", "label", "n_shingles", "sketch")
-    return by_key(rows, "task").sortWithinPartitions("task", "id").mapInArrow(run, "u long, v long").distinct()
+        edges = _Edges()
+        for group in _runs(batches):
+            ids = group.column(1).to_numpy()
+            found = [text_shingles(x.as_py(), k) for x in group.column(2)]
+            edges.star(ids, ids[linked(found, threshold)])
+            yield from edges.batch(20_000)
+        yield from edges.batch()
+
+    sized = groups.join(classes.select("id", "n_shingles"), "id")
+    large = sized.groupBy("component").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_SHINGLES)
+    large = large.select("component", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = groups.join(large, "component", "left").select("component", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    task = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
+    texts = docs.select(column(docs, key).cast("long").alias("id"), column(docs, text).alias("text"))
+    dealt = texts.join(dealt.select("id", task.alias("task")), "id").select("task", "id", "text")
+    dealt = by_key(dealt, "task").sortWithinPartitions("task", "id")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: the id, n_shingles, component_id (the smallest id reachable) and kept (it is that id)."""
-    bands, percent = band_count(threshold, rows), round(threshold * 100)
+    bands = band_count(threshold, rows)
     n = bands * rows
-    most = most_differing_bits(threshold - MARGIN, n)
     every = checkpoint(features(docs, k, n, rows, key, text))
     worded = every.where(F.col("set_hash").isNotNull() & F.col("id").isNotNull())
     copies = worded.groupBy("set_hash").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    dealt = spread_join(every, copies.select("set_hash", "least"), "set_hash", "id", copies, "left")
-    dealt = checkpoint(dealt)
+    dealt = checkpoint(spread_join(every, copies.select("set_hash", "least"), "set_hash", "id", copies, "left"))
     forget(every)
-    classes = dealt.where("set_hash is not null and id is not null and (least is null or least = id)")
-    marks = classes.select("id", "n_shingles", "sketch")
-
-    every_member = classes.select("id", F.explode("bands").alias("band"))
-    shared = every_member.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    members = checkpoint(spread_join(every_member, shared.select("band", "least"), "band", "id", shared))
-    rest = members.where("id <> least").select("band", "id")
-    texts = docs.select(column(docs, key).cast("long").alias("id"), column(docs, text).alias("text"))
-    texts = checkpoint(texts.join(members.select("id").distinct(), "id", "left_semi"))
-
-    stars = members.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
-    found = components(_confirmed(checkpoint(_sketched(stars, marks, most, percent)), texts, k, percent))
-
-    def joined(nearest: bool) -> DataFrame | None:
-        """The components with the links that further pairs give; None if there are none."""
-        pairs = checkpoint(_cross_pairs(rest, found, marks, most, percent, nearest))
-        links = checkpoint(_confirmed(pairs, texts, k, percent))
-        forget(pairs)
-        return None if links.isEmpty() else components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(links))
-
-    while (more := joined(nearest=True)) is not None:
-        found = more
-    if (more := joined(nearest=False)) is not None:
-        found = more
-    found = found.withColumnRenamed("id", "class")
     named = dealt.select("id", "n_shingles", F.coalesce("least", "id").alias("class"))
+    classes = dealt.where("set_hash is not null and id is not null and (least is null or least = id)").select("id", "n_shingles", "bands", "sketch")
+
+    most = most_differing_bits(threshold - MARGIN, n)
+    groups = components(_candidate_edges(classes, most))
+    found = components(_confirmed_edges(docs, groups, classes, k, threshold, key, text)).withColumnRenamed("id", "class")
     out = spread_join(named, found, "class", "id", named.groupBy("class").agg(F.count("*").alias("n")), "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "class")).otherwise(F.col("id"))
     out = out.select("id", "n_shingles", component.alias("component_id"))
