@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalized_keyword
-from quarry.operators import keywords, tree
+from quarry.functions.text import fallback_words, normalized_keyword
+from quarry.operators import keywords, suggest, tree
 from quarry.operators.index import Index
 from quarry.operators.search import LISTED, Response, latest, search, with_previews
 from quarry.plans.spec import SearchSpec, latest_page
@@ -35,7 +35,9 @@ class Keywords:
         return spark.read.parquet(f"{store.root}/keyword_filter").groupBy("term").agg(F.min("created_at").alias("created_at"), F.max_by("removed", "seq").alias("gone")).where("not gone").select("term", "created_at").orderBy("term")
 
     def _log(self, terms: DataFrame, removed: bool) -> None:
-        rows = terms.select("term", F.current_timestamp().alias("created_at"), F.lit(removed).alias("removed"), F.unix_micros(F.current_timestamp()).alias("seq"))
+        log = f"{self._engine.store.root}/keyword_filter"
+        last = self._engine.spark.read.parquet(log).agg(F.max("seq")).first()[0] if self._engine.store.files.exists("keyword_filter") else None
+        rows = terms.select("term", F.current_timestamp().alias("created_at"), F.lit(removed).alias("removed"), F.lit((last or 0) + 1).cast("long").alias("seq"))
         rows.write.mode("append").parquet(f"{self._engine.store.root}/keyword_filter")
 
     def add(self, terms: list[str] | DataFrame) -> int:
@@ -79,6 +81,7 @@ class Engine:
         self.keywords = Keywords(self)
         self._totals: OrderedDict[Any, int] = OrderedDict()
         self._pages: OrderedDict[Any, Response] = OrderedDict()
+        self.hits = self.misses = 0
 
     def rebuild(self, source: DataFrame) -> Result:
         return self.runs.rebuild(source)
@@ -87,11 +90,11 @@ class Engine:
         return self.runs.sync(source)
 
     def read(self, part: str) -> DataFrame:
-        """A part of all segments; columns that a segment lacks are null."""
+        """A part of all segments, which one format gives one schema."""
         names = [s.name for s in self.store.manifest().segments]
         if not names:
             raise LookupError("the store is empty")
-        return self.spark.read.option("mergeSchema", "true").parquet(*(self.store.place(n, part) for n in names))
+        return self.spark.read.parquet(*(self.store.place(n, part) for n in names))
 
     def index(self) -> Index:
         return Index(self.read("docs"), self.read("postings"), self.read("doc_stats"), self.read("corpus"))
@@ -101,9 +104,11 @@ class Engine:
         state = self.store.manifest()
         return state.version, state.watermark, tuple(s.name for s in state.segments)
 
-    @staticmethod
-    def _remembered(known: OrderedDict, key: Any, most: int, make: Callable[[], Any]) -> Any:
-        if key not in known:
+    def _remembered(self, known: OrderedDict, key: Any, most: int, make: Callable[[], Any]) -> Any:
+        if key in known:
+            self.hits += 1
+        else:
+            self.misses += 1
             known[key] = make()
             while len(known) > most:
                 known.popitem(last=False)
@@ -138,6 +143,14 @@ class Engine:
         rows = with_previews(latest(self.read("docs"), n, skip).select(*LISTED), self.read("files").select("id", "preview"), "")
         return Response([r.asDict(recursive=True) for r in rows.orderBy(F.desc("id")).collect()], self.count(), n, skip, False, None)
 
+    def suggest(self, text: str, most: int = suggest.MOST, readings: DataFrame | None = None) -> list[str]:
+        """Words of the stored ranking that the typed words match, best first."""
+        words = [r["w"] for r in self.spark.range(1).select(F.explode(fallback_words(F.lit(text))).alias("w")).collect()]
+        if not words:
+            return []
+        ranked = keywords.ranked(self.keywords.stats(), self.keywords.filters(), 1)
+        return [r["term"] for r in suggest.suggestions(ranked, words, most, readings).collect()]
+
     def count(self) -> int:
         return self.read("docs").count()
 
@@ -149,5 +162,7 @@ class Engine:
         return [r.asDict() for r in tree.flat_tree(tree.file_rows(own)).orderBy("idx").collect()]
 
     def stats(self) -> dict[str, Any]:
-        state = self.store.manifest()
-        return {"version": state.version, "watermark": state.watermark, "segments": len(state.segments), "items": sum(s.rows for s in state.segments)}
+        """The state, the step of a run at work (None between runs), and how often what is remembered answered."""
+        state, asked = self.store.manifest(), self.hits + self.misses
+        own = {"step": self.runs.step, "hits": self.hits, "misses": self.misses, "hit_rate": round(self.hits / asked, 4) if asked else 0.0}
+        return own | {"version": state.version, "watermark": state.watermark, "segments": len(state.segments), "items": sum(s.rows for s in state.segments)}

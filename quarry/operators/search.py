@@ -109,12 +109,12 @@ def index_ranked(index: Index, query: str, search_in: str | None = None) -> Data
 
 
 def hash_hits(items: DataFrame, text: str, column: str = "infohash") -> DataFrame:
-    """Items whose hash is the text's, is that behind ``hash``, or begins with it."""
+    """Items whose hash is the text's, is that behind ``hash``, or begins with it. A stored ``hash_key`` (lower case) lets the test reach the scan."""
     spark = items.sparkSession
     own = spark.range(1).select(normalized_hash(F.lit(text)).alias("h")).first()[0]
     if not own:
         raise ValueError("the query holds no hash")
-    low = F.lower(F.col(column))
+    low = F.col("hash_key") if "hash_key" in items.columns else F.lower(F.col(column))
     return items.where((low == own) | (low == "hash" + own) | low.startswith(own))
 
 

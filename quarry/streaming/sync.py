@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.operators.index import corpus_stats, doc_stats, postings
 from quarry.operators.keywords import keyword_stats, merged
 from quarry.sources.items import check_schema, extent, fingerprinted, since, with_file_facts
-from quarry.streaming.store import FORMAT, Manifest, Segment, Store
+from quarry.streaming.store import FORMAT, Files, Manifest, Segment, Store
 
 PARTS = ("docs", "postings", "doc_stats", "corpus", "keyword_stats", "files")
 #: Rows of small segments that make a compaction worth while.
@@ -43,8 +44,10 @@ class Sync:
     def __init__(self, store: Store, progress: Callable[[str], None] | None = None):
         self.store, self.progress = store, progress or (lambda step: None)
         self._lock = threading.Lock()
+        self.step: str | None = None
 
     def _step(self, result: Result, name: str, run: Callable[[], object]) -> object:
+        self.step = name
         self.progress(name)
         began = time.perf_counter()
         out = run()
@@ -56,8 +59,8 @@ class Sync:
         name = f"{high}-{uuid.uuid4().hex[:12]}"
         at = lambda part: self.store.place(name, part)
         items = fingerprinted(with_file_facts(rows)).withColumns({"name": F.coalesce("name", F.lit("")), "total_size": F.coalesce("total_size", F.lit(0)), "fetched_at": F.coalesce("fetched_at", F.lit(0))})
-        self._step(result, "files", lambda: items.select("id", "name", "files", "file_list", "preview", "body", "fingerprint").write.mode("overwrite").parquet(at("files")))
-        self._step(result, "docs", lambda: items.select("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count").write.mode("overwrite").parquet(at("docs")))
+        self._step(result, "files", lambda: items.select("id", "name", "files", "file_list", "preview", "body", "fingerprint").sortWithinPartitions("id").write.mode("overwrite").parquet(at("files")))
+        self._step(result, "docs", lambda: items.select("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count", F.lower("infohash").alias("hash_key")).sortWithinPartitions("id").write.mode("overwrite").parquet(at("docs")))
         spark = self.store.spark
         texts = spark.read.parquet(at("files")).select("id", "name", "body")
         terms = postings(texts)
@@ -68,12 +71,13 @@ class Sync:
         result.rows = spark.read.parquet(at("docs")).count()
         return Segment(name, low, high, result.rows)
 
-    def _held(self, run: Callable[[], Result]) -> Result:
-        if not self._lock.acquire(blocking=False):
+    def _held(self, run: Callable[[], Result], wait: bool = False) -> Result:
+        if not self._lock.acquire(blocking=wait):
             raise Busy("a run is at work")
         try:
             return run()
         finally:
+            self.step = None
             self._lock.release()
 
     def rebuild(self, source: DataFrame) -> Result:
@@ -89,7 +93,7 @@ class Sync:
         if ends:
             segments = (self.write_segment(since(source, None, ends[1]), ends[0] - 1, ends[1], result),)
             result.span = ends[1] - ends[0] + 1
-        self.store.commit(Manifest(old.version + 1, FORMAT, ends[1] if ends else None, segments))
+        self.store.commit(Manifest(old.version + 1, FORMAT, ends[1] if ends else None, segments, old.batches))
         self.store.clean()
         return result
 
@@ -117,27 +121,34 @@ class Sync:
             self.store.commit(replace(now, watermark=ends[1], segments=(*now.segments, segment)))
         return result
 
-    def append(self, batch: DataFrame, batch_id: int) -> Result:
-        """One micro-batch of a stream; a batch that is committed already is left alone."""
+    def append(self, batch: DataFrame, batch_id: int, stream: str = "") -> Result:
+        """One micro-batch of a stream, after any run that is at work; one that is committed already, before a rebuild too, is left alone."""
 
         def run() -> Result:
             now, result = self.store.manifest(), Result("append")
-            if batch_id in now.batches or (now.batches and batch_id < min(now.batches)):
+            if batch_id <= now.batches.get(stream, -1):
                 return Result("append", skipped=True)
             ends = extent(batch)
             segments, mark = now.segments, now.watermark
             if ends:
                 segments = (*segments, self.write_segment(batch, ends[0] - 1, ends[1], result))
                 mark = ends[1] if mark is None else max(mark, ends[1])
-            self.store.commit(replace(now, version=max(1, now.version), watermark=mark, segments=segments, batches=(*now.batches, batch_id)[-100:]))
+            self.store.commit(replace(now, version=max(1, now.version), watermark=mark, segments=segments, batches={**now.batches, stream: batch_id}, format=FORMAT))
             return result
 
-        return self._held(run)
+        return self._held(run, wait=True)
 
     def stream(self, source: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
-        """A streaming query that appends what arrives: once over what is there, or again and again (``every``)."""
+        """A streaming query that appends what arrives: once over what is there, or again and again (``every``).
+
+        Batches are known by the id that the checkpoint gives the stream, so a new checkpoint is a new stream.
+        """
         check_schema(source)
-        writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: self.append(batch, n) and None)
+
+        def write(batch: DataFrame, number: int) -> None:
+            self.append(batch, number, json.loads(Files(self.store.spark, checkpoint).read("metadata"))["id"])
+
+        writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
         writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
         return writer.start()
 

@@ -4,6 +4,7 @@ import pytest
 
 from quarry.engine import Engine
 from quarry.sources.items import ITEM_SCHEMA, SourceError
+from quarry.streaming.store import FORMAT
 from quarry.streaming.sync import Busy
 
 
@@ -89,7 +90,7 @@ def test_one_run_at_a_time(spark, engine):
 
 
 def test_a_store_of_another_format_is_rebuilt(spark, engine):
-    text = engine.store.files.read("manifest.json").replace('"format": "1"', '"format": "0"')
+    text = engine.store.files.read("manifest.json").replace(f'"format": "{FORMAT}"', '"format": "0"')
     engine.store.files.replace("manifest.json", text)
     assert engine.sync(spark.createDataFrame(SECOND, ITEM_SCHEMA)).kind == "rebuild"
     assert engine.count() == 2
@@ -105,7 +106,32 @@ def test_stream(spark, engine, tmp_path):
     run()
     run()
     assert engine.count() == 5 and found(engine, "third") == [9]
-    assert engine.runs.append(spark.createDataFrame(SECOND, ITEM_SCHEMA), 0).skipped
+    (stream,) = engine.store.manifest().batches
+    assert engine.runs.append(spark.createDataFrame(SECOND, ITEM_SCHEMA), 0, stream).skipped
+    engine.rebuild(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
+    assert engine.runs.append(spark.createDataFrame(SECOND, ITEM_SCHEMA), 0, stream).skipped  # a replay after a rebuild
+    assert engine.count() == 5
+
+
+def test_streams_are_told_apart(spark, engine, tmp_path):
+    for i, rows in enumerate((SECOND[:1], SECOND[1:])):  # each its own stream, both begin with batch 0
+        place = str(tmp_path / f"arriving{i}")
+        spark.createDataFrame(rows, ITEM_SCHEMA).write.parquet(place)
+        engine.runs.stream(spark.readStream.schema(ITEM_SCHEMA).parquet(place), str(tmp_path / f"marks{i}")).awaitTermination()
+    assert engine.count() == 5 and len(engine.store.manifest().batches) == 2
+
+
+def test_readers_of_the_last_state_keep_their_segments(spark, engine):
+    before = engine.read("docs")
+    engine.rebuild(spark.createDataFrame(SECOND, ITEM_SCHEMA))
+    assert before.count() == 3 and engine.count() == 2
+
+
+def test_suggestions_and_statistics(engine):
+    assert engine.suggest("mov") == ["movie", "mkv"] and engine.suggest("...") == []
+    engine.search(query="movie"), engine.search(query="movie")
+    own = engine.stats()
+    assert own["hits"] == 1 and 0 < own["hit_rate"] < 1 and own["step"] is None
 
 
 def test_keywords_outlive_rebuilds(spark, engine, tmp_path):
