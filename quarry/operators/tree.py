@@ -39,36 +39,29 @@ def _voted(files: DataFrame, separator: str | None) -> DataFrame:
     return files.join(separators(files), "id") if separator is None else files.withColumn("separator", F.lit(separator))
 
 
-def _nodes(files: DataFrame) -> DataFrame:
-    """One row a node: id, prefix (segments so far), name, depth, at (where it first appeared), leaf (place, size, path)."""
+def _own(files: DataFrame) -> DataFrame:
+    """One row a file: id, key (segments joined), n (how many), pos (where it first appeared) and last (place, size, path of its last mention)."""
     rows = files.select("id", "pos", "path", F.coalesce("size", F.lit(0.0)).cast("double").alias("size"), _split(F.col("path"), F.col("separator")).alias("parts"))
-    rows = rows.where(F.size("parts") > 0)
-    deep = rows.select("id", "pos", "path", "size", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth"))
-    deep = deep.select(
-        "id",
-        F.array_join(F.slice("parts", 1, F.col("depth")), _MARK).alias("prefix"),
-        F.element_at("parts", F.col("depth")).alias("name"),
-        "depth",
-        F.struct("pos", "depth").alias("at"),
-        F.when(F.col("depth") == F.size("parts"), F.struct("pos", "size", "path")).alias("leaf"),
-    )
-    return deep.groupBy("id", "prefix").agg(F.first("name").alias("name"), F.first("depth").alias("depth"), F.min("at").alias("at"), F.max("leaf").alias("leaf"))
+    rows = rows.where(F.size("parts") > 0).select("id", F.array_join("parts", _MARK).alias("key"), F.size("parts").alias("n"), "pos", "size", "path")
+    return rows.groupBy("id", "key", "n").agg(F.min("pos").alias("pos"), F.max(F.struct("pos", "size", "path")).alias("last"))
+
+
+def _nodes(files: DataFrame) -> DataFrame:
+    """One row a node: id, prefix (segments so far), depth, at (where it first appeared), leaf (place, size, path) and total.
+
+    Each file gives its size once to itself and to every directory above it, so one aggregation makes nodes and totals.
+    """
+    up = _own(files).select("id", "pos", "n", "last", F.split("key", _MARK).alias("parts")).select("*", F.explode(F.sequence(F.lit(1), "n")).alias("depth"))
+    rows = up.select("id", F.array_join(F.slice("parts", 1, F.col("depth")), _MARK).alias("prefix"), "depth", F.struct("pos", "depth").alias("at"), F.when(F.col("depth") == F.col("n"), F.col("last")).alias("leaf"), F.col("last.size").alias("size"))
+    return rows.groupBy("id", "prefix", "depth").agg(F.min("at").alias("at"), F.max("leaf").alias("leaf"), F.sum("size").alias("total"))
 
 
 def directory_sizes(files: DataFrame, separator: str | None = None) -> DataFrame:
     """id, prefix (segments joined by ``/``), is_dir and total size of every node, without the tree's numbering."""
-    sized = _with_totals(_nodes(_voted(files, separator)))
+    sized = _nodes(_voted(files, separator))
     return sized.select("id", F.replace("prefix", F.lit(_MARK), F.lit("/")).alias("prefix"), F.col("leaf").isNull().alias("is_dir"), F.col("total").alias("size"))
 
 
-def _with_totals(nodes: DataFrame) -> DataFrame:
-    """Nodes with total: own sizes of the node and all below it. Own sizes, so a path that repeats counts once."""
-    own = nodes.where(F.col("leaf").isNotNull()).select("id", F.col("leaf.size").alias("size"), F.split("prefix", _MARK).alias("parts"))
-    up = own.select("id", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda d: F.array_join(F.slice("parts", 1, d), _MARK))).alias("prefix"))
-    totals = up.groupBy("id", "prefix").agg(F.sum("size").alias("total"))
-    return nodes.join(totals, ["id", "prefix"], "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
-
-
 def flat_tree(files: DataFrame, separator: str | None = None) -> DataFrame:
     """id, idx, name, parent (an idx, -1 at the root), is_dir, size and path (files only) of every node.
 
@@ -80,11 +73,9 @@ def flat_tree(files: DataFrame, separator: str | None = None) -> DataFrame:
 
 
 def _numbered(voted: DataFrame) -> DataFrame:
-    sized = _with_totals(_nodes(voted))
-    numbered = sized.withColumn("idx", F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1)
-    parts = F.split("prefix", _MARK)
-    above = F.array_join(F.slice(parts, 1, F.size(parts) - 1), _MARK)
-    numbered = numbered.withColumn("above", F.when(F.size(parts) > 1, above))
+    numbered = _nodes(voted.repartition("id")).withColumn("idx", F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1)
+    above = F.array_join(F.slice(F.split("prefix", _MARK), 1, F.col("depth") - 1), _MARK)
+    numbered = numbered.withColumns({"above": F.when(F.col("depth") > 1, above), "name": F.substring_index("prefix", _MARK, -1)})
     parents = numbered.select("id", F.col("prefix").alias("above"), F.col("idx").alias("parent"))
     out = numbered.join(parents, ["id", "above"], "left")
     return out.select("id", "idx", "name", F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("leaf").isNull().alias("is_dir"), F.col("total").alias("size"), "leaf.path")
@@ -105,9 +96,18 @@ def sorted_children(nodes: DataFrame, words: list[str]) -> DataFrame:
 
 def category_summary(nodes: DataFrame) -> DataFrame:
     """id, category, files, size and share (percent of all bytes) of the categories that an item has, with their display rank."""
-    own = nodes.where("not is_dir").groupBy("id", category(F.col("name")).alias("category")).agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+    return _categories(nodes.where("not is_dir").select("id", "name", "size"))
+
+
+def file_categories(files: DataFrame, separator: str | None = None) -> DataFrame:
+    """The same from path lists, without making the tree."""
+    return _categories(_own(_voted(files, separator)).select("id", F.substring_index("key", _MARK, -1).alias("name"), F.col("last.size").alias("size")))
+
+
+def _categories(leaves: DataFrame) -> DataFrame:
+    own = leaves.groupBy("id", category(F.col("name")).alias("category")).agg(F.count("*").alias("files"), F.sum("size").alias("size"))
     whole = F.sum("size").over(Window.partitionBy("id"))
     return own.select("id", "category", category_rank(F.col("category")).alias("rank"), "files", "size", F.when(whole > 0, 100 * F.col("size") / whole).alias("share"))
 
 
-__all__ = ["CATEGORY_ORDER", "category_summary", "directory_sizes", "file_rows", "flat_tree", "pruned_tree", "separators", "sorted_children"]
+__all__ = ["CATEGORY_ORDER", "category_summary", "directory_sizes", "file_categories", "file_rows", "flat_tree", "pruned_tree", "separators", "sorted_children"]

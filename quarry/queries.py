@@ -437,12 +437,12 @@ _OWN = f"own AS (SELECT id, path, lower(regexp_extract(path, '\\.([^.]+)$', 1))
 
 @query(f"WITH {_OWN} SELECT id, {_CATEGORY} AS category, count(*) AS files, sum(size) AS size FROM own GROUP BY ALL")
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.category_summary(tree.flat_tree(line_files(spark, sf_dir), "/")).select("id", "category", "files", "size")
+    return tree.file_categories(line_files(spark, sf_dir), "/").select("id", "category", "files", "size")
 
 
 @query(f"WITH {_OWN} SELECT id, category, round(100 * size / sum(size) OVER (PARTITION BY id), 6) AS share FROM (SELECT id, {_CATEGORY} AS category, sum(size) AS size FROM own GROUP BY ALL)")
 def category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.category_summary(tree.flat_tree(line_files(spark, sf_dir), "/")).select("id", "category", F.round("share", 6).alias("share"))
+    return tree.file_categories(line_files(spark, sf_dir), "/").select("id", "category", F.round("share", 6).alias("share"))
 
 
 @query(
