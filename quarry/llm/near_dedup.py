@@ -245,10 +245,11 @@ def _confirmed_edges(docs: DataFrame, groups: DataFrame, classes: DataFrame, k:
         yield from edges.batch()
 
     sized = groups.join(classes.select("id", "n_shingles"), "id")
-    large = sized.groupBy("component").agg(F.sum("n_shingles").alias("size")).where(F.col("size") > BLOCK_SHINGLES)
+    sizes = sized.groupBy("component").agg(F.sum("n_shingles").alias("size"), F.count("*").alias("n"))
+    large = sizes.where(F.col("size") > BLOCK_SHINGLES)
     large = large.select("component", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    dealt = groups.join(large, "component", "left").select("component", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = spread_join(groups, large, "component", "id", sizes, "left").select("component", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     task = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
     texts = docs.select(column(docs, key).cast("long").alias("id"), column(docs, text).alias("text"))
     dealt = texts.join(dealt.select("id", task.alias("task")), "id").select("task", "id", "text")
