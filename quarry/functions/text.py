@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+#: Tokens of two characters or more that are not all ASCII digits.
+KEYWORD = r"(?![0-9]++(?![\p{L}\p{N}]))[\p{L}\p{N}]{2,}"
 
 #: Letters of which the index keeps another form, beyond what decomposition gives.
 SYMBOL_LETTERS = {
@@ -47,6 +49,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
 
 
+def keyword_tokens(text: Column) -> Column:
+    """The tokens that keyword statistics count."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(KEYWORD), 0)
+
+
 def index_tokens(text: Column) -> Column:
     """Tokens of the folded text: what the index and its queries use."""
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import keyword_tokens
 
 #: Terms in fewer items are not ranked; at most so many are.
 MIN_DOCS, MAX_TERMS = 50, 100_000
@@ -14,14 +14,14 @@ MIN_DOCS, MAX_TERMS = 50, 100_000
 def keyword_stats(items: DataFrame, text: str = "name") -> DataFrame:
     """term, doc_count and occurrences over one text column. Terms of one character or of ASCII digits do not count.
 
-    An item's distinct terms and its occurrences are rows of one list, so the one shuffle holds
-    partial sums by term and no item ids.
+    An item's distinct terms and its occurrences are two lists of one row set, so the one shuffle
+    holds partial sums by term and no item ids.
     """
-    found = F.filter(tokens(F.col(text)), lambda t: (F.char_length(t) >= 2) & ~t.rlike("^[0-9]+$"))
-    said = F.transform("every", lambda t: F.struct(t.alias("term"), F.lit(0).alias("docs"), F.lit(1).alias("times")))
-    held = F.transform(F.array_distinct("every"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("docs"), F.lit(0).alias("times")))
-    rows = items.select(found.alias("every")).select(F.explode(F.concat(held, said)).alias("t"))
-    return rows.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.docs").alias("doc_count"), F.sum("t.times").alias("occurrences"))
+    every = items.select(keyword_tokens(F.col(text)).alias("every"))
+    held = F.struct(F.lit(1).alias("docs"), F.array_distinct("every").alias("terms"))
+    said = F.struct(F.lit(0).alias("docs"), F.col("every").alias("terms"))
+    rows = every.select(F.explode(F.array(held, said)).alias("p")).select("p.docs", F.explode("p.terms").alias("term"))
+    return rows.groupBy("term").agg(F.sum("docs").alias("doc_count"), F.sum(1 - F.col("docs")).alias("occurrences"))
 
 
 def merged(*stats: DataFrame) -> DataFrame:

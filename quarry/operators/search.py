@@ -43,9 +43,28 @@ def _fields(search_in: str | None) -> tuple[str, ...]:
     return (search_in,) if search_in else FIELDS
 
 
+def _tokenised() -> Column:
+    """An array of one struct, the tokens of each field, for expressions that must look at them more than once."""
+    return F.array(F.struct(*(index_tokens(F.col(f)).alias(f) for f in FIELDS)))
+
+
 def scan_hits(items: DataFrame, query: str, search_in: str | None = None) -> DataFrame:
-    """``items`` that match, with tf_0, tf_1, ... (hits of each term in the searched fields)."""
-    return frequencies(items, query, search_in).where(_all_found(len(wanted(query))))
+    """``items`` that match, with tf_0, tf_1, ... (hits of each term in the searched fields).
+
+    All terms are tested by one expression, so that an item is tokenised once however many there are.
+    """
+    wants = wanted(query)
+
+    def found(t: Column) -> Column:
+        every = F.lit(True)
+        for want in wants:
+            some = F.lit(False)
+            for f in _fields(search_in):
+                some = some | F.exists(t[f], lambda x: _is(x, want))  # noqa: B023 (called at once)
+            every = every & some
+        return every
+
+    return frequencies(items.where(F.exists(_tokenised(), found)), query, search_in)
 
 
 def frequencies(items: DataFrame, query: str, search_in: str | None = None) -> DataFrame:
@@ -86,11 +105,11 @@ def ranked(hits: DataFrame, totals: DataFrame, n_terms: int) -> DataFrame:
 
 
 def scan_ranked(items: DataFrame, query: str, search_in: str | None = None) -> DataFrame:
-    """Matching ``items`` with score, from two scans: one for the totals, one for the hits."""
+    """Matching ``items`` with score, from two scans that each tokenise an item once: one for the totals, one for the hits."""
     n = len(wanted(query))
     counted = frequencies(items, query, search_in)
     totals = counted.agg(F.count("*").alias("n_docs"), F.sum("dl").alias("total_dl"), *(F.count(F.when(F.col(f"tf_{i}") > 0, 1)).alias(f"n_{i}") for i in range(n)))
-    return ranked(counted.where(_all_found(n)), totals, n)
+    return ranked(scan_hits(items, query, search_in), totals, n)
 
 
 def index_ranked(index: Index, query: str, search_in: str | None = None) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.engine import Engine
 from quarry.functions import text as fn
 from quarry.operators import compare, index, keywords, search, suggest, tree
 from quarry.plans.spec import SearchSpec, encode_cursor
 from quarry.sources.items import file_changes as changes_of_files
-from quarry.sources.items import fingerprinted, parsed_files, picked_preview, since, with_file_facts
-from quarry.sources.keyword_files import ascii_terms
+from quarry.sources.items import fingerprinted, parsed_files, picked_preview, since, spread, with_file_facts
+from quarry.sources.keyword_files import ascii_terms, read_keywords, write_keywords
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +49,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, dealt over all cores, for queries that tokenise every text."""
+    return spread(documents(spark, sf_dir))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as items with a size and a time."""
     return _t(spark, sf_dir, "orders").select(
@@ -104,7 +111,7 @@ def _terms(words: list[str]) -> str:
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.keyword_stats(documents(spark, sf_dir), "body")
+    return keywords.keyword_stats(texts(spark, sf_dir), "body")
 
 
 @query(f"SELECT * FROM ({STATS}) WHERE doc_count >= 50 ORDER BY doc_count DESC, occurrences DESC, term LIMIT 100000")
@@ -128,7 +135,7 @@ def hot_keyword_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(STATS)
 def keyword_merge_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the items up to a watermark and of those after it, added up."""
-    docs = documents(spark, sf_dir)
+    docs = texts(spark, sf_dir)
     return keywords.merged(keywords.keyword_stats(since(docs, None, 399), "body"), keywords.keyword_stats(since(docs, 399), "body"))
 
 
@@ -164,7 +171,7 @@ def keyword_filter_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest({_tokens('text')}) AS term FROM documents) WHERE regexp_full_match(term, '[a-z0-9]{{4,}}') GROUP BY term ORDER BY n DESC, term LIMIT 8")
 def picked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.picked_queries(documents(spark, sf_dir), "body")
+    return compare.picked_queries(texts(spark, sf_dir), "body")
 
 
 # The index.
@@ -176,12 +183,12 @@ def picked_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) GROUP BY term, field, id"""
 )
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(documents(spark, sf_dir))
+    return index.postings(texts(spark, sf_dir))
 
 
 @query(rf"SELECT count(*) AS n_docs, sum(len({_folded('name')}) + len({_folded('body')}))::BIGINT AS total_dl FROM ({DOCS})")
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.corpus_stats(index.doc_stats(documents(spark, sf_dir)))
+    return index.corpus_stats(index.doc_stats(texts(spark, sf_dir)))
 
 
 # Searches.
@@ -203,12 +210,12 @@ def _where(words: str) -> str:
     return " AND ".join(f"tf_{i} > 0" for i in range(len(search.wanted(words))))
 
 
-def _ranked_sql(words: str, search_in: str | None = None) -> str:
+def _ranked_sql(words: str, search_in: str | None = None, items: str = DOCS) -> str:
     n = len(search.wanted(words))
     weight = lambda i: f"greatest(ln((n_docs - n_{i} + 0.5) / (n_{i} + 0.5)), 1e-6)"
     score = " + ".join(f"{weight(i)} * (tf_{i} * 2.2 / (tf_{i} + 1.2 * (0.25 + 0.75 * dl / (total_dl / n_docs))))" for i in range(n))
     totals = ", ".join(f"count(*) FILTER (tf_{i} > 0) AS n_{i}" for i in range(n))
-    return f"""WITH counted AS ({_hits_sql(words, search_in)}), totals AS (SELECT count(*)::DOUBLE AS n_docs, sum(dl)::DOUBLE AS total_dl, {totals} FROM counted)
+    return f"""WITH counted AS ({_hits_sql(words, search_in, items)}), totals AS (SELECT count(*)::DOUBLE AS n_docs, sum(dl)::DOUBLE AS total_dl, {totals} FROM counted)
 SELECT id, -({score}) AS score FROM counted, totals WHERE {_where(words)}"""
 
 
@@ -241,20 +248,20 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_ranked_sql(PREFIX_QUERY)}) ORDER BY round(score, 12), id LIMIT 20")
 def search_bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.scan_ranked(documents(spark, sf_dir), PREFIX_QUERY).withColumn("score", F.round("score", 12))
+    found = search.scan_ranked(texts(spark, sf_dir), PREFIX_QUERY).withColumn("score", F.round("score", 12))
     return _rounded(search.page(found, SearchSpec.of(query=PREFIX_QUERY, sort_by="relevance")))
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_ranked_sql(NAME_QUERY, 'name')}) ORDER BY round(score, 12) DESC, id LIMIT 50")
 def search_bm25_worst_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.scan_ranked(documents(spark, sf_dir), NAME_QUERY, "name").withColumn("score", F.round("score", 12))
+    found = search.scan_ranked(texts(spark, sf_dir), NAME_QUERY, "name").withColumn("score", F.round("score", 12))
     return _rounded(search.page(found, SearchSpec.of(query=NAME_QUERY, sort_by="relevance", order="asc", limit=50)))
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_ranked_sql(AND_QUERY)})")
 def index_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same ranking from postings."""
-    return _rounded(search.index_ranked(index.build(documents(spark, sf_dir)), AND_QUERY))
+    return _rounded(search.index_ranked(index.build(texts(spark, sf_dir)), AND_QUERY))
 
 
 @query(f"SELECT id FROM ({_hits_sql(AND_QUERY)}) WHERE {_where(AND_QUERY)} AND total_size >= 500")
@@ -349,21 +356,17 @@ def incremental_sync_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return since(events, 500, high, "event_id").select("event_id", "event_type", "user_id")
 
 
-# Files.
+def _score_sql(t: str) -> str:
+    near = f"abs(length(term) - {len(t)}) <= 2 AND levenshtein(plain, '{t}') <= {2 if len(t) >= 4 else 1}"
+    return f"{len(t)} * CASE WHEN term = '{t}' THEN 100 WHEN starts_with(term, '{t}') THEN 60 WHEN contains(term, '{t}') THEN 30 WHEN rank < 3000 AND {near} THEN 8 ELSE 0 END"
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id >= 150 THEN 'new' ELSE 'changed' END AS kind FROM documents WHERE doc_id >= 150 OR doc_id % 7 = 0")
-def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a refresh writes, when the store lacks some items and holds other texts of some."""
-    now = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("files"))
-    old = now.where("id < 150").withColumn("files", F.when(F.col("id") % 7 == 0, F.concat("files", F.lit("!"))).otherwise(F.col("files")))
-    found = changes_of_files(now, fingerprinted(old))
-    return found.new.select("id", F.lit("new").alias("kind")).unionByName(found.changed.select("id", F.lit("changed").alias("kind")))
+# Files.
 
 
 @query("SELECT doc_id AS id, CASE WHEN md5(doc_id::VARCHAR) < '4' THEN 'new' ELSE 'changed' END AS kind FROM documents WHERE md5(doc_id::VARCHAR) < '8'")
-def file_changes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole table: by a hash of the id, the store lacks a quarter of the items and holds other texts of a quarter."""
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh writes when, by a hash of the id, the store lacks a quarter of the items and holds other texts of a quarter."""
     now = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("files"))
     place = F.md5(F.col("id").cast("string"))
     old = now.where(place >= "4").withColumn("files", F.when(place < "8", F.concat(F.coalesce("files", F.lit("")), F.lit("!"))).otherwise(F.col("files")))
@@ -453,12 +456,14 @@ def category_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.pruned_tree(line_files(spark, sf_dir), ["audio", "archive"], "/").select("id", "idx", "name", "is_dir", "size")
 
 
-@query(f"{TREE} SELECT id, name, is_dir, (row_number() OVER (PARTITION BY id ORDER BY contains(lower(name), 'p1') DESC, regexp_extract(name, '^p(\\d+)', 1)::BIGINT, name))::INTEGER AS place FROM nodes WHERE d = 3 AND starts_with(prefix, 'N/O/')")
+@query(
+    f"""{TREE} SELECT id, idx::INTEGER AS idx, name, is_dir, (row_number() OVER (PARTITION BY id, array_to_string(string_split(prefix, '/')[1:d - 1], '/')
+  ORDER BY is_dir DESC, contains(lower(name), 'p1') DESC, try_cast(regexp_extract(name, '^p(\\d+)', 1) AS BIGINT), lower(name), idx))::INTEGER AS place FROM numbered"""
+)
 def sorted_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children of one directory: most words matched first, then numbers in names as numbers."""
+    """The children of every directory: directories first, then most words matched, then numbers in names as numbers."""
     nodes = tree.flat_tree(line_files(spark, sf_dir), "/")
-    inside = nodes.where(F.col("path").startswith("N/O/"))
-    return tree.sorted_children(inside, ["p1"]).select("id", "name", "is_dir", "place")
+    return tree.sorted_children(nodes, ["p1"]).select("id", "idx", "name", "is_dir", "place")
 
 
 _PATHS = """SELECT c_nationkey AS id, c_custkey AS pos, c_mktsegment || ',' || c_name AS path FROM customer
@@ -494,64 +499,208 @@ def url_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.directory_sizes(rows, "/").groupBy("prefix").agg(F.count_distinct("id").alias("pages"))
 
 
-# Suggestions and display.
+# The stored engine: orders as items whose file lists are their lines, written once and read by every query below.
 
-_RANKED = f"SELECT term, row_number() OVER (ORDER BY doc_count DESC, occurrences DESC, term) - 1 AS rank FROM ({STATS}) WHERE doc_count >= 3 AND regexp_full_match(term, '[a-z0-9]+') ORDER BY rank LIMIT 100000"
+ITEMS = f"""SELECT o_orderkey AS id, o_orderpriority || ' c' || o_custkey AS name, md5(o_orderkey::VARCHAR) AS infohash, floor(o_totalprice)::BIGINT AS total_size,
+  epoch_ms(o_orderdate) AS fetched_at, coalesce(f.body, '') AS body, coalesce(f.n, 0)::INTEGER AS file_count
+  FROM orders LEFT JOIN (SELECT id, string_agg(path, chr(10) ORDER BY pos) AS body, count(*) AS n FROM ({FILES}) GROUP BY id) f ON f.id = o_orderkey"""
+_NAME_STATS = rf"""SELECT term, count(DISTINCT id)::BIGINT AS doc_count, count(*)::BIGINT AS occurrences
+  FROM (SELECT id, unnest({_tokens("name")}) AS term FROM ({ITEMS})) WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY term"""
+_engines: dict[tuple[str, str], Engine] = {}
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ranked word list of ASCII terms (of others DuckDB counts edits in bytes). The ranking is bounded before it is numbered."""
-    order = Window.orderBy(F.desc("doc_count"), F.desc("occurrences"), "term")
-    top = keywords.top_keywords(_stats(spark, sf_dir).where("term rlike '^[a-z0-9]+$'"), min_docs=3)
-    return top.select("term", (F.row_number().over(order) - 1).alias("rank"))
+def item_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders in the form of an item source."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "path", "size"))), lambda f: F.struct(f["path"].alias("path"), f["size"].alias("size")))
+    files = line_files(spark, sf_dir).groupBy("id").agg(F.to_json(listed).alias("files"))
+    own = F.md5(F.col("o_orderkey").cast("string"))
+    items = _t(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("long").alias("id"),
+        F.concat(F.col("o_orderpriority"), F.lit(" c"), F.col("o_custkey").cast("string")).alias("name"),
+        own.alias("infohash"),
+        F.concat(F.lit("magnet:?xt=urn:btih:"), own).alias("magnet"),
+        F.floor("o_totalprice").alias("total_size"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("fetched_at"),
+    )
+    return items.join(files, "id", "left")
 
 
-def _score_sql(t: str) -> str:
-    near = f"abs(length(term) - {len(t)}) <= 2 AND levenshtein(term, '{t}') <= {2 if len(t) >= 4 else 1}"
-    return f"{len(t)} * CASE WHEN term = '{t}' THEN 100 WHEN starts_with(term, '{t}') THEN 60 WHEN contains(term, '{t}') THEN 30 WHEN rank < 3000 AND {near} THEN 8 ELSE 0 END"
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only local sessions may leave it unset, theirs is in the warehouse."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (place or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
 
 
-@query(f"SELECT * FROM (SELECT term, rank::INTEGER AS rank, ({_score_sql('ther')} + {_score_sql('on')})::BIGINT AS score FROM ({_RANKED})) WHERE score > 0")
-def suggest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.suggestion_scores(_words(spark, sf_dir), ["ther", "on"])
+def stored(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the items of a data folder; the first query of a session builds its store."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines or not _engines[key].store.files.exists("manifest.json"):
+        engine = Engine(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}")
+        engine.rebuild(item_source(spark, sf_dir))
+        _engines[key] = engine
+    return _engines[key]
 
 
-@query(f"SELECT * FROM (SELECT term, rank::INTEGER AS rank, ({_score_sql('eau')} + {_score_sql('tion')})::BIGINT AS score FROM ({_RANKED})) WHERE score > 0 ORDER BY score DESC, rank, term LIMIT 12")
-def suggest_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.suggestions(_words(spark, sf_dir), ["eau", "tion"])
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a page, which the engine gives as Python values."""
+    return spark.createDataFrame(rows, schema)
 
 
-@query(f"SELECT term FROM ({_RANKED}) WHERE abs(length(term) - 5) <= 2 AND levenshtein(term, 'thion') <= 2")
-def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).where(suggest.is_fuzzy(F.col("term"), F.lit("thion"))).select("term")
+_ITEM_WORDS = "1 urgent p1"
+
+
+@query(
+    f"""WITH hits AS (SELECT * FROM ({_hits_sql(_ITEM_WORDS, items=ITEMS)}) WHERE {_where(_ITEM_WORDS)} AND total_size <= 200000),
+page AS (SELECT * FROM hits ORDER BY total_size DESC, id DESC LIMIT 50 OFFSET 10),
+scored AS (SELECT *, contains(lower(path), '1')::INTEGER + contains(lower(path), 'urgent')::INTEGER + contains(lower(path), 'p1')::INTEGER AS score FROM ({FILES}) WHERE pos <= 8 AND id IN (SELECT id FROM page)),
+shown AS (SELECT id, string_agg(path, chr(10) ORDER BY score DESC, pos) AS preview FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS rn FROM scored WHERE score > 0) WHERE rn <= 5 GROUP BY id)
+SELECT id, name, infohash, total_size, fetched_at, file_count, coalesce(preview, '') AS preview, (SELECT count(*) FROM hits) AS total FROM page LEFT JOIN shown USING (id)"""
+)
+def stored_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page over the stored index: total, order, narrow columns, previews of the page alone."""
+    found = stored(spark, sf_dir).search(query=_ITEM_WORDS, sort_by="totalSize", limit=50, offset=10, max_size=200_000)
+    rows = [(r["id"], r["name"], r["infohash"], r["total_size"], r["fetched_at"], r["file_count"], "\n".join(f["path"] for f in r["preview"]), found.total) for r in found.items]
+    return _rows(spark, rows, "id long, name string, infohash string, total_size long, fetched_at long, file_count int, preview string, total long")
+
+
+@query(f"SELECT id, ((row_number() OVER (ORDER BY fetched_at DESC, id DESC) - 1) // 40)::INTEGER AS page FROM ({_hits_sql('mkv p77', items=ITEMS)}) WHERE {_where('mkv p77')} ORDER BY fetched_at DESC, id DESC LIMIT 160")
+def stored_cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages, each from the cursor that the one before it gave."""
+    engine, cursor, rows = stored(spark, sf_dir), None, []
+    for number in range(4):
+        found = engine.search(query="mkv p77", sort_by="fetchedAt", limit=40, **({"cursor": cursor} if cursor else {}))
+        rows += [(r["id"], number) for r in found.items]
+        cursor = found.next_cursor
+        if not cursor:
+            break
+    return _rows(spark, rows, "id long, page int")
+
 
+@query(f"SELECT id, round(score, 6) AS score FROM ({_ranked_sql('urgent p12', items=ITEMS)})")
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit's rank value from the stored postings."""
+    return _rounded(search.index_ranked(stored(spark, sf_dir).index(), "urgent p12"))
 
-# The same over the whole word list. DuckDB counts edits in bytes, so its terms have a '#' for each other character, which no token holds.
-_RANKED_ALL = f"SELECT term, regexp_replace(term, '[^a-z0-9]', '#', 'g') AS plain, row_number() OVER (ORDER BY doc_count DESC, occurrences DESC, term) - 1 AS rank FROM ({STATS}) WHERE doc_count >= 3"
 
+@query(f"SELECT id, total_size FROM ({_hits_sql('low flac c1', items=ITEMS)}) WHERE {_where('low flac c1')}")
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits joined with the narrow copies of their items."""
+    engine = stored(spark, sf_dir)
+    return search.matching(engine.read("docs"), SearchSpec.of(query="low flac c1"), engine.index()).select("id", "total_size")
 
-def _all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranked list of all terms."""
+
+@query(f"SELECT id, name FROM ({ITEMS}) WHERE starts_with(infohash, 'a1b')")
+def stored_hash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A look-up by the stored lower-case hash, which reaches the scan."""
+    return search.matching(stored(spark, sf_dir).read("docs"), SearchSpec.of(query="A1-B", by="hash")).select("id", "name")
+
+
+@query(f"SELECT id, name, (SELECT count(*) FROM orders) AS total FROM ({ITEMS}) ORDER BY id DESC LIMIT 30 OFFSET 30")
+def stored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(spark, sf_dir).latest(30, 30)
+    return _rows(spark, [(r["id"], r["name"], found.total) for r in found.items], "id long, name string, total long")
+
+
+@query(
+    f"""{TREE}, last AS (SELECT max(id) AS id FROM files)
+SELECT n.idx::INTEGER AS idx, n.name, coalesce(u.idx, -1)::INTEGER AS parent, n.is_dir, t.size, CASE WHEN NOT n.is_dir THEN n.prefix END AS path
+FROM numbered n JOIN last USING (id) JOIN totals t ON t.id = n.id AND t.prefix = n.prefix
+LEFT JOIN numbered u ON u.id = n.id AND n.d > 1 AND u.prefix = array_to_string(string_split(n.prefix, '/')[1:n.d - 1], '/')"""
+)
+def stored_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of one item, found by its id; the last one that has lines."""
+    last = line_files(spark, sf_dir).agg(F.max("id")).first()[0]
+    nodes = stored(spark, sf_dir).file_tree(last) if last is not None else []
+    return _rows(spark, [(n["idx"], n["name"], n["parent"], n["is_dir"], n["size"], n["path"]) for n in nodes], "idx int, name string, parent int, is_dir boolean, size double, path string")
+
+
+@query(f"SELECT * FROM ({_NAME_STATS}) WHERE doc_count >= 2 AND term NOT IN ('urgent', 'c1') ORDER BY doc_count DESC, occurrences DESC, term LIMIT 100000")
+def stored_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of the stored statistics, without the terms of a filter list."""
+    gone = spark.createDataFrame([("urgent",), ("c1",)], "term string")
+    return keywords.top_keywords(stored(spark, sf_dir).keywords.stats(), gone, 2)
+
+
+@query(
+    f"""WITH ranked AS (SELECT term, term AS plain, row_number() OVER (ORDER BY doc_count DESC, occurrences DESC, term) - 1 AS rank FROM ({_NAME_STATS}))
+SELECT term, row_number() OVER (ORDER BY score DESC, rank, term)::INTEGER AS place FROM (SELECT term, rank, {_score_sql("c12")} + {_score_sql("urgnt")} AS score FROM ranked) WHERE score > 0 ORDER BY place LIMIT 12"""
+)
+def stored_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is suggested for typed words, from the stored ranking."""
+    return _rows(spark, [(t, i) for i, t in enumerate(stored(spark, sf_dir).suggest("c12 URGNT"), 1)], "term string, place int")
+
+
+@query(f"SELECT term FROM ({STATS}) WHERE doc_count >= 20")
+def keyword_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word list, written as a text file and read again."""
+    place = f"{shared_folder(spark)}/keyword-files/{uuid.uuid4().hex}"
+    write_keywords(_stats(spark, sf_dir).where("doc_count >= 20").select("term"), place)
+    return read_keywords(spark, place)
+
+
+@query("SELECT term FROM (SELECT DISTINCT lower(trim(c_mktsegment)) AS term FROM customer UNION SELECT lower(n_name) FROM nation) WHERE term <> 'france'")
+def keyword_filter_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store's filter list: terms added, some of them again, and one removed."""
+    own = Engine(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}").keywords
+    own.add(_t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("term")))
+    own.add(_t(spark, sf_dir, "nation").select(F.concat(F.lit(" "), "n_name").alias("term")))
+    own.add(["FRANCE", "", "-"])
+    own.remove("France")
+    return own.filters().select("term")
+
+
+# Suggestions and display.
+
+# DuckDB counts edits in bytes, so its terms have a '#' for each character that is no ASCII letter or digit, which no typed token here holds.
+_RANKED = f"SELECT term, regexp_replace(term, '[^a-z0-9]', '#', 'g') AS plain, row_number() OVER (ORDER BY doc_count DESC, occurrences DESC, term) - 1 AS rank FROM ({STATS}) WHERE doc_count >= 3"
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked list of all terms in three or more items."""
     return keywords.ranked(_stats(spark, sf_dir), min_docs=3)
 
 
-def _score_all_sql(t: str) -> str:
-    return _score_sql(t).replace("levenshtein(term,", "levenshtein(plain,")
+@query(f"SELECT * FROM (SELECT term, rank::BIGINT AS rank, ({_score_sql('ther')} + {_score_sql('on')})::BIGINT AS score FROM ({_RANKED})) WHERE score > 0")
+def suggest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.suggestion_scores(_words(spark, sf_dir), ["ther", "on"])
 
 
-@query(f"SELECT * FROM (SELECT term, rank::BIGINT AS rank, ({_score_all_sql('ther')} + {_score_all_sql('on')})::BIGINT AS score FROM ({_RANKED_ALL})) WHERE score > 0")
-def suggest_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.suggestion_scores(_all_words(spark, sf_dir), ["ther", "on"])
+@query(f"SELECT * FROM (SELECT term, rank::BIGINT AS rank, ({_score_sql('eau')} + {_score_sql('tion')})::BIGINT AS score FROM ({_RANKED})) WHERE score > 0 ORDER BY score DESC, rank, term LIMIT 12")
+def suggest_top12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.suggestions(_words(spark, sf_dir), ["eau", "tion"])
+
+
+@query(f"SELECT term FROM ({_RANKED}) WHERE abs(length(term) - 5) <= 2 AND levenshtein(plain, 'thion') <= 2")
+def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).where(suggest.is_fuzzy(F.col("term"), F.lit("thion"))).select("term")
 
 
-@query(f"SELECT * FROM (SELECT term, rank::BIGINT AS rank, ({_score_all_sql('eau')} + {_score_all_sql('tion')})::BIGINT AS score FROM ({_RANKED_ALL})) WHERE score > 0 ORDER BY score DESC, rank, term LIMIT 12")
-def suggest_top12_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suggest.suggestions(_all_words(spark, sf_dir), ["eau", "tion"])
+_READINGS = "SELECT term, said, said[1:2] AS initials FROM (SELECT term, translate(term, 'éèêàçöü', 'eeeacov') AS said FROM ranked) WHERE said <> term"
 
 
-@query(f"SELECT term FROM ({_RANKED_ALL}) WHERE abs(length(term) - 5) <= 2 AND levenshtein(plain, 'thion') <= 2")
-def fuzzy_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_words(spark, sf_dir).where(suggest.is_fuzzy(F.col("term"), F.lit("thion"))).select("term")
+@query(
+    f"""WITH ranked AS ({_RANKED}), readings AS ({_READINGS}), typed AS (SELECT unnest(['su', 'ete']) AS t),
+own AS (SELECT term, rank, {_score_sql("su")} + {_score_sql("ete")} AS score FROM ranked),
+more AS (SELECT term, sum(length(t) * CASE WHEN said = t THEN 90 WHEN starts_with(said, t) OR starts_with(replace(said, 'v', 'u'), t) AND contains(said, 'v') THEN 45
+  WHEN starts_with(initials, t) THEN 60 WHEN contains(said, t) THEN 22 ELSE 0 END) AS score FROM readings, typed GROUP BY term)
+SELECT term, rank, score::BIGINT AS score FROM (SELECT term, rank, own.score + coalesce(more.score, 0) AS score FROM own LEFT JOIN more USING (term)) WHERE score > 0"""
+)
+def suggest_by_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with the romanised readings of a table: here words with accents, read without them."""
+    words = _words(spark, sf_dir)
+    full = F.translate("term", "éèêàçöü", "eeeacov")
+    readings = words.select("term", full.alias("full"), F.substring(full, 1, 2).alias("initials")).where("full <> term")
+    return suggest.suggestion_scores(words, ["su", "ete"], readings)
+
+
+@query(r"SELECT item_id, len(w)::INTEGER AS n, array_to_string(w, ' ') AS words FROM (SELECT item_id, regexp_extract_all(lower(trim(text)), '[A-Za-z0-9]+|\p{Han}') AS w FROM benchmark)")
+def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut as typed queries are."""
+    own = _t(spark, sf_dir, "benchmark").select("item_id", fn.fallback_words(F.col("text")).alias("w"))
+    return own.select("item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
 
 
 @query(

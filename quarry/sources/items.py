@@ -45,6 +45,13 @@ def open_source(spark: SparkSession, path: str, form: str = "parquet") -> DataFr
         raise SourceError(f"no source at {path}") from e
 
 
+def spread(source: DataFrame) -> DataFrame:
+    """``source``, dealt over all cores if its files give fewer tasks than there are cores (one row group is one task)."""
+    spark = source.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return source if source.rdd.getNumPartitions() >= cores else source.repartition(cores)
+
+
 def extent(source: DataFrame, key: str = "id") -> tuple[int, int] | None:
     """Smallest and largest id; None for an empty table."""
     low, high = source.agg(F.min(key), F.max(key)).first()
