@@ -55,13 +55,17 @@ class Sync:
         return out
 
     def write_segment(self, rows: DataFrame, low: int, high: int, result: Result) -> Segment:
-        """All parts of a segment. Postings are ordered by term, so a look-up reads few row groups."""
+        """All parts of a segment. The source is read and its file lists are parsed once, for the files part, from
+        which the other parts are made. Postings are ordered by term, so a look-up reads few row groups."""
         name = f"{high}-{uuid.uuid4().hex[:12]}"
         at = lambda part: self.store.place(name, part)
         items = fingerprinted(with_file_facts(rows)).withColumns({"name": F.coalesce("name", F.lit("")), "total_size": F.coalesce("total_size", F.lit(0)), "fetched_at": F.coalesce("fetched_at", F.lit(0))})
-        self._step(result, "files", lambda: items.select("id", "name", "files", "file_list", "preview", "body", "fingerprint").sortWithinPartitions("id").write.mode("overwrite").parquet(at("files")))
-        self._step(result, "docs", lambda: items.select("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count", F.lower("infohash").alias("hash_key")).sortWithinPartitions("id").write.mode("overwrite").parquet(at("docs")))
+        narrow = ("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count")
+        wide = items.select(*narrow, "files", "file_list", "preview", "body", "fingerprint")
+        self._step(result, "files", lambda: wide.sortWithinPartitions("id").write.mode("overwrite").parquet(at("files")))
         spark = self.store.spark
+        docs = spark.read.parquet(at("files")).select(*narrow, F.lower("infohash").alias("hash_key"))
+        self._step(result, "docs", lambda: docs.sortWithinPartitions("id").write.mode("overwrite").parquet(at("docs")))
         texts = spark.read.parquet(at("files")).select("id", "name", "body")
         terms = postings(texts)
         self._step(result, "postings", lambda: terms.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(at("postings")))
