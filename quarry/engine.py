@@ -89,6 +89,9 @@ class Engine:
     def sync(self, source: DataFrame) -> Result:
         return self.runs.sync(source)
 
+    def refresh(self, source: DataFrame) -> Result:
+        return self.runs.refresh(source)
+
     def read(self, part: str) -> DataFrame:
         """A part of all segments, which one format gives one schema."""
         names = [s.name for s in self.store.manifest().segments]

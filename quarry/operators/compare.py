@@ -24,6 +24,16 @@ def list_agreement(base: DataFrame, other: DataFrame, key: str = "query", ids: s
     return both.select(key, jaccard.alias("jaccard"), F.get("a", F.lit(0)).eqNullSafe(F.get("b", F.lit(0))).alias("same_top"))
 
 
+def list_precision(lists: DataFrame, paths: DataFrame, key: str = "query", ids: str = "ids") -> DataFrame:
+    """One row, precision: of the items that the lists name, the share with a path that holds the list's query, in any case.
+
+    ``paths``: id and paths (an array). Items that there are not do not count; without any the precision is 1.
+    """
+    named = lists.select(F.col(key).alias("query"), F.explode(ids).alias("id")).join(paths.select("id", "paths"), "id")
+    holds = F.exists("paths", lambda p: F.lower(p).contains(F.lower("query")))
+    return named.agg(F.coalesce(F.avg(F.when(holds, 1.0).otherwise(0.0)), F.lit(1.0)).alias("precision"))
+
+
 def address_matches(address: str, rule: str) -> bool:
     """Whether an IP address is the rule's or inside its network; IPv4 in IPv6 form counts as IPv4, a malformed one never."""
     try:

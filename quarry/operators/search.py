@@ -137,10 +137,17 @@ def hash_hits(items: DataFrame, text: str, column: str = "infohash") -> DataFram
     return items.where((low == own) | (low == "hash" + own) | low.startswith(own))
 
 
-def matching(items: DataFrame, spec: SearchSpec, index: Index | None = None, paged: bool = False) -> DataFrame:
+def text_hits(index: Index, spec: SearchSpec) -> DataFrame:
+    """id, and score if the spec sorts by relevance, of the items whose indexed texts match; sizes are not looked at."""
+    by_score = spec.sort_by == "relevance"
+    hits = index_ranked(index, spec.query, spec.search_in) if by_score else index_hits(index, spec.query, spec.search_in)
+    return hits.select("id", *(["score"] if by_score else []))
+
+
+def matching(items: DataFrame, spec: SearchSpec, index: Index | None = None, paged: bool = False, hits: DataFrame | None = None) -> DataFrame:
     """All items that a spec matches, sizes included, with score if it sorts by relevance.
 
-    ``paged``: only those after the spec's cursor. Ranges and cursors are tested before texts
+    ``paged``: only those after the spec's cursor. ``hits``: the spec's ``text_hits``, if they are known. Ranges and cursors are tested before texts
     are looked at; only a ranking's totals need every item.
     """
     near = size_range(spec)
@@ -156,8 +163,7 @@ def matching(items: DataFrame, spec: SearchSpec, index: Index | None = None, pag
         if by_score:
             return scan_ranked(items, spec.query, spec.search_in).where(near)
         return scan_hits(items.where(near), spec.query, spec.search_in)
-    hits = index_ranked(index, spec.query, spec.search_in) if by_score else index_hits(index, spec.query, spec.search_in)
-    return items.where(near).join(hits.select("id", *(["score"] if by_score else [])), "id")
+    return items.where(near).join(text_hits(index, spec) if hits is None else hits, "id")
 
 
 def whole_set_cap(most: int | None = None) -> int:
@@ -202,11 +208,38 @@ def search(
     most: int | None = None,
     count: Callable[[SearchSpec, DataFrame], int] | None = None,
 ) -> Response:
-    """The page that a search asks for. ``count`` may answer for totals that are known."""
+    """The page that a search asks for. ``count`` may answer for totals that are known.
+
+    Hits of an index are found once, for the total and for the page.
+    """
     spec = SearchSpec.of(raw)
-    found = matching(items, spec, index)
-    total = count(spec, found) if count else found.count()
-    top = page(matching(items, spec, index, paged=True) if spec.cursor else found, spec, most)
+    if index is None or spec.by == "hash":
+        return _page_of(items, spec, previews, index, None, most, count)
+    hits = text_hits(index, spec).persist()
+    try:
+        return _page_of(items, spec, previews, index, hits, most, count)
+    finally:
+        hits.unpersist()
+
+
+def _page_of(
+    items: DataFrame,
+    spec: SearchSpec,
+    previews: DataFrame | None,
+    index: Index | None,
+    hits: DataFrame | None,
+    most: int | None,
+    count: Callable[[SearchSpec, DataFrame], int] | None,
+) -> Response:
+    """A page from known hits. Without a size range, hits give the total, and their own columns' orders cut before items are joined."""
+    found = matching(items, spec, index, hits=hits)
+    bare = hits is not None and spec.min_size is None and spec.max_size is None
+    counted = hits if bare else found
+    total = count(spec, counted) if count else counted.count()
+    if bare and spec.sort_column in hits.columns:
+        top = items.join(page(hits, spec, most), "id")
+    else:
+        top = page(matching(items, spec, index, paged=True, hits=hits) if spec.cursor else found, spec, most)
     listed = [c for c in LISTED if c in found.columns] + (["score"] if "score" in found.columns else [])
     top = top.select(*listed)
     if previews is not None:

@@ -772,6 +772,20 @@ def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.round("jaccard", 6).alias("jaccard"), "same_top")
 
 
+@query(
+    """SELECT round(coalesce(avg(CASE WHEN contains(lower(text), lower(lang)) THEN 1.0 ELSE 0.0 END), 1.0), 6) AS precision
+FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id DESC) AS rn FROM documents) WHERE rn <= 10"""
+)
+def precision_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ten largest texts of each language, the share that hold the language's code."""
+    docs = _t(spark, sf_dir, "documents")
+    order = Window.partitionBy("lang").orderBy(F.desc("n_chars"), F.desc("doc_id"))
+    best = docs.select("lang", "doc_id", "n_chars").withColumn("rn", F.row_number().over(order)).where("rn <= 10")
+    lists = best.groupBy("lang").agg(F.collect_list("doc_id").alias("ids"))
+    paths = docs.select(F.col("doc_id").alias("id"), F.array("text").alias("paths"))
+    return compare.list_precision(lists, paths, "lang").select(F.round("precision", 6).alias("precision"))
+
+
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))

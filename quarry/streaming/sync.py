@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.index import corpus_stats, doc_stats, postings
 from quarry.operators.keywords import keyword_stats, merged
-from quarry.sources.items import check_schema, extent, fingerprinted, since, with_file_facts
+from quarry.sources.items import ITEM_SCHEMA, check_schema, extent, file_changes, fingerprinted, since, with_file_facts
 from quarry.streaming.store import FORMAT, Files, Manifest, Segment, Store
 
 PARTS = ("docs", "postings", "doc_stats", "corpus", "keyword_stats", "files")
@@ -51,7 +51,7 @@ class Sync:
         self.progress(name)
         began = time.perf_counter()
         out = run()
-        result.seconds[name] = round(time.perf_counter() - began, 3)
+        result.seconds[name] = round(result.seconds.get(name, 0.0) + time.perf_counter() - began, 3)
         return out
 
     def write_segment(self, rows: DataFrame, low: int, high: int, result: Result) -> Segment:
@@ -104,7 +104,8 @@ class Sync:
     def sync(self, source: DataFrame) -> Result:
         """Rows after the watermark, up to the largest id at the start; a store of another format is rebuilt.
 
-        While another run is at work this one is skipped. Rows that were changed or deleted need a rebuild.
+        While another run is at work this one is skipped. Rows up to the watermark are not read: ``refresh``
+        takes over changed file lists, and rows that were deleted need a rebuild.
         """
         check_schema(source)
         try:
@@ -125,6 +126,41 @@ class Sync:
             self.store.commit(replace(now, watermark=ends[1], segments=(*now.segments, segment)))
         return result
 
+    def refresh(self, source: DataFrame) -> Result:
+        """Stored items whose file text in ``source`` is another one, taken over whole.
+
+        Segments that hold any are written anew, the others stay, and the state is replaced once. Changes are
+        found by fingerprints, so only ids and hashes are compared. Items that the store lacks are left to
+        ``sync``, those that ``source`` lacks stay as they are. ``rows``: items that were changed.
+        """
+        check_schema(source)
+        return self._held(lambda: self._refresh(source))
+
+    def _refresh(self, source: DataFrame) -> Result:
+        now = self.store.manifest()
+        if now.format != FORMAT or now.version == 0:
+            return self._rebuild(source)
+        result, segments, changed_rows = Result("refresh"), [], 0
+        columns = ITEM_SCHEMA.fieldNames()
+        for segment in now.segments:
+            stored = self.store.spark.read.parquet(self.store.place(segment.name, "files"))
+            own = since(source, segment.low, segment.high)
+            changed = file_changes(own, stored).changed.select("id").persist()
+            try:
+                n = self._step(result, "compare", changed.count)
+                if n:
+                    rows = stored.select(*columns).join(changed, "id", "left_anti").unionByName(own.select(*columns).join(changed, "id", "left_semi"))
+                    segment = self.write_segment(rows, segment.low, segment.high, result)
+            finally:
+                changed.unpersist()
+            segments.append(segment)
+            changed_rows += n
+        if changed_rows:
+            self.store.commit(replace(now, segments=tuple(segments)))
+            self.store.clean()
+        result.rows = changed_rows
+        return result
+
     def append(self, batch: DataFrame, batch_id: int, stream: str = "") -> Result:
         """One micro-batch of a stream, after any run that is at work; one that is committed already, before a rebuild too, is left alone."""
 

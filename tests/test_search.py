@@ -124,3 +124,12 @@ def test_previews(items, spark):
 
 def test_empty_table(items):
     assert search.search(items.where("id > 99"), {"query": "a", "sort_by": "relevance"}).total == 0
+
+
+def test_precision_of_lists(spark):
+    from quarry.operators.compare import list_precision
+
+    paths = spark.createDataFrame([(1, ["a/Movie.mkv", "b"]), (2, ["c"]), (3, [])], "id long, paths array<string>")
+    lists = spark.createDataFrame([("movie", [1, 2, 9]), ("c", [2, 3]), ("x", [])], "query string, ids array<long>")
+    assert list_precision(lists, paths).collect()[0][0] == 0.5
+    assert list_precision(lists.where("query = 'x'"), paths).collect()[0][0] == 1.0

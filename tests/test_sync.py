@@ -68,6 +68,48 @@ def test_changes_and_deletions_need_a_rebuild(spark, engine):
     assert found(engine, "movie") == [] and found(engine, "renamed") == [2] and engine.count() == 2
 
 
+def test_refresh_takes_over_changed_file_lists(spark, engine, tmp_path):
+    engine.sync(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
+    first, second = engine.store.manifest().segments
+    later = [item(0, "Zero.Day.mkv", [("Zero.Day.mkv", 10)]), item(2, "Some Movie 2024", [("Other.flac", 9), ("Other.txt", 1)], 10), FIRST[2], *SECOND, item(11, "Late", "[]")]
+    source = spark.createDataFrame(later, ITEM_SCHEMA)
+    result = engine.refresh(source)
+    assert (result.kind, result.rows) == ("refresh", 1)
+    kept = engine.store.manifest()
+    assert kept.segments[0].name != first.name and kept.segments[1] == second and kept.watermark == 9
+    assert found(engine, "other") == [2] and found(engine, "sample") == [] and engine.count() == 5
+    assert [n["name"] for n in engine.file_tree(2)] == ["Other.flac", "Other.txt"]
+    assert engine.refresh(source).rows == 0 and engine.store.manifest() == kept
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.rebuild(source.where("id < 11"))
+    for part in ("docs", "postings", "doc_stats", "files"):
+        key = lambda e: sorted(map(str, e.read(part).collect()))  # noqa: E731, B023
+        assert key(engine) == key(whole)
+    assert sorted(map(str, engine.keywords.stats().collect())) == sorted(map(str, whole.keywords.stats().collect()))
+    assert found(engine, "late") == [] and engine.sync(source).rows == 1 and found(engine, "late") == [11]
+
+
+def test_refresh_of_a_store_without_data_builds_it(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.refresh(spark.createDataFrame(FIRST, ITEM_SCHEMA)).kind == "rebuild" and e.count() == 3
+    assert e.refresh(spark.createDataFrame([], ITEM_SCHEMA)).rows == 0 and e.count() == 3
+
+
+@pytest.mark.parametrize("more", [{}, {"order": "asc"}, {"sort_by": "relevance"}, {"sort_by": "totalSize"}, {"min_size": 3, "max_size": 75}, {"limit": 1, "offset": 1}, {"limit": "all"}])
+def test_pages_of_the_index_are_those_of_a_scan(spark, engine, more):
+    from quarry.operators.search import search
+    from quarry.sources.items import with_file_facts
+
+    engine.sync(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
+    items = with_file_facts(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
+    plain = lambda r: ([(x["id"], round(x.get("score", 0.0), 9)) for x in r.items], r.total, r.truncated, r.next_cursor)
+    own = search(engine.read("docs"), {"query": "m"} | more, index=engine.index())
+    assert plain(own) == plain(search(items, {"query": "m"} | more))
+    if own.next_cursor:
+        on = {"query": "m", "cursor": own.next_cursor} | more
+        assert plain(search(engine.read("docs"), on, index=engine.index())) == plain(search(items, on))
+
+
 def test_a_failed_rebuild_changes_nothing(spark, engine):
     with pytest.raises(SourceError):
         engine.rebuild(spark.createDataFrame([(1,)], "id long"))
