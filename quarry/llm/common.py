@@ -8,8 +8,7 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key of over HEAVY rows is dealt over SALTS keys of a join. Keys are told apart by SPOTS values of
-#: their hash, so what is broadcast for it has SPOTS rows at most.
+#: A key of over HEAVY rows that has over one row in SPOTS is dealt over SALTS keys of a join; there are fewer than SPOTS such keys.
 HEAVY, SALTS, SPOTS = 256, 64, 4096
 
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -79,17 +78,30 @@ def spot(key: Column | str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SPOTS)).cast("int")
 
 
+def spot(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SPOTS)).cast("int")
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """The keys with over ``HEAVY`` rows and over one row in ``SPOTS``: fewer than SPOTS rows, however large the table.
+
+    ``counts``: key and n, the rows with it.
+    """
+    total = counts.agg(F.sum("n").alias("_all"))
+    return counts.where(F.col("n") > HEAVY).crossJoin(F.broadcast(total)).where(F.col("n") * SPOTS > F.col("_all")).select(key)  # one row
+
+
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one`` on ``key``, where very many rows of ``many`` may have one key.
 
     Rows of such a key, and those of a null key, are dealt over ``SALTS`` keys by a hash of
     ``by``. ``counts``: key and n, the rows of ``many`` with it.
     """
-    hot = F.broadcast(counts.where(F.col("n") > HEAVY).select(spot(key).alias("_spot"), F.lit(True).alias("_hot")).distinct())
+    hot = F.broadcast(hot_keys(counts, key).withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = many.withColumn("_spot", spot(key)).join(hot, "_spot", "left").withColumn("_salt", salt).drop("_spot", "_hot")
-    copies = one.withColumn("_spot", spot(key)).join(hot, "_spot", "left").withColumn("_salt", F.explode(salts)).drop("_spot", "_hot")
+    dealt = many.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 

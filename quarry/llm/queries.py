@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from quarry.llm.chat_format import conversation_records, digest, format_chats, read_back
 from quarry.llm.common import spread, table, text_bytes
 from quarry.llm.decontamination import overlaps
+from quarry.llm.divergence import divergence
 from quarry.llm.html_text import extract_text
 from quarry.llm.near_dedup import near_duplicates
+from quarry.llm.ngram_join import jaccard_join
 from quarry.llm.packing import pack
+from quarry.llm.prefix_trie import prefix_trie, rebuilt, turn_rows
 from quarry.llm.quality_rules import apply_rules
 from quarry.llm.sharding import external_shuffle
 from quarry.llm.token_counts import count_tokens
@@ -203,6 +206,122 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(turn_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+
+
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), said AS (
+  SELECT c, turn, md5(length(role) || ':' || role || text) AS digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turns
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS place, digest, words FROM said
+), sizes AS (
+  SELECT c, max(place) AS own, c - c % 20 AS lender, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::BIGINT),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h
+  FROM placed GROUP BY c
+), convs AS (
+  SELECT s.c, s.own, s.lender, s.h, least(s.h, coalesce(l.own, 0)) AS got FROM sizes s LEFT JOIN sizes l ON l.c = s.lender
+), rebuilt AS (
+  SELECT convs.c, place AS depth, digest, words FROM convs JOIN placed ON placed.c = lender WHERE place <= h
+  UNION ALL
+  SELECT c, got + place - h, digest, words FROM convs JOIN placed USING (c) WHERE place > h
+), paths AS (
+  SELECT c, depth, words, md5(string_agg(digest, '') OVER (PARTITION BY c ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS node FROM rebuilt
+  UNION ALL
+  SELECT c, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT depth, node, min(c) AS owner, count(*) AS n FROM paths GROUP BY depth, node
+), steps AS (
+  SELECT p.c, p.depth, p.node, n.owner, n.n, p.words, lag(n.owner) OVER w AS parent, lag(p.node) OVER w AS above, lead(p.node) OVER w IS NULL AS last
+  FROM paths p JOIN nodes n USING (depth, node) WINDOW w AS (PARTITION BY p.c ORDER BY p.depth)
+), kids AS (
+  SELECT depth - 1 AS depth, above AS node, count(DISTINCT node) AS n_children FROM steps WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT s.c, s.depth, s.node, s.parent, s.last, sum(CASE WHEN s.owner = s.c THEN (s.n - 1) * s.words ELSE 0 END) OVER v AS saved,
+    sum(CASE WHEN s.owner = s.c AND k.n_children IS NULL THEN 1 ELSE 0 END) OVER v AS leaves
+  FROM steps s LEFT JOIN kids k USING (depth, node) WINDOW v AS (PARTITION BY s.c ORDER BY s.depth DESC ROWS UNBOUNDED PRECEDING)
+)
+SELECT min(c) AS conv_id, depth::BIGINT AS depth, min(parent) AS parent_conv_id, count(*) AS n_convs, coalesce(any_value(k.n_children), 0)::BIGINT AS n_children,
+  sum(leaves)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+FROM below LEFT JOIN kids k USING (depth, node) GROUP BY depth, node
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(spread(table(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), said AS (
+  SELECT lang, source, term, count(*) AS n, sum(first)::BIGINT AS docs
+  FROM (SELECT lang, source, unnest(t) AS term, unnest(list_transform(t, lambda x, i: (list_position(t, x) = i)::INTEGER)) AS first FROM docs) GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n)::BIGINT AS n FROM said GROUP BY ALL HAVING sum(docs) >= 3
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), own AS (
+  SELECT lang, source, term, coalesce(said.n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN said USING (lang, source, term)
+), sized AS (
+  SELECT lang, source, sum(n) + count(*) AS total FROM own GROUP BY ALL
+), shares AS (
+  SELECT lang, source, term, n, 1 + ((n + 1)::HUGEINT * 1000000000) // total AS p FROM own JOIN sized USING (lang, source)
+), whole AS (
+  SELECT lang, term, 1 + ((n + 1)::HUGEINT * 1000000000) // sum(n + 1) OVER (PARTITION BY lang) AS q FROM kept
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms) WHERE rank <= 200
+"""
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join(docs, k=4, percent=85)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM docs WHERE len(w) >= 4)
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 3
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n
+  HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM docs
+  UNION
+  SELECT reached.x, links.y FROM reached JOIN links ON links.x = reached.y
+), least AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (doc_id) JOIN least ON x = doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
@@ -214,6 +333,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
@@ -221,4 +343,7 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op9_warc_fixity": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
+    "op13_ngram_join": OP13_SQL,
 }
