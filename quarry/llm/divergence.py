@@ -84,9 +84,12 @@ def divergence(
     own = shares.where("source is not null")
 
     one, other = own.alias("a"), own.alias("b")
-    met = one.join(other, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source") != F.col("b.source")))
-    gaps = met.select("a.lang", "a.source", F.col("b.source").alias("item"), "a.p", F.col("b.p").alias("q"))
-    sums = gaps.groupBy("lang", "source", "item").agg(F.sum(F.expr(GAP)).alias("value"))
+    met = one.join(other, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source") < F.col("b.source")))
+    # Each two groups meet once a term, for both directions.
+    two = met.select("a.lang", "a.source", F.col("b.source").alias("item"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
+    two = two.groupBy("lang", "source", "item").agg(F.sum(F.expr(GAP)).alias("there"), F.sum(F.expr("(p - q) * (p - q) div p")).alias("back"))
+    sides = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
+    sums = two.select("lang", F.explode(sides).alias("s")).select("lang", "s.source", "s.item", "s.value")
     others = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source <> item")
     pairs = others.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 

@@ -12,11 +12,11 @@ prefix has more rows to join, but may ask for more matches before anything is ve
    Each class takes the prefix length with the least estimated cost (``chosen_level``): rows to
    join plus candidates to verify, both from the frequencies of its own shingles; the candidates of
    a prefix that asks for k matches are at most its rows by k. A pair uses the shorter of its two prefixes.
-3. Star rounds: of the classes that share a prefix shingle and are not in one component yet, each is
+3. Star rounds: of the classes that share a prefix shingle and have no label in common yet, each is
    verified against one of them, the one most central (first round) or picked by a hash, and
-   components are formed anew, as long as a round still joins many. So copies of one text by the thousand
+   the classes that links join get one label, as long as a round still joins many. So copies of one text by the thousand
    give one verification each, not one a pair.
-4. The rest is exact: pairs of different components that share a prefix shingle are counted; those with the
+4. The rest is exact: pairs of different labels that share a prefix shingle are counted; those with the
    matches that their prefixes ask for, and room left behind the last match, are verified on whole sets.
 5. Components of all verified links, labelled by their smallest id.
 
@@ -180,18 +180,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough(F.size(F.array_intersect("one", "other")).cast("long"), F.col("n"), F.col("m"), percent)).select("u", "v").distinct()
 
 
-def _placed(index: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The rows of shingles that stand in several components, with comp and, of the shingle, its rows (rows)."""
-    own = index.withColumn("comp", F.col("id")) if found is None else index.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    own = checkpoint(own)
-    mixed_ = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low <> high").select("token", "rows")
-    live = checkpoint(spread_join(own, mixed_, "token", "id", mixed_.select("token", F.col("rows").alias("n"))))
-    forget(own)
-    return live
+def _placed(index: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of shingles that stand under several labels, with comp, the label of the row's class, and n_rows of the shingle."""
+    own = index.withColumn("comp", F.col("id")) if labels is None else index.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+    several = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_rows")).where("low <> high").select("token", "n_rows")
+    return checkpoint(spread_join(own, several, "token", "id", several.select("token", F.col("n_rows").alias("n"))))
+
+
+def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """id and label of the classes that links join so far: classes of one label are connected, not all that are connected have one label.
+
+    Each label that new edges meet goes over to the smallest label beside it, then to the one that this one goes to.
+    """
+
+    def of(side: str) -> Column:
+        if labels is None:
+            return F.col(side)
+        return F.coalesce(F.col(f"label_{side}"), F.col(side))
+
+    near = edges
+    if labels is not None:
+        for side, far in (("u", "v"), ("v", "u")):
+            counts = edges.groupBy(side).agg(F.count("*").alias("n"))
+            near = spread_join(near, labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")), side, far, counts, "left")
+    pairs = checkpoint(near.select(of("u").alias("a"), of("v").alias("b")).where("a <> b").distinct())
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    down = checkpoint(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a"))
+    for _ in range(2):
+        onward = down.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        down = checkpoint(spread_join(down, onward, "b", "a", down.groupBy("b").agg(F.count("*").alias("n")), "left").select("a", F.coalesce("c", "b").alias("b")))
+    if labels is None:
+        return down.select(F.col("a").alias("id"), F.col("b").alias("label"))
+    counts = labels.groupBy("label").agg(F.count("*").alias("n"))
+    moved = spread_join(labels, down.select(F.col("a").alias("label"), "b"), "label", "id", counts, "left").select("id", F.coalesce("b", "label").alias("label"))
+    fresh = down.select(F.col("a").alias("id"), F.col("b").alias("label")).join(labels, "id", "left_anti")
+    return checkpoint(moved.unionByName(fresh))
 
 
 def _star_pairs(live: DataFrame, number: int, percent: int) -> DataFrame:
-    """(u, v): each class with the centre that it shares most shingles with, of those of other components."""
+    """(u, v): each class with the centre that it shares most shingles with, of those of other labels."""
     rank = F.col("centre") if number == 0 else F.xxhash64("id", F.lit(number)).cast("double")
     heads = live.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "id", "n", "shared", "comp")).alias("head"), F.count("*").alias("n"))
     met = spread_join(live, heads.select("token", "head"), "token", "id", heads.select("token", "n"))
@@ -202,7 +229,7 @@ def _star_pairs(live: DataFrame, number: int, percent: int) -> DataFrame:
 
 
 def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs of different components with the matches that their prefixes ask for and room behind the last."""
+    """(u, v): pairs of different labels with the matches that their prefixes ask for and room behind the last."""
     names = ("id", "n", "shared", "level", "place", "step", "comp")
     one = live.select("token", *names)
     other = live.select("token", *(F.col(c).alias(f"{c}_") for c in names))
@@ -218,23 +245,25 @@ def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): links that connect all classes that any link connects."""
     index = checkpoint(adaptive_prefixes(sets, percent))
-    edges, found, number = None, None, 0
+    edges, labels, number = None, None, 0
     while True:
-        live = _placed(index, found)
+        live = _placed(index, labels)
         pairs = checkpoint(_star_pairs(live, number, percent))
         new = checkpoint(_confirmed(pairs, sets, percent))
-        asked_, gained = pairs.count(), new.count()
         forget(live)
+        tried, gained = pairs.count(), new.count()
         forget(pairs)
         edges = new if edges is None else edges.unionByName(new)
         if gained:
-            found = checkpoint(components(edges).select("id", "component"))
+            labels = _merged(labels, new)
         number += 1
-        if GAIN * gained <= asked_:
+        if GAIN * gained <= tried:
             break
-    live = _placed(index, found)
-    rest = checkpoint(_confirmed(checkpoint(_cross_pairs(live, percent)), sets, percent))
+    live = _placed(index, labels)
+    pairs = checkpoint(_cross_pairs(live, percent))
     forget(live)
+    rest = checkpoint(_confirmed(pairs, sets, percent))
+    forget(pairs)
     forget(index)
     return edges.unionByName(rest)
 
