@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import fallback_words, normalized_keyword
+from quarry.functions.text import normalized_keyword, typed_words
 from quarry.operators import keywords, suggest, tree
 from quarry.operators.index import Index
 from quarry.operators.search import LISTED, Response, latest, search, with_previews
@@ -20,6 +20,8 @@ from quarry.streaming.sync import Result, Sync
 
 #: Totals and pages that are remembered, by state and search.
 KNOWN_TOTALS, KNOWN_PAGES = 200, 200
+#: Folders of rankings whose file lists are remembered.
+KNOWN_PARTS = 8
 
 
 class Keywords:
@@ -27,6 +29,7 @@ class Keywords:
 
     def __init__(self, engine: Engine):
         self._engine = engine
+        self._filtered: tuple[set[str], set[str]] | None = None
 
     def filters(self) -> DataFrame:
         spark, store = self._engine.spark, self._engine.store
@@ -64,23 +67,55 @@ class Keywords:
         write_keywords(self.filters(), path)
 
     def stats(self) -> DataFrame:
-        return keywords.merged(self._engine.read("keyword_stats"))
+        return keywords.merged(self._engine.store.keyword_counts())
 
-    def top(self, limit: int | None = None, min_docs: int = keywords.MIN_DOCS) -> DataFrame:
-        """The ranking, filters applied when read, so that counts are complete whatever is filtered."""
-        return keywords.top_keywords(self.stats(), self.filters(), min_docs, limit)
+    def ranking(self) -> DataFrame | None:
+        """The stored ranking (rank from 0, term, doc_count, occurrences; filters not applied); None if the state has come after it."""
+        state = self._engine.store.manifest()
+        if not state.ranking or state.ranked != state.names:
+            return None
+        return self._engine.part(f"ranks/{state.ranking}/terms")
+
+    def grams(self) -> DataFrame:
+        return self._engine.part(f"ranks/{self._engine.store.manifest().ranking}/grams")
+
+    def filtered(self) -> set[str]:
+        """The filter list, which people maintain by hand; remembered until it changes."""
+        log = self._engine.store.files.children("keyword_filter")
+        if self._filtered is None or self._filtered[0] != set(log):
+            self._filtered = (set(log), {r["term"] for r in self.filters().collect()} if log else set())
+        return self._filtered[1]
+
+    def top(self, limit: int | None = None, min_docs: int | None = None) -> DataFrame:
+        """The ranking, filters applied when read, so that counts are complete whatever is filtered.
+
+        The stored one is in order and as long as ``min_docs`` is not below the store's own: a limit reads its first rows,
+        one more for each filtered term.
+        """
+        least = self._engine.hot_min_docs if min_docs is None else min_docs
+        stored = self.ranking() if least >= self._engine.hot_min_docs else None
+        if stored is None:
+            return keywords.top_keywords(self.stats(), self.filters(), least, limit)
+        gone = self.filtered()
+        most = keywords.MAX_TERMS if limit is None else max(1, min(limit, keywords.MAX_TERMS))
+        kept = stored.where((F.col("rank") < most + len(gone)) & (F.col("doc_count") >= least))
+        if gone:
+            kept = kept.where(~F.col("term").isin(*gone))
+        return kept.orderBy("rank").limit(most).select("term", "doc_count", "occurrences")
 
 
 class Engine:
-    """Opens or makes a store at ``root``."""
+    """Opens or makes a store at ``root``. ``hot_min_docs``: items that a term must be in to be ranked and suggested."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, hot_min_docs: int = keywords.MIN_DOCS):
         self.spark = spark
+        self.hot_min_docs = hot_min_docs
         self.store = Store(spark, root)
-        self.runs = Sync(self.store)
+        self.runs = Sync(self.store, hot_min_docs=hot_min_docs)
         self.keywords = Keywords(self)
         self._totals: OrderedDict[Any, int] = OrderedDict()
         self._pages: OrderedDict[Any, Response] = OrderedDict()
+        self._parts: OrderedDict[str, DataFrame] = OrderedDict()
         self.hits = self.misses = 0
 
     def rebuild(self, source: DataFrame) -> Result:
@@ -93,25 +128,30 @@ class Engine:
         return self.runs.refresh(source)
 
     def read(self, part: str) -> DataFrame:
-        """A part of all segments, which one format gives one schema."""
-        names = [s.name for s in self.store.manifest().segments]
-        if not names:
-            raise LookupError("the store is empty")
-        return self.spark.read.parquet(*(self.store.place(n, part) for n in names))
+        """A part of the state: docs, postings or files."""
+        return self.store.read(part)
+
+    def part(self, place: str) -> DataFrame:
+        """A written folder, whose files are listed once."""
+        return self._remembered(self._parts, place, KNOWN_PARTS, lambda: self.spark.read.parquet(f"{self.store.root}/{place}"), count=False)
 
     def index(self) -> Index:
-        return Index(self.read("docs"), self.read("postings"), self.read("doc_stats"), self.read("corpus"))
+        state = self.store.manifest()
+        docs = self.store.read("docs", state)
+        n, dl = state.totals
+        corpus = self.spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(dl).cast("long").alias("total_dl"))
+        return Index(docs, self.store.read("postings", state), docs.select("id", "dl"), corpus)
 
     def _state(self) -> tuple:
         """Changes with every commit, so what is remembered under it is never stale."""
         state = self.store.manifest()
-        return state.version, state.watermark, tuple(s.name for s in state.segments)
+        return state.version, state.names
 
-    def _remembered(self, known: OrderedDict, key: Any, most: int, make: Callable[[], Any]) -> Any:
+    def _remembered(self, known: OrderedDict, key: Any, most: int, make: Callable[[], Any], count: bool = True) -> Any:
         if key in known:
-            self.hits += 1
+            self.hits += count
         else:
-            self.misses += 1
+            self.misses += count
             known[key] = make()
             while len(known) > most:
                 known.popitem(last=False)
@@ -147,15 +187,29 @@ class Engine:
         return Response([r.asDict(recursive=True) for r in rows.orderBy(F.desc("id")).collect()], self.count(), n, skip, False, None)
 
     def suggest(self, text: str, most: int = suggest.MOST, readings: DataFrame | None = None) -> list[str]:
-        """Words of the stored ranking that the typed words match, best first."""
-        words = [r["w"] for r in self.spark.range(1).select(F.explode(fallback_words(F.lit(text))).alias("w")).collect()]
-        if not words:
+        """Words of the ranking that the typed words match, best first.
+
+        Candidates come from the stored n-grams and the first ranks; words on the filter list are left out, and those behind
+        them move up. While the ranking is behind the state, or with readings, every ranked word is scored.
+        """
+        typed = typed_words(text)
+        if not typed:
             return []
-        ranked = keywords.ranked(self.keywords.stats(), self.keywords.filters(), 1)
-        return [r["term"] for r in suggest.suggestions(ranked, words, most, readings).collect()]
+        stored = self.keywords.ranking() if readings is None else None
+        if stored is None:
+            words = keywords.ranked(self.keywords.stats(), self.keywords.filters(), self.hot_min_docs)
+        else:
+            gone = self.keywords.filtered()
+            words = suggest.gram_candidates(stored, self.keywords.grams(), typed, suggest.FUZZY_RANKS + len(gone))
+            if gone:
+                ahead = sorted(r["rank"] for r in stored.where(F.col("term").isin(*gone)).select("rank").collect())  # no more than the list
+                if ahead:
+                    before = F.size(F.filter(F.array(*map(F.lit, ahead)), lambda x: x < F.col("rank")))
+                    words = words.where(~F.col("term").isin(*gone)).withColumn("rank", F.col("rank") - before)
+        return [r["term"] for r in suggest.suggestions(words, typed, most, readings).collect()]
 
     def count(self) -> int:
-        return self.read("docs").count()
+        return self.store.manifest().totals[0]
 
     def file_tree(self, item: int) -> list[dict] | None:
         """The nodes of an item's files; None if there is no such item."""
@@ -168,4 +222,4 @@ class Engine:
         """The state, the step of a run at work (None between runs), and how often what is remembered answered."""
         state, asked = self.store.manifest(), self.hits + self.misses
         own = {"step": self.runs.step, "hits": self.hits, "misses": self.misses, "hit_rate": round(self.hits / asked, 4) if asked else 0.0}
-        return own | {"version": state.version, "watermark": state.watermark, "segments": len(state.segments), "items": sum(s.rows for s in state.segments)}
+        return own | {"version": state.version, "watermark": state.watermark, "segments": len(state.segments), "items": state.totals[0]}

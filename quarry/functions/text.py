@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +65,14 @@ def fallback_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit(r"[A-Za-z0-9]+|\p{IsHan}"), 0)
 
 
+_TYPED = regex.compile(r"[A-Za-z0-9]+|\p{IsHan}")
+
+
+def typed_words(text: str) -> list[str]:
+    """``fallback_words`` of one typed text, in the driver."""
+    return _TYPED.findall(text.strip().lower())
+
+
 def normalized_keyword(term: Column) -> Column:
     """Trimmed and lower-cased; empty unless it has a letter or digit."""
     plain = F.lower(F.trim(F.coalesce(term, F.lit(""))))

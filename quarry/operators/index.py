@@ -26,9 +26,14 @@ def postings(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return exploded.groupBy("id", "field", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "field", "id", "tf")
 
 
+def length(fields: tuple[str, ...] = FIELDS) -> Column:
+    """Tokens over all fields."""
+    return sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0)).cast("long")
+
+
 def doc_stats(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """id and dl, the number of tokens over all fields, of every item."""
-    return items.select("id", sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0)).cast("long").alias("dl"))
+    return items.select("id", length(fields).alias("dl"))
 
 
 def corpus_stats(stats: DataFrame) -> DataFrame:

@@ -11,25 +11,25 @@ from quarry.functions.text import keyword_tokens
 MIN_DOCS, MAX_TERMS = 50, 100_000
 
 
-def keyword_stats(items: DataFrame, text: str = "name") -> DataFrame:
-    """term, doc_count and occurrences over one text column. Terms of one character or of ASCII digits do not count.
+def keyword_stats(items: DataFrame, text: str = "name", by: tuple[str, ...] = ()) -> DataFrame:
+    """term, doc_count and occurrences over one text column, for each value of the columns ``by``. Terms of one character or of ASCII digits do not count.
 
     An item's distinct terms and its occurrences are two lists of one row set, so the one shuffle
     holds partial sums by term and no item ids.
     """
-    every = items.select(keyword_tokens(F.col(text)).alias("every"))
+    every = items.select(*by, keyword_tokens(F.col(text)).alias("every"))
     held = F.struct(F.lit(1).alias("docs"), F.array_distinct("every").alias("terms"))
     said = F.struct(F.lit(0).alias("docs"), F.col("every").alias("terms"))
-    rows = every.select(F.explode(F.array(held, said)).alias("p")).select("p.docs", F.explode("p.terms").alias("term"))
-    return rows.groupBy("term").agg(F.sum("docs").alias("doc_count"), F.sum(1 - F.col("docs")).alias("occurrences"))
+    rows = every.select(*by, F.explode(F.array(held, said)).alias("p")).select(*by, "p.docs", F.explode("p.terms").alias("term"))
+    return rows.groupBy(*by, "term").agg(F.sum("docs").alias("doc_count"), F.sum(1 - F.col("docs")).alias("occurrences"))
 
 
 def merged(*stats: DataFrame) -> DataFrame:
-    """Statistics of disjoint sets of items, added up."""
+    """Statistics of disjoint sets of items, added up; negative ones take items away again."""
     every = stats[0]
     for s in stats[1:]:
         every = every.unionByName(s)
-    return every.groupBy("term").agg(F.sum("doc_count").alias("doc_count"), F.sum("occurrences").alias("occurrences"))
+    return every.groupBy("term").agg(F.sum("doc_count").alias("doc_count"), F.sum("occurrences").alias("occurrences")).where("doc_count > 0")
 
 
 def without(stats: DataFrame, filtered: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def top_keywords(stats: DataFrame, filtered: DataFrame | None = None, min_docs:
     return kept.orderBy(F.desc("doc_count"), F.desc("occurrences"), F.asc("term")).limit(most)
 
 
-def ranked(stats: DataFrame, filtered: DataFrame | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
-    """term and rank (from 0) of every term in at least ``min_docs`` items, in the order of ``top_keywords`` and without its bound.
+def ranked(stats: DataFrame, filtered: DataFrame | None = None, min_docs: int = MIN_DOCS, counts: bool = False) -> DataFrame:
+    """term and rank (from 0), with ``counts`` also doc_count and occurrences, of every term in at least ``min_docs`` items, in the order of ``top_keywords`` and without its bound.
 
     Terms are numbered within buckets that follow the order (equal counts, first two characters), and a bucket's
     terms come after those of the buckets before it: only the buckets are numbered in one task.
@@ -58,7 +58,7 @@ def ranked(stats: DataFrame, filtered: DataFrame | None = None, min_docs: int =
     order = Window.orderBy(F.desc("doc_count"), F.desc("occurrences"), F.asc("head"))
     ahead = kept.groupBy(*bucket).agg(F.count("*").alias("n")).select(*bucket, (F.sum("n").over(order) - F.col("n")).alias("ahead"))
     rows = kept.withColumn("place", F.row_number().over(Window.partitionBy(*bucket).orderBy("term")))
-    return rows.join(ahead, bucket).select("term", (F.col("ahead") + F.col("place") - 1).alias("rank"))
+    return rows.join(ahead, bucket).select("term", (F.col("ahead") + F.col("place") - 1).alias("rank"), *(["doc_count", "occurrences"] if counts else []))
 
 
 # Terms that tell nothing about an item, by kind. Order of kinds is the order of the test.

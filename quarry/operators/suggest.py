@@ -61,3 +61,27 @@ def suggestion_scores(words: DataFrame, tokens: list[str], readings: DataFrame |
 def suggestions(words: DataFrame, tokens: list[str], most: int = MOST, readings: DataFrame | None = None) -> DataFrame:
     """The best matches, ties by rank."""
     return suggestion_scores(words, tokens, readings).orderBy(F.desc("score"), "rank", "term").limit(most)
+
+
+#: Characters of the n-grams by which words that contain a token are found.
+GRAM = 3
+
+
+def grams(words: DataFrame) -> DataFrame:
+    """gram, rank and term: one row for each distinct run of one to ``GRAM`` characters in each word (term, rank)."""
+    low = F.lower("term")
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - n + 1, F.lit(1))), lambda i, n=n: F.substring(low, i, F.lit(n))) for n in range(1, GRAM + 1)]
+    each = F.explode(F.array_distinct(F.concat(*runs)))
+    return words.select(each.alias("gram"), "rank", "term")
+
+
+def gram_candidates(words: DataFrame, by_gram: DataFrame, tokens: list[str], first: int) -> DataFrame:
+    """The words (term, rank) that can match any token, each once: the ``first`` ranks whole, for edits, and of the others those that hold a token.
+
+    A word that holds a token holds the token's first ``GRAM`` characters, which are looked up.
+    """
+    holds = F.lit(False)
+    for t in tokens:
+        holds = holds | ((F.col("gram") == t[:GRAM]) & F.lower("term").contains(t))
+    looked = by_gram.where(F.col("gram").isin(*{t[:GRAM] for t in tokens}) & (F.col("rank") >= first) & holds)
+    return words.where(F.col("rank") < first).select("term", "rank").unionByName(looked.select("term", "rank").distinct())

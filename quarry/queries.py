@@ -536,8 +536,8 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine over the items of a data folder; the first query of a session builds its store."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _engines or not _engines[key].store.files.exists("manifest.json"):
-        engine = Engine(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}")
+    if key not in _engines or not _engines[key].store.files.exists("states"):
+        engine = Engine(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", hot_min_docs=1)
         engine.rebuild(item_source(spark, sf_dir))
         _engines[key] = engine
     return _engines[key]
@@ -619,9 +619,9 @@ def stored_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({_NAME_STATS}) WHERE doc_count >= 2 AND term NOT IN ('urgent', 'c1') ORDER BY doc_count DESC, occurrences DESC, term LIMIT 100000")
 def stored_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranking of the stored statistics, without the terms of a filter list."""
+    """The stored ranking, without the terms of a filter list."""
     gone = spark.createDataFrame([("urgent",), ("c1",)], "term string")
-    return keywords.top_keywords(stored(spark, sf_dir).keywords.stats(), gone, 2)
+    return keywords.without(stored(spark, sf_dir).keywords.top(min_docs=2), gone)
 
 
 @query(
@@ -633,6 +633,57 @@ def stored_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, [(t, i) for i, t in enumerate(stored(spark, sf_dir).suggest("c12 URGNT"), 1)], "term string, place int")
 
 
+# Customers as items; those of one segment are appended once more under another name, and replace what is stored.
+RENEWED = "BUILDING"
+CUSTOMERS = f"""SELECT c_custkey AS id, CASE WHEN c_mktsegment = '{RENEWED}' THEN 'renewed ' ELSE '' END || c_mktsegment || ' n' || c_nationkey AS name,
+  CASE WHEN c_mktsegment = '{RENEWED}' THEN c_name || chr(10) || 'again' ELSE c_name END AS body FROM customer"""
+_replaced: dict[tuple[str, str], Engine] = {}
+
+
+def replaced(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over customers, after a stream's batch with the items of one segment again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _replaced or not _replaced[key].store.files.exists("states"):
+
+        def items(renewed: bool) -> DataFrame:
+            names = [F.lit("renewed ")] if renewed else []
+            paths = [F.col("c_name")] + ([F.lit("again")] if renewed else [])
+            own = F.md5(F.col("c_custkey").cast("string"))
+            files = F.to_json(F.array(*(F.struct(p.alias("path"), F.lit(1.0).alias("size")) for p in paths)))
+            return _t(spark, sf_dir, "customer").select(
+                F.col("c_custkey").cast("long").alias("id"),
+                F.concat(*names, "c_mktsegment", F.lit(" n"), F.col("c_nationkey").cast("string")).alias("name"),
+                own.alias("infohash"),
+                F.concat(F.lit("magnet:?xt=urn:btih:"), own).alias("magnet"),
+                files.alias("files"),
+                F.floor("c_acctbal").alias("total_size"),
+                F.lit(0).cast("long").alias("fetched_at"),
+                "c_mktsegment",
+            )
+
+        engine = Engine(spark, f"{shared_folder(spark)}/stores/{uuid.uuid4().hex}", hot_min_docs=1)
+        engine.rebuild(items(False).drop("c_mktsegment"))
+        engine.runs.append(items(True).where(F.col("c_mktsegment") == RENEWED).drop("c_mktsegment"), 0)
+        _replaced[key] = engine
+    return _replaced[key]
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_ranked_sql('building n1', items=CUSTOMERS)})")
+def stored_replaced_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank values in a store in which items were replaced: each counts once, in totals too."""
+    return _rounded(search.index_ranked(replaced(spark, sf_dir).index(), "building n1"))
+
+
+@query(
+    rf"""SELECT term, count(DISTINCT id)::BIGINT AS doc_count, count(*)::BIGINT AS occurrences, (SELECT count(*) FROM customer) AS items
+  FROM (SELECT id, unnest({_tokens("name")}) AS term FROM ({CUSTOMERS})) WHERE length(term) >= 2 AND NOT regexp_full_match(term, '[0-9]+') GROUP BY term"""
+)
+def stored_replaced_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its keyword statistics, from which those of the replaced names are taken away."""
+    engine = replaced(spark, sf_dir)
+    return engine.keywords.stats().withColumn("items", F.lit(engine.count()).cast("long"))
+
+
 @query(f"SELECT term FROM ({STATS}) WHERE doc_count >= 20")
 def keyword_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word list, written as a text file and read again."""

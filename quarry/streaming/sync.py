@@ -7,42 +7,56 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.index import corpus_stats, doc_stats, postings
-from quarry.operators.keywords import keyword_stats, merged
+from quarry.operators.index import length, postings
+from quarry.operators.keywords import MIN_DOCS, keyword_stats, merged, ranked
+from quarry.operators.suggest import grams
 from quarry.sources.items import ITEM_SCHEMA, check_schema, extent, file_changes, fingerprinted, since, with_file_facts
 from quarry.streaming.store import FORMAT, Files, Manifest, Segment, Store
 
-PARTS = ("docs", "postings", "doc_stats", "corpus", "keyword_stats", "files")
-#: Rows of small segments that make a compaction worth while.
-COMPACT_ROWS = 50_000
+#: Rows of small segments that make a compaction worth while; segments of one size class that do.
+COMPACT_ROWS, FANOUT = 50_000, 4
 
 
 @dataclass
 class Result:
-    """What a run did. ``rows``: items written; ``span``: ids that the watermark moved over."""
+    """What a run did. ``rows``: items written; ``replaced``: stored items that they took the place of; ``span``: ids that the watermark moved over."""
 
     kind: str
     rows: int = 0
     span: int = 0
     skipped: bool = False
     seconds: dict[str, float] = field(default_factory=dict)
+    replaced: int = 0
 
 
 class Busy(RuntimeError):
     """Another run is at work on this store."""
 
 
+def size_class(rows: int, fanout: int = FANOUT) -> int:
+    """0 below ``fanout`` rows, one more for each factor ``fanout``."""
+    out = 0
+    while rows >= fanout:
+        rows, out = rows // fanout, out + 1
+    return out
+
+
 class Sync:
-    """The runs that change a store, one at a time."""
+    """The runs that change a store: one at a time in this driver, and whole against those of other drivers.
+
+    An item that is written again replaces the stored one: the new segment names, for each older one, the ids that
+    no longer count there. Reads leave them out; compaction drops them for good.
+    """
 
-    def __init__(self, store: Store, progress: Callable[[str], None] | None = None):
-        self.store, self.progress = store, progress or (lambda step: None)
+    def __init__(self, store: Store, progress: Callable[[str], None] | None = None, hot_min_docs: int = MIN_DOCS):
+        self.store, self.progress, self.hot_min_docs = store, progress or (lambda step: None), hot_min_docs
         self._lock = threading.Lock()
         self.step: str | None = None
 
@@ -63,17 +77,68 @@ class Sync:
         narrow = ("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count")
         wide = items.select(*narrow, "files", "file_list", "preview", "body", "fingerprint")
         self._step(result, "files", lambda: wide.sortWithinPartitions("id").write.mode("overwrite").parquet(at("files")))
-        spark = self.store.spark
-        docs = spark.read.parquet(at("files")).select(*narrow, F.lower("infohash").alias("hash_key"))
-        self._step(result, "docs", lambda: docs.sortWithinPartitions("id").write.mode("overwrite").parquet(at("docs")))
-        texts = spark.read.parquet(at("files")).select("id", "name", "body")
-        terms = postings(texts)
-        self._step(result, "postings", lambda: terms.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(at("postings")))
-        self._step(result, "doc_stats", lambda: doc_stats(texts).write.mode("overwrite").parquet(at("doc_stats")))
-        self._step(result, "corpus", lambda: corpus_stats(spark.read.parquet(at("doc_stats"))).write.mode("overwrite").parquet(at("corpus")))
-        self._step(result, "keywords", lambda: keyword_stats(texts, "name").write.mode("overwrite").parquet(at("keyword_stats")))
-        result.rows = spark.read.parquet(at("docs")).count()
-        return Segment(name, low, high, result.rows)
+        files = self.store.spark.read.parquet(at("files"))
+        texts = files.select("id", "name", "body")
+        docs = files.select(*narrow, F.lower("infohash").alias("hash_key"), length().alias("dl"))
+        terms = postings(texts).repartitionByRange("term").sortWithinPartitions("term", "id")
+        parts = {"docs": docs.sortWithinPartitions("id"), "postings": terms, "keyword_stats": keyword_stats(texts, "name")}
+
+        def write(part: str) -> None:
+            self._step(result, part, lambda: parts[part].write.mode("overwrite").parquet(at(part)))
+
+        with ThreadPoolExecutor(len(parts)) as pool:  # a small segment's jobs leave cores free
+            list(pool.map(write, parts))
+        own = self.store.spark.read.parquet(at("docs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+        result.rows = own["n"]
+        return Segment(name, low, high, own["n"], own["dl"])
+
+    def _replacing(self, made: Segment, state: Manifest, result: Result, own_ids: DataFrame | None = None, targets: tuple[Segment, ...] | None = None) -> Segment:
+        """``made``, with what it replaces in the state's segments written down.
+
+        ``own_ids``: the ids that replace (by default those of ``made``); ``targets``: where (by default all segments whose ids may be among them).
+        """
+        targets = tuple(s for s in state.segments if s.meets(made.low, made.high)) if targets is None else targets
+        made = replace(made, attempt="", gone={})
+        if not targets:
+            return made
+        ids = self.store.spark.read.parquet(self.store.place(made.name, "docs")).select("id") if own_ids is None else own_ids
+        old = None
+        for s in targets:
+            live = self.store.read("docs", state, (s.name,)) if s.name in state.names else self.store.spark.read.parquet(self.store.place(s.name, "docs"))
+            live = live.where(F.col("id").between(made.low + 1, made.high)).select("id", "dl", "name", F.lit(s.name).alias("segment"))
+            old = live if old is None else old.unionByName(live)
+        attempt = uuid.uuid4().hex[:12]
+        place = self.store.place(made.name, f"gone-{attempt}")
+        self._step(result, "replaced", lambda: old.join(ids, "id", "left_semi").write.partitionBy("segment").parquet(place))
+        # Names of segments are given, so that they are never taken for numbers.
+        known = self.store.spark.read.schema("id long, dl long, name string, segment string").parquet(place)
+        counted = {r["segment"]: (r["n"], r["dl"]) for r in known.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()}  # one row a segment
+        if not counted:
+            self.store.files.delete(f"segments/{made.name}/gone-{attempt}")
+            return made
+        words = keyword_stats(known, "name", ("segment",))
+        words.write.partitionBy("segment").parquet(self.store.place(made.name, f"gone_keywords-{attempt}"))
+        for name in counted:  # a segment whose lost items say no word has no folder yet
+            if not self.store.files.exists(f"segments/{made.name}/gone_keywords-{attempt}/segment={name}"):
+                words.where("false").drop("segment").write.parquet(self.store.place(made.name, f"gone_keywords-{attempt}/segment={name}"))
+        result.replaced = sum(n for n, _ in counted.values())
+        return replace(made, attempt=attempt, gone=counted)
+
+    def _rank(self, result: Result) -> None:
+        """The ranking of the state and its n-grams, in order; left out if another writer has changed the state meanwhile."""
+        state = self.store.manifest()
+        if not state.segments or state.ranked == state.names and state.ranking:
+            return
+        name = uuid.uuid4().hex
+        place = f"{self.store.root}/ranks/{name}"
+        stats = merged(self.store.keyword_counts(state))
+
+        def write() -> None:
+            ranked(stats, None, self.hot_min_docs, counts=True).orderBy("rank").write.parquet(f"{place}/terms")
+            grams(self.store.spark.read.parquet(f"{place}/terms")).orderBy("gram", "rank").write.parquet(f"{place}/grams")
+
+        self._step(result, "ranking", write)
+        self.store.commit(lambda now: replace(now, ranking=name, ranked=state.names) if now.names == state.names else None)
 
     def _held(self, run: Callable[[], Result], wait: bool = False) -> Result:
         if not self._lock.acquire(blocking=wait):
@@ -85,19 +150,30 @@ class Sync:
             self._lock.release()
 
     def rebuild(self, source: DataFrame) -> Result:
-        """Everything anew beside the old state, which stays until the manifest is replaced."""
+        """Everything anew beside the old state, which stays until the new one is committed.
+
+        What other drivers commit meanwhile stays, and replaces the rebuilt items of its ids.
+        """
         check_schema(source)
         return self._held(lambda: self._rebuild(source))
 
     def _rebuild(self, source: DataFrame) -> Result:
-        result = Result("rebuild")
-        old = self.store.manifest()
+        result, before = Result("rebuild"), self.store.manifest()
         ends = self._step(result, "extent", lambda: extent(source))
-        segments: tuple[Segment, ...] = ()
-        if ends:
-            segments = (self.write_segment(since(source, None, ends[1]), ends[0] - 1, ends[1], result),)
-            result.span = ends[1] - ends[0] + 1
-        self.store.commit(Manifest(old.version + 1, FORMAT, ends[1] if ends else None, segments, old.batches))
+        made = self.write_segment(since(source, None, ends[1]), ends[0] - 1, ends[1], result) if ends else None
+        result.span = ends[1] - ends[0] + 1 if ends else 0
+
+        def change(now: Manifest) -> Manifest:
+            later = tuple(s for s in now.segments if s.name not in before.names)
+            own = made
+            if own and later:
+                ids = self.store.read("docs", now, tuple(s.name for s in later)).select("id")
+                own = self._replacing(own, now, result, ids, (own,))
+            marks = [m for m in (ends[1] if ends else None, now.watermark if later else None) if m is not None]
+            return Manifest(now.version + 1, FORMAT, max(marks, default=None), ((own,) if own else ()) + later, now.batches)
+
+        self.store.commit(change)
+        self._rank(result)
         self.store.clean()
         return result
 
@@ -121,16 +197,30 @@ class Sync:
         ends = self._step(result, "extent", lambda: extent(since(source, now.watermark)))
         if ends:
             low = now.watermark if now.watermark is not None else ends[0] - 1
-            segment = self.write_segment(since(source, now.watermark, ends[1]), low, ends[1], result)
+            made = self.write_segment(since(source, now.watermark, ends[1]), low, ends[1], result)
             result.span = ends[1] - low
-            self.store.commit(replace(now, watermark=ends[1], segments=(*now.segments, segment)))
+            self._add(made, result)
+            self._rank(result)
         return result
 
+    def _add(self, made: Segment, result: Result, stream: str | None = None, batch: int = 0) -> bool:
+        """Commits one more segment; False if the stream's batch is there already."""
+
+        def change(now: Manifest) -> Manifest | None:
+            if stream is not None and batch <= now.batches.get(stream, -1):
+                return None
+            own = self._replacing(made, now, result)
+            batches = now.batches if stream is None else {**now.batches, stream: batch}
+            mark = made.high if now.watermark is None else max(now.watermark, made.high)
+            return replace(now, version=max(1, now.version), format=FORMAT, watermark=mark, segments=(*now.segments, own), batches=batches)
+
+        return self.store.commit(change) is not None
+
     def refresh(self, source: DataFrame) -> Result:
         """Stored items whose file text in ``source`` is another one, taken over whole.
 
-        Segments that hold any are written anew, the others stay, and the state is replaced once. Changes are
-        found by fingerprints, so only ids and hashes are compared. Items that the store lacks are left to
+        Changes are found by fingerprints, so only ids and hashes are compared, once for all segments; the changed
+        items are one more segment, which replaces them by id. Items that the store lacks are left to
         ``sync``, those that ``source`` lacks stay as they are. ``rows``: items that were changed.
         """
         check_schema(source)
@@ -140,40 +230,39 @@ class Sync:
         now = self.store.manifest()
         if now.format != FORMAT or now.version == 0:
             return self._rebuild(source)
-        result, segments, changed_rows = Result("refresh"), [], 0
-        columns = ITEM_SCHEMA.fieldNames()
-        for segment in now.segments:
-            stored = self.store.spark.read.parquet(self.store.place(segment.name, "files"))
-            own = since(source, segment.low, segment.high)
-            changed = file_changes(own, stored).changed.select("id").persist()
-            try:
-                n = self._step(result, "compare", changed.count)
-                if n:
-                    rows = stored.select(*columns).join(changed, "id", "left_anti").unionByName(own.select(*columns).join(changed, "id", "left_semi"))
-                    segment = self.write_segment(rows, segment.low, segment.high, result)
-            finally:
-                changed.unpersist()
-            segments.append(segment)
-            changed_rows += n
-        if changed_rows:
-            self.store.commit(replace(now, segments=tuple(segments)))
-            self.store.clean()
-        result.rows = changed_rows
+        result = Result("refresh")
+        if not now.segments:
+            return result
+        changed = file_changes(source.select(*ITEM_SCHEMA.fieldNames()), self.store.read("files", now)).changed.drop("fingerprint").persist()
+        try:
+            ends = self._step(result, "compare", lambda: extent(changed))
+            if ends:
+                made = self.write_segment(changed, ends[0] - 1, ends[1], result)
+                self._add(made, result)
+                self._rank(result)
+        finally:
+            changed.unpersist()
         return result
 
     def append(self, batch: DataFrame, batch_id: int, stream: str = "") -> Result:
-        """One micro-batch of a stream, after any run that is at work; one that is committed already, before a rebuild too, is left alone."""
+        """One micro-batch of a stream, after any run that is at work; one that is committed already, before a rebuild too, is left alone.
+
+        Items that the store holds are replaced. Of rows with one id in a batch the one fetched last counts.
+        """
 
         def run() -> Result:
-            now, result = self.store.manifest(), Result("append")
-            if batch_id <= now.batches.get(stream, -1):
+            result = Result("append")
+            if batch_id <= self.store.manifest().batches.get(stream, -1):
                 return Result("append", skipped=True)
+            names = ITEM_SCHEMA.fieldNames()
+            latest = F.max_by(F.struct(*names), F.struct("fetched_at", F.xxhash64(*names))).alias("row")
+            rows = batch.groupBy("id").agg(latest).select("row.*")
             ends = extent(batch)
-            segments, mark = now.segments, now.watermark
-            if ends:
-                segments = (*segments, self.write_segment(batch, ends[0] - 1, ends[1], result))
-                mark = ends[1] if mark is None else max(mark, ends[1])
-            self.store.commit(replace(now, version=max(1, now.version), watermark=mark, segments=segments, batches={**now.batches, stream: batch_id}, format=FORMAT))
+            if not ends:
+                self.store.commit(lambda now: replace(now, version=max(1, now.version), batches={**now.batches, stream: batch_id}))
+                return result
+            made = self.write_segment(rows, ends[0] - 1, ends[1], result)
+            result.skipped = not self._add(made, result, stream, batch_id)
             return result
 
         return self._held(run, wait=True)
@@ -181,40 +270,78 @@ class Sync:
     def stream(self, source: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
         """A streaming query that appends what arrives: once over what is there, or again and again (``every``).
 
-        Batches are known by the id that the checkpoint gives the stream, so a new checkpoint is a new stream.
+        Batches are known by the id that the checkpoint gives the stream, so a new checkpoint is a new stream. Segments
+        of one size are merged as they come, so their number grows with the logarithm of the batches.
         """
         check_schema(source)
 
         def write(batch: DataFrame, number: int) -> None:
             self.append(batch, number, json.loads(Files(self.store.spark, checkpoint).read("metadata"))["id"])
+            while not self.compact(wait=True).skipped:
+                pass
 
         writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
         writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
         return writer.start()
 
-    def compact(self, least_rows: int = COMPACT_ROWS) -> Result:
-        """Segments of fewer rows become one, if there are several and they hold that many rows together."""
+    @staticmethod
+    def due(state: Manifest, least_rows: int = COMPACT_ROWS, fanout: int = FANOUT) -> list[Segment]:
+        """The segments to merge next: ``fanout`` or more of one size class, the smallest such class first; else those
+        under ``least_rows``, if there are several and they hold that many rows together."""
+        classes: dict[int, list[Segment]] = {}
+        for s in state.segments:
+            classes.setdefault(size_class(s.rows, fanout), []).append(s)
+        for _, own in sorted(classes.items()):
+            if len(own) >= fanout:
+                return own
+        small = [s for s in state.segments if s.rows < least_rows]
+        return small if len(small) > 1 and sum(s.rows for s in small) >= least_rows else []
+
+    def compact(self, least_rows: int = COMPACT_ROWS, fanout: int = FANOUT, wait: bool = False) -> Result:
+        """Merges the segments that are ``due``, without the rows that others replace."""
 
         def run() -> Result:
-            now, result = self.store.manifest(), Result("compact")
-            small = [s for s in now.segments if s.rows < least_rows]
-            if len(small) < 2 or sum(s.rows for s in small) < least_rows:
-                return Result("compact", skipped=True)
-            name = f"{max(s.high for s in small)}-{uuid.uuid4().hex[:12]}"
-            read = lambda part: self.store.spark.read.option("mergeSchema", "true").parquet(*(self.store.place(s.name, part) for s in small))
-            for part in PARTS:
-                rows = read(part)
-                if part == "postings":
-                    rows = rows.repartitionByRange("term").sortWithinPartitions("term", "id")
-                elif part == "keyword_stats":
-                    rows = merged(rows)
-                elif part == "corpus":
-                    rows = rows.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_dl").alias("total_dl"))
-                self._step(result, part, lambda rows=rows, part=part: rows.write.mode("overwrite").parquet(self.store.place(name, part)))
-            result.rows = sum(s.rows for s in small)
-            made = Segment(name, min(s.low for s in small), max(s.high for s in small), result.rows)
-            self.store.commit(replace(now, segments=(*(s for s in now.segments if s not in small), made)))
+            result = Result("compact")
+            while True:  # again, if another driver changed these segments meanwhile
+                state = self.store.manifest()
+                own = self.due(state, least_rows, fanout)
+                if not own:
+                    return Result("compact", skipped=True)
+                if self._merge(state, own, result):
+                    break
+            self._rank(result)
             self.store.clean()
             return result
 
-        return self._held(run)
+        return self._held(run, wait=wait)
+
+    def _merge(self, state: Manifest, own: list[Segment], result: Result) -> bool:
+        names = tuple(s.name for s in own)
+        name = f"{max(s.high for s in own)}-{uuid.uuid4().hex[:12]}"
+        parts = {part: self.store.read(part, state, names) for part in ("docs", "files", "postings")}
+        parts = {"docs": parts["docs"].sortWithinPartitions("id"), "files": parts["files"].sortWithinPartitions("id"), "postings": parts["postings"].repartitionByRange("term").sortWithinPartitions("term", "id")}
+        parts["keyword_stats"] = merged(self.store.keyword_counts(state, names))
+        for part, rows in parts.items():
+            self._step(result, part, lambda rows=rows, part=part: rows.write.mode("overwrite").parquet(self.store.place(name, part)))
+        live = [state.live(s) for s in own]
+        result.rows = sum(n for n, _ in live)
+        # What they replace in segments that stay is taken along.
+        gone: dict[str, tuple[int, int]] = {}
+        attempt = uuid.uuid4().hex[:12]
+        for s in own:
+            for target, (n, dl) in s.gone.items():
+                if target in state.names and target not in names:
+                    had = gone.get(target, (0, 0))
+                    gone[target] = (had[0] + n, had[1] + dl)
+        for part in ("gone", "gone_keywords"):
+            for target in gone:
+                places = [self.store.place(s.name, f"{part}-{s.attempt}/segment={target}") for s in own if target in s.gone]
+                self.store.spark.read.parquet(*places).write.parquet(self.store.place(name, f"{part}-{attempt}/segment={target}"))
+        made = Segment(name, min(s.low for s in own), max(s.high for s in own), result.rows, sum(d for _, d in live), attempt if gone else "", gone)
+
+        def change(now: Manifest) -> Manifest | None:
+            if not set(names) <= set(now.names) or any(set(names) & set(s.gone) for s in now.segments if s.name not in state.names):
+                return None
+            return replace(now, segments=tuple(s for s in now.segments if s.name not in names) + (made,))
+
+        return self.store.commit(change) is not None

@@ -19,7 +19,7 @@ SECOND = [item(5, "Second Movie", [("second.flac", 3)], 3, 2000), item(9, "Third
 
 @pytest.fixture()
 def engine(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), hot_min_docs=1)
     e.rebuild(spark.createDataFrame(FIRST, ITEM_SCHEMA))
     return e
 
@@ -48,10 +48,7 @@ def test_sync_by_sync_is_a_rebuild(spark, engine, tmp_path):
     engine.sync(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
     whole = Engine(spark, str(tmp_path / "whole"))
     whole.rebuild(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
-    for part in ("docs", "postings", "doc_stats"):
-        key = lambda e: sorted(map(str, e.read(part).collect()))  # noqa: E731, B023
-        assert key(engine) == key(whole)
-    assert sorted(map(str, engine.keywords.stats().collect())) == sorted(map(str, whole.keywords.stats().collect()))
+    same_rows(engine, whole)
     scores = lambda e: [(r["id"], round(r["score"], 9)) for r in e.search(query="movie", sort_by="relevance").items]
     assert scores(engine) == scores(whole)
     before = engine.search(query="m", limit="all").items
@@ -68,27 +65,112 @@ def test_changes_and_deletions_need_a_rebuild(spark, engine):
     assert found(engine, "movie") == [] and found(engine, "renamed") == [2] and engine.count() == 2
 
 
+def same_rows(one, other):
+    for part in ("docs", "postings", "files"):
+        key = lambda e: sorted(map(str, e.read(part).select(sorted(e.read(part).columns)).collect()))  # noqa: E731, B023
+        assert key(one) == key(other), part
+    assert one.index().corpus.collect() == other.index().corpus.collect()
+    assert sorted(map(str, one.keywords.stats().collect())) == sorted(map(str, other.keywords.stats().collect()))
+
+
 def test_refresh_takes_over_changed_file_lists(spark, engine, tmp_path):
     engine.sync(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
-    first, second = engine.store.manifest().segments
+    before = engine.store.manifest()
     later = [item(0, "Zero.Day.mkv", [("Zero.Day.mkv", 10)]), item(2, "Some Movie 2024", [("Other.flac", 9), ("Other.txt", 1)], 10), FIRST[2], *SECOND, item(11, "Late", "[]")]
     source = spark.createDataFrame(later, ITEM_SCHEMA)
     result = engine.refresh(source)
-    assert (result.kind, result.rows) == ("refresh", 1)
+    assert (result.kind, result.rows, result.replaced) == ("refresh", 1, 1)
     kept = engine.store.manifest()
-    assert kept.segments[0].name != first.name and kept.segments[1] == second and kept.watermark == 9
+    assert kept.segments[:2] == before.segments and len(kept.segments) == 3 and kept.watermark == 9
     assert found(engine, "other") == [2] and found(engine, "sample") == [] and engine.count() == 5
     assert [n["name"] for n in engine.file_tree(2)] == ["Other.flac", "Other.txt"]
     assert engine.refresh(source).rows == 0 and engine.store.manifest() == kept
     whole = Engine(spark, str(tmp_path / "whole"))
     whole.rebuild(source.where("id < 11"))
-    for part in ("docs", "postings", "doc_stats", "files"):
-        key = lambda e: sorted(map(str, e.read(part).collect()))  # noqa: E731, B023
-        assert key(engine) == key(whole)
-    assert sorted(map(str, engine.keywords.stats().collect())) == sorted(map(str, whole.keywords.stats().collect()))
+    same_rows(engine, whole)
     assert found(engine, "late") == [] and engine.sync(source).rows == 1 and found(engine, "late") == [11]
 
 
+def test_appended_items_replace_stored_ones(spark, engine, tmp_path):
+    source = spark.createDataFrame(FIRST, ITEM_SCHEMA)
+    result = engine.runs.append(source, 0, "x")
+    assert (result.rows, result.replaced) == (3, 3)
+    assert engine.count() == 3
+    page = engine.search(query="m", limit=12)
+    assert [r["id"] for r in page.items] == [2, 0] and page.total == 2
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.rebuild(source)
+    same_rows(engine, whole)
+    # A renamed item, and one that says nothing any more; then all of it compacted, and once more replaced.
+    renamed = [item(2, "Renamed words", [("x.mkv", 1)]), item(3, "", "")]
+    engine.runs.append(spark.createDataFrame(renamed, ITEM_SCHEMA), 1, "x")
+    expected = spark.createDataFrame([FIRST[0], *renamed], ITEM_SCHEMA)
+    whole.rebuild(expected)
+    same_rows(engine, whole)
+    assert found(engine, "movie") == [] and found(engine, "renamed") == [2] and engine.keywords.ranking() is None
+    assert engine.runs.compact(least_rows=4).rows == 3
+    assert len(engine.store.manifest().segments) == 1 and engine.keywords.ranking() is not None
+    same_rows(engine, whole)
+    engine.runs.append(spark.createDataFrame([FIRST[1], FIRST[1][:1] + ("Older", *FIRST[1][2:6], 1)], ITEM_SCHEMA), 2, "x")  # of two rows the one fetched last
+    whole.rebuild(spark.createDataFrame([FIRST[0], FIRST[1], renamed[1]], ITEM_SCHEMA))
+    same_rows(engine, whole)
+
+
+def test_two_drivers_on_one_store(spark, engine, tmp_path):
+    """Each commits while the other is between writing and committing; nothing is lost, and ids stay single."""
+    other = Engine(spark, engine.store.root)
+    write = engine.runs.write_segment
+
+    def late(*args):
+        made = write(*args)
+        engine.runs.write_segment = write
+        other.runs.append(spark.createDataFrame([item(50, "Other driver", "[]"), item(2, "Other name", "[]")], ITEM_SCHEMA), 0, "b")
+        return made
+
+    engine.runs.write_segment = late
+    engine.runs.append(spark.createDataFrame([item(60, "One driver", "[]"), item(2, "One name", "[]")], ITEM_SCHEMA), 0, "a")
+    assert sorted(r["id"] for r in engine.read("docs").select("id").collect()) == [0, 2, 3, 50, 60]
+    assert found(other, "driver") == [60, 50] and found(other, "name") == [2] and found(engine, "other name") == [] and other.count() == 5
+    # A rebuild during which the other driver appends: what came meanwhile stays, and replaces.
+    engine.runs.write_segment = late
+    other_rows = engine.store.manifest().batches["b"]
+    assert other_rows == 0
+    whole = [*FIRST, item(50, "Stale", "[]")]
+
+    def later(*args):
+        made = write(*args)
+        engine.runs.write_segment = write
+        other.runs.append(spark.createDataFrame([item(50, "Fresh words", "[]")], ITEM_SCHEMA), 1, "b")
+        return made
+
+    engine.runs.write_segment = later
+    engine.rebuild(spark.createDataFrame(whole, ITEM_SCHEMA))
+    assert found(engine, "stale") == [] and found(engine, "fresh") == [50] and engine.count() == 4
+    assert engine.store.manifest().batches == {"a": 0, "b": 1}
+
+
+def test_a_state_is_created_once(spark, tmp_path):
+    from quarry.streaming.store import Files
+
+    files = Files(spark, str(tmp_path / "store"))
+    assert files.create("states/1.json", "one") and not files.create("states/1.json", "two")
+    assert files.read("states/1.json") == "one" and list(files.children("states")) == ["1.json"]
+
+
+def test_segments_grow_with_the_logarithm_of_batches(spark, tmp_path):
+    from quarry.streaming.store import Manifest, Segment
+    from quarry.streaming.sync import Sync
+
+    state, most = Manifest(), 0
+    for i in range(1000):
+        state = Manifest(segments=(*state.segments, Segment(f"s{i}", i, i + 1, 10)))
+        while own := Sync.due(state):
+            rest = tuple(s for s in state.segments if s not in own)
+            state = Manifest(segments=(*rest, Segment("+".join(str(s.rows) for s in own) + f"at{i}", own[0].low, own[-1].high, sum(s.rows for s in own))))
+        most = max(most, len(state.segments))
+    assert sum(s.rows for s in state.segments) == 10_000 and most <= 3 * 6
+
+
 def test_refresh_of_a_store_without_data_builds_it(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     assert e.refresh(spark.createDataFrame(FIRST, ITEM_SCHEMA)).kind == "rebuild" and e.count() == 3
@@ -132,8 +214,8 @@ def test_one_run_at_a_time(spark, engine):
 
 
 def test_a_store_of_another_format_is_rebuilt(spark, engine):
-    text = engine.store.files.read("manifest.json").replace(f'"format": "{FORMAT}"', '"format": "0"')
-    engine.store.files.replace("manifest.json", text)
+    text = engine.store.files.read("states/1.json").replace(f'"format": "{FORMAT}"', '"format": "0"')
+    assert engine.store.files.create("states/9.json", text)
     assert engine.sync(spark.createDataFrame(SECOND, ITEM_SCHEMA)).kind == "rebuild"
     assert engine.count() == 2
 
