@@ -211,12 +211,15 @@ class Engine:
     def count(self) -> int:
         return self.store.manifest().totals[0]
 
+    def file_nodes(self, item: int) -> DataFrame:
+        """The nodes of an item's files, as ``tree.flat_tree`` gives them."""
+        return tree.flat_tree(tree.file_rows(self.read("files").where(F.col("id") == item).select("id", "file_list")))
+
     def file_tree(self, item: int) -> list[dict] | None:
-        """The nodes of an item's files; None if there is no such item."""
-        own = self.read("files").where(F.col("id") == item).select("id", "file_list").limit(1)
-        if own.isEmpty():
+        """The same as a list in order, as a detail page shows it; None if there is no such item. A list is one cell of the source."""
+        if self.read("docs").where(F.col("id") == item).isEmpty():
             return None
-        return [r.asDict() for r in tree.flat_tree(tree.file_rows(own)).orderBy("idx").collect()]
+        return [r.asDict() for r in self.file_nodes(item).orderBy("idx").collect()]
 
     def stats(self) -> dict[str, Any]:
         """The state, the step of a run at work (None between runs), and how often what is remembered answered."""

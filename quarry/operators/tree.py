@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import CATEGORY_ORDER, category, category_rank, match_score, natural_key
 
-#: Path lists as rows: id, pos (place in the list), path, size.
+#: Path lists as rows: id, pos (place in the list), path, size. A list is one cell of the item source, so that of one id fits a task:
+#: everything here is grouped by id, or by id and something else, and one exchange by id does for it.
 
 
 def file_rows(items: DataFrame, files: str = "file_list") -> DataFrame:
@@ -35,8 +36,15 @@ _MARK = "\u0000"
 
 
 def _voted(files: DataFrame, separator: str | None) -> DataFrame:
-    """``files`` with separator: the given one, or each id's own."""
-    return files.join(separators(files), "id") if separator is None else files.withColumn("separator", F.lit(separator))
+    """``files`` with separator: the given one, or each id's own (as ``separators`` finds it, beside the rows)."""
+    if separator is not None:
+        return files.withColumn("separator", F.lit(separator))
+    headed = files.withColumn("head", F.when(F.col("path").contains(","), F.substring_index("path", ",", 1)))
+    headed = headed.withColumn("alike", F.count("*").over(Window.partitionBy("id", "head")))
+    whole = Window.partitionBy("id")
+    shared = F.count(F.when(F.col("head").isNotNull() & (F.col("alike") > 1), 1)).over(whole)
+    vote = F.when(F.max(F.col("path").contains("/")).over(whole), "/").when(2 * shared > F.count("head").over(whole), ",").otherwise("")
+    return headed.withColumn("separator", vote).drop("head", "alike")
 
 
 def _own(files: DataFrame) -> DataFrame:
@@ -47,13 +55,13 @@ def _own(files: DataFrame) -> DataFrame:
 
 
 def _nodes(files: DataFrame) -> DataFrame:
-    """One row a node: id, prefix (segments so far), depth, at (where it first appeared), leaf (place, size, path) and total.
+    """One row a node: id, prefix (segments so far), depth, at (where it first appeared), leaf (place, size, path), total and inner (has nodes below).
 
     Each file gives its size once to itself and to every directory above it, so one aggregation makes nodes and totals.
     """
     up = _own(files).select("id", "pos", "n", "last", F.split("key", _MARK).alias("parts")).select("*", F.explode(F.sequence(F.lit(1), "n")).alias("depth"))
-    rows = up.select("id", F.array_join(F.slice("parts", 1, F.col("depth")), _MARK).alias("prefix"), "depth", F.struct("pos", "depth").alias("at"), F.when(F.col("depth") == F.col("n"), F.col("last")).alias("leaf"), F.col("last.size").alias("size"))
-    return rows.groupBy("id", "prefix", "depth").agg(F.min("at").alias("at"), F.max("leaf").alias("leaf"), F.sum("size").alias("total"))
+    rows = up.select("id", F.array_join(F.slice("parts", 1, F.col("depth")), _MARK).alias("prefix"), "depth", F.struct("pos", "depth").alias("at"), F.when(F.col("depth") == F.col("n"), F.col("last")).alias("leaf"), F.col("last.size").alias("size"), (F.col("depth") < F.col("n")).alias("inner"))
+    return rows.groupBy("id", "prefix", "depth").agg(F.min("at").alias("at"), F.max("leaf").alias("leaf"), F.sum("size").alias("total"), F.max("inner").alias("inner"))
 
 
 def directory_sizes(files: DataFrame, separator: str | None = None) -> DataFrame:
@@ -73,12 +81,13 @@ def flat_tree(files: DataFrame, separator: str | None = None) -> DataFrame:
 
 
 def _numbered(voted: DataFrame) -> DataFrame:
-    numbered = _nodes(voted.repartition("id")).withColumn("idx", F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1)
-    above = F.array_join(F.slice(F.split("prefix", _MARK), 1, F.col("depth") - 1), _MARK)
-    numbered = numbered.withColumns({"above": F.when(F.col("depth") > 1, above), "name": F.substring_index("prefix", _MARK, -1)})
-    parents = numbered.select("id", F.col("prefix").alias("above"), F.col("idx").alias("parent"))
-    out = numbered.join(parents, ["id", "above"], "left")
-    return out.select("id", "idx", "name", F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("leaf").isNull().alias("is_dir"), F.col("total").alias("size"), "leaf.path")
+    numbered = _nodes(voted).withColumn("idx", F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1)
+    above = F.when(F.col("depth") > 1, F.array_join(F.slice(F.split("prefix", _MARK), 1, F.col("depth") - 1), _MARK))
+    # A node is a child beside its siblings, and once more, if it has nodes below, the parent beside them.
+    child, parent = F.struct(above.alias("family"), F.lit(None).cast("int").alias("up")), F.struct(F.col("prefix").alias("family"), F.col("idx").alias("up"))
+    rows = numbered.withColumn("as_", F.explode(F.when(F.col("inner"), F.array(child, parent)).otherwise(F.array(child)))).select("*", "as_.family", "as_.up")
+    family = rows.withColumn("parent", F.max("up").over(Window.partitionBy("id", "family"))).where("up is null")
+    return family.select("id", "idx", F.substring_index("prefix", _MARK, -1).alias("name"), F.coalesce("parent", F.lit(-1)).alias("parent"), F.col("leaf").isNull().alias("is_dir"), F.col("total").alias("size"), "leaf.path")
 
 
 def pruned_tree(files: DataFrame, categories: list[str], separator: str | None = None) -> DataFrame:

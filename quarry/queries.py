@@ -412,10 +412,10 @@ def size_bucket_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE = f"""WITH files AS ({FILES}), parts AS (SELECT *, string_split(path, '/') AS p FROM files),
-deep AS (SELECT id, pos, path, size, d, array_to_string(p[1:d], '/') AS prefix, p[d] AS name, d = len(p) AS leaf FROM (SELECT *, unnest(range(1, len(p) + 1)) AS d FROM parts)),
+deep AS (SELECT id, pos, path, size, d, array_to_string(p[1:d], '/') AS prefix, CASE WHEN d > 1 THEN array_to_string(p[1:d - 1], '/') END AS above, p[d] AS name, d = len(p) AS leaf FROM (SELECT *, unnest(range(1, len(p) + 1)) AS d FROM parts)),
 own AS (SELECT id, path AS prefix, max_by(size, pos) AS size FROM files GROUP BY id, path),
 totals AS (SELECT deep.id, deep.prefix, sum(own.size) AS size FROM (SELECT DISTINCT id, prefix, path FROM deep) deep JOIN own ON own.id = deep.id AND own.prefix = deep.path GROUP BY deep.id, deep.prefix),
-nodes AS (SELECT id, prefix, any_value(name) AS name, any_value(d) AS d, min(pos * 100 + d) AS first, NOT bool_or(leaf) AS is_dir FROM deep GROUP BY id, prefix),
+nodes AS (SELECT id, prefix, any_value(above) AS above, any_value(name) AS name, any_value(d) AS d, min(pos * 100 + d) AS first, NOT bool_or(leaf) AS is_dir FROM deep GROUP BY id, prefix),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS idx FROM nodes)"""
 
 
@@ -423,7 +423,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS
     f"""{TREE}
 SELECT n.id, n.idx::INTEGER AS idx, n.name, coalesce(u.idx, -1)::INTEGER AS parent, n.is_dir, t.size, CASE WHEN NOT n.is_dir THEN n.prefix END AS path
 FROM numbered n JOIN totals t ON t.id = n.id AND t.prefix = n.prefix
-LEFT JOIN numbered u ON u.id = n.id AND n.d > 1 AND u.prefix = array_to_string(string_split(n.prefix, '/')[1:n.d - 1], '/')"""
+LEFT JOIN numbered u ON u.id = n.id AND u.prefix = n.above"""
 )
 def flat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.flat_tree(line_files(spark, sf_dir))
@@ -457,7 +457,7 @@ def category_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{TREE} SELECT id, idx::INTEGER AS idx, name, is_dir, (row_number() OVER (PARTITION BY id, array_to_string(string_split(prefix, '/')[1:d - 1], '/')
+    f"""{TREE} SELECT id, idx::INTEGER AS idx, name, is_dir, (row_number() OVER (PARTITION BY id, above
   ORDER BY is_dir DESC, contains(lower(name), 'p1') DESC, try_cast(regexp_extract(name, '^p(\\d+)', 1) AS BIGINT), lower(name), idx))::INTEGER AS place FROM numbered"""
 )
 def sorted_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -608,13 +608,12 @@ def stored_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{TREE}, last AS (SELECT max(id) AS id FROM files)
 SELECT n.idx::INTEGER AS idx, n.name, coalesce(u.idx, -1)::INTEGER AS parent, n.is_dir, t.size, CASE WHEN NOT n.is_dir THEN n.prefix END AS path
 FROM numbered n JOIN last USING (id) JOIN totals t ON t.id = n.id AND t.prefix = n.prefix
-LEFT JOIN numbered u ON u.id = n.id AND n.d > 1 AND u.prefix = array_to_string(string_split(n.prefix, '/')[1:n.d - 1], '/')"""
+LEFT JOIN numbered u ON u.id = n.id AND u.prefix = n.above"""
 )
 def stored_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tree of one item, found by its id; the last one that has lines."""
     last = line_files(spark, sf_dir).agg(F.max("id")).first()[0]
-    nodes = stored(spark, sf_dir).file_tree(last) if last is not None else []
-    return _rows(spark, [(n["idx"], n["name"], n["parent"], n["is_dir"], n["size"], n["path"]) for n in nodes], "idx int, name string, parent int, is_dir boolean, size double, path string")
+    return stored(spark, sf_dir).file_nodes(-1 if last is None else last).drop("id")
 
 
 @query(f"SELECT * FROM ({_NAME_STATS}) WHERE doc_count >= 2 AND term NOT IN ('urgent', 'c1') ORDER BY doc_count DESC, occurrences DESC, term LIMIT 100000")

@@ -79,3 +79,9 @@ def test_nothing(spark):
     assert tree.flat_tree(empty).count() == 0 and tree.separators(empty).count() == 0
     nulls = spark.createDataFrame([(1, 0, None, None), (1, 1, "", 2.0), (1, 2, "a", None)], SCHEMA)
     assert got(tree.flat_tree(nulls)) == [(0, "a", -1, False, 0.0, "a")]
+
+
+def test_one_exchange_and_no_join(spark):
+    files = spark.range(8).selectExpr("id % 2 as id", "cast(id as int) pos", "concat('a/', id) path", "1.0D size")
+    plan = tree.flat_tree(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
