@@ -40,11 +40,12 @@ def _voted(files: DataFrame, separator: str | None) -> DataFrame:
     if separator is not None:
         return files.withColumn("separator", F.lit(separator))
     headed = files.withColumn("head", F.when(F.col("path").contains(","), F.substring_index("path", ",", 1)))
-    headed = headed.withColumn("alike", F.count("*").over(Window.partitionBy("id", "head")))
     whole = Window.partitionBy("id")
+    # First what needs all rows of an id, so that the rest finds them together.
+    headed = headed.withColumn("slash", F.max(F.col("path").contains("/")).over(whole)).withColumn("alike", F.count("*").over(Window.partitionBy("id", "head")))
     shared = F.count(F.when(F.col("head").isNotNull() & (F.col("alike") > 1), 1)).over(whole)
-    vote = F.when(F.max(F.col("path").contains("/")).over(whole), "/").when(2 * shared > F.count("head").over(whole), ",").otherwise("")
-    return headed.withColumn("separator", vote).drop("head", "alike")
+    vote = F.when(F.col("slash"), "/").when(2 * shared > F.count("head").over(whole), ",").otherwise("")
+    return headed.withColumn("separator", vote).drop("head", "slash", "alike")
 
 
 def _own(files: DataFrame) -> DataFrame:
