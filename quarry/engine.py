@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quarry.functions.text import normalized_keyword, typed_words
 from quarry.operators import keywords, suggest, tree
 from quarry.operators.index import Index
-from quarry.operators.search import LISTED, Response, latest, search, with_previews
+from quarry.operators.readings import possible_words, segmented
+from quarry.operators.readings import readings as readings_of
+from quarry.operators.search import LISTED, Response, latest, search, text_hits, with_previews
 from quarry.plans.spec import SearchSpec, latest_page
 from quarry.sources.keyword_files import read_keywords, write_keywords
 from quarry.streaming.store import Store
@@ -20,6 +22,8 @@ from quarry.streaming.sync import Result, Sync
 
 #: Totals and pages that are remembered, by state and search.
 KNOWN_TOTALS, KNOWN_PAGES = 200, 200
+#: Searches whose hits are kept for the pages that follow.
+KNOWN_HITS = 4
 #: Folders of rankings whose file lists are remembered.
 KNOWN_PARTS = 8
 
@@ -115,6 +119,7 @@ class Engine:
         self.keywords = Keywords(self)
         self._totals: OrderedDict[Any, int] = OrderedDict()
         self._pages: OrderedDict[Any, Response] = OrderedDict()
+        self._hits: OrderedDict[Any, DataFrame] = OrderedDict()
         self._parts: OrderedDict[str, DataFrame] = OrderedDict()
         self.hits = self.misses = 0
 
@@ -140,7 +145,17 @@ class Engine:
         docs = self.store.read("docs", state)
         n, dl = state.totals
         corpus = self.spark.range(1).select(F.lit(n).cast("long").alias("n_docs"), F.lit(dl).cast("long").alias("total_dl"))
-        return Index(docs, self.store.read("postings", state), docs.select("id", "dl"), corpus)
+        return Index(docs, self.store.read("postings", state), docs.select("id", "dl"), corpus, self.store.term_rows(state))
+
+    def _text_hits(self, spec: SearchSpec, index: Index) -> DataFrame:
+        """The hits of a search, kept for the pages that follow."""
+        key = (self._state(), spec.query, spec.search_in, spec.sort_by == "relevance")
+        if key not in self._hits:
+            self._hits[key] = text_hits(index, spec).persist()
+            while len(self._hits) > KNOWN_HITS:
+                self._hits.popitem(last=False)[1].unpersist()
+        self._hits.move_to_end(key)
+        return self._hits[key]
 
     def _state(self) -> tuple:
         """Changes with every commit, so what is remembered under it is never stale."""
@@ -166,7 +181,9 @@ class Engine:
         spec = SearchSpec.of(raw, **more)
 
         def run() -> Response:
-            return search(self.read("docs"), spec, self.read("files").select("id", "preview"), self.index(), count=self._total)
+            index = self.index()
+            known = None if spec.by == "hash" else self._text_hits(spec, index)
+            return search(index.docs, spec, self.read("files").select("id", "preview"), index, count=self._total, known=known)
 
         context = self.spark.sparkContext
         if tag:
@@ -183,8 +200,23 @@ class Engine:
 
     def latest(self, limit: Any = None, offset: Any = None) -> Response:
         n, skip = latest_page(limit, offset)
-        rows = with_previews(latest(self.read("docs"), n, skip).select(*LISTED), self.read("files").select("id", "preview"), "")
-        return Response([r.asDict(recursive=True) for r in rows.orderBy(F.desc("id")).collect()], self.count(), n, skip, False, None)
+        rows = [r.asDict() for r in latest(self.read("docs"), n, skip).select(*LISTED).collect()]
+        return Response(with_previews(rows, self.read("files").select("id", "preview"), ""), self.count(), n, skip, False, None)
+
+    def typed(self, text: str) -> list[str]:
+        """The words of a typed text: of Han characters by the stored counts, else runs of letters and digits."""
+        possible = possible_words(text)
+        if not possible:
+            return typed_words(text)
+        ranking = self.keywords.ranking()
+        stats = ranking if ranking is not None else self.keywords.stats()
+        known = stats.where(F.col("term").isin(*possible)).select("term", "doc_count").collect()  # stretches of one typed text
+        return segmented(text, {r["term"]: r["doc_count"] for r in known})
+
+    def readings(self, table: DataFrame) -> DataFrame:
+        """Readings of the ranked words, for ``suggest``; ``table``: text and reading."""
+        ranking = self.keywords.ranking()
+        return readings_of(ranking if ranking is not None else keywords.ranked(self.keywords.stats(), None, self.hot_min_docs), table)
 
     def suggest(self, text: str, most: int = suggest.MOST, readings: DataFrame | None = None) -> list[str]:
         """Words of the ranking that the typed words match, best first.
@@ -192,7 +224,7 @@ class Engine:
         Candidates come from the stored n-grams and the first ranks; words on the filter list are left out, and those behind
         them move up. While the ranking is behind the state, or with readings, every ranked word is scored.
         """
-        typed = typed_words(text)
+        typed = self.typed(text)
         if not typed:
             return []
         stored = self.keywords.ranking() if readings is None else None
@@ -222,7 +254,7 @@ class Engine:
         return [r.asDict() for r in self.file_nodes(item).orderBy("idx").collect()]
 
     def stats(self) -> dict[str, Any]:
-        """The state, the step of a run at work (None between runs), and how often what is remembered answered."""
+        """The state, the step of a run at work (None between runs), how far each stream is, and how often what is remembered answered."""
         state, asked = self.store.manifest(), self.hits + self.misses
-        own = {"step": self.runs.step, "hits": self.hits, "misses": self.misses, "hit_rate": round(self.hits / asked, 4) if asked else 0.0}
+        own = {"step": self.runs.step, "streams": self.runs.running(), "hits": self.hits, "misses": self.misses, "hit_rate": round(self.hits / asked, 4) if asked else 0.0}
         return own | {"version": state.version, "watermark": state.watermark, "segments": len(state.segments), "items": state.totals[0]}

@@ -36,6 +36,11 @@ def doc_stats(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return items.select("id", length(fields).alias("dl"))
 
 
+def term_rows(found: DataFrame) -> DataFrame:
+    """term and n: the rows that each term has in postings."""
+    return found.groupBy("term").agg(F.count("*").alias("n"))
+
+
 def corpus_stats(stats: DataFrame) -> DataFrame:
     """One row: n_docs and total_dl. Rows of parts of a corpus add up."""
     return stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl"))
@@ -43,12 +48,14 @@ def corpus_stats(stats: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """docs (narrow copies), postings, doc_stats and corpus (rows of n_docs and total_dl) of a set of items."""
+    """docs (narrow copies), postings, doc_stats, corpus (rows of n_docs and total_dl) and terms of a set of items."""
 
     docs: DataFrame
     postings: DataFrame
     doc_stats: DataFrame
     corpus: DataFrame
+    #: term and n, its rows in postings (or more); without it, all terms of a query are gathered.
+    terms: DataFrame | None = None
 
 
 def build(items: DataFrame, fields: tuple[str, ...] = FIELDS) -> Index:

@@ -85,15 +85,41 @@ def _all_found(n: int) -> Column:
     return out
 
 
+def _any(wants: list[tuple[str, bool]]) -> Column:
+    some = F.lit(False)
+    for want in wants:
+        some = some | _is(F.col("term"), want)
+    return some
+
+
+def _gathered(found: DataFrame, wants: list[tuple[str, bool]]) -> DataFrame:
+    sums = [F.sum(F.when(_is(F.col("term"), want), F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, want in enumerate(wants)]
+    return found.groupBy("id").agg(*sums).where(_all_found(len(wants)))
+
+
+#: So many ids of a query's rarest term are put into the scan of its other terms; so many are broadcast to it.
+NAMED_IDS, BROADCAST_IDS = 1000, 1_000_000
+
+
 def index_hits(index: Index, query: str, search_in: str | None = None) -> DataFrame:
-    """id, tf_0, tf_1, ... of the items that match, from postings: one filter, one gathering by id."""
+    """id, tf_0, tf_1, ... of the items that match, from postings, gathered by id.
+
+    If the index knows how many rows its terms have, the rarest term is read first and its items cut the postings of the
+    others before these are dealt: by value where they are few, by a broadcast where the known number of rows bounds it.
+    """
     wants = wanted(query)
     found = index.postings.where(F.col("field").isin(*_fields(search_in)))
-    any_term = F.lit(False)
-    for want in wants:
-        any_term = any_term | _is(F.col("term"), want)
-    sums = [F.sum(F.when(_is(F.col("term"), want), F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, want in enumerate(wants)]
-    return found.where(any_term).groupBy("id").agg(*sums).where(_all_found(len(wants)))
+    every = found.where(_any(wants))
+    if index.terms is None or len(wants) == 1:
+        return _gathered(every, wants)
+    counts = index.terms.where(_any(wants)).agg(*(F.coalesce(F.sum(F.when(_is(F.col("term"), w), F.col("n"))), F.lit(0)).alias(f"n_{i}") for i, w in enumerate(wants))).first()
+    rows, rarest = min(zip(counts, wants, strict=True))
+    if rows > BROADCAST_IDS:
+        return _gathered(every, wants)
+    own = found.where(_is(F.col("term"), rarest)).select("id").distinct()
+    if rows > NAMED_IDS:
+        return _gathered(every.join(F.broadcast(own), "id", "left_semi"), wants)  # at most ``rows`` rows
+    return _gathered(every.where(F.col("id").isin(*(r["id"] for r in own.collect()))), wants)
 
 
 def ranked(hits: DataFrame, totals: DataFrame, n_terms: int) -> DataFrame:
@@ -116,11 +142,8 @@ def index_ranked(index: Index, query: str, search_in: str | None = None) -> Data
     """id, tf_i, dl and score of the items that match, from the index alone."""
     wants = wanted(query)
     found = index.postings.where(F.col("field").isin(*_fields(search_in)))
-    any_term = F.lit(False)
-    for want in wants:
-        any_term = any_term | _is(F.col("term"), want)
     sums = [F.sum(F.when(_is(F.col("term"), want), F.col("tf")).otherwise(0)).alias(f"tf_{i}") for i, want in enumerate(wants)]
-    by_item = found.where(any_term).groupBy("id").agg(*sums)
+    by_item = found.where(_any(wants)).groupBy("id").agg(*sums)
     found_by = by_item.agg(*(F.count(F.when(F.col(f"tf_{i}") > 0, 1)).alias(f"n_{i}") for i in range(len(wants))))
     corpus = index.corpus.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_dl").alias("total_dl"))
     hits = by_item.where(_all_found(len(wants))).join(index.doc_stats, "id")
@@ -182,10 +205,18 @@ def page(found: DataFrame, spec: SearchSpec, most: int | None = None) -> DataFra
     return found.orderBy(*order).offset(spec.offset).limit(spec.limit)
 
 
-def with_previews(rows: DataFrame, previews: DataFrame, query: str) -> DataFrame:
-    """``rows`` with the preview of each; without a stored one, an empty list."""
-    own = previews.select("id", picked_preview(F.col("preview"), words(query)).alias("preview"))
-    return rows.join(own, "id", "left").withColumn("preview", F.coalesce("preview", F.array().cast(previews.schema["preview"].dataType)))
+def with_previews(rows: list[dict], previews: DataFrame, query: str) -> list[dict]:
+    """The rows of a page with the preview of each; without a stored one, an empty list. Only the page's ids are looked up."""
+    found = {}
+    for at in range(0, len(rows), LOOKED_UP):
+        ids = [r["id"] for r in rows[at : at + LOOKED_UP]]
+        own = previews.where(F.col("id").isin(*ids)).select("id", picked_preview(F.col("preview"), words(query)).alias("preview"))
+        found |= {r["id"]: r["preview"] for r in own.collect()}
+    return [r | {"preview": [f.asDict() for f in found.get(r["id"]) or []]} for r in rows]
+
+
+#: Ids of a page that one look-up names.
+LOOKED_UP = 2000
 
 
 @dataclass(frozen=True)
@@ -207,14 +238,17 @@ def search(
     index: Index | None = None,
     most: int | None = None,
     count: Callable[[SearchSpec, DataFrame], int] | None = None,
+    known: DataFrame | None = None,
 ) -> Response:
-    """The page that a search asks for. ``count`` may answer for totals that are known.
+    """The page that a search asks for. ``count`` may answer for totals that are known, ``known`` is the spec's ``text_hits`` if they are kept.
 
     Hits of an index are found once, for the total and for the page.
     """
     spec = SearchSpec.of(raw)
     if index is None or spec.by == "hash":
         return _page_of(items, spec, previews, index, None, most, count)
+    if known is not None:
+        return _page_of(items, spec, previews, index, known, most, count)
     hits = text_hits(index, spec).persist()
     try:
         return _page_of(items, spec, previews, index, hits, most, count)
@@ -241,10 +275,9 @@ def _page_of(
     else:
         top = page(matching(items, spec, index, paged=True, hits=hits) if spec.cursor else found, spec, most)
     listed = [c for c in LISTED if c in found.columns] + (["score"] if "score" in found.columns else [])
-    top = top.select(*listed)
+    rows = [r.asDict(recursive=True) for r in top.select(*listed).orderBy(*ordering(spec)).collect()]  # one page
     if previews is not None:
-        top = with_previews(top, previews, "" if spec.by == "hash" else spec.query)
-    rows = [r.asDict(recursive=True) for r in top.orderBy(*ordering(spec)).collect()]  # one page
+        rows = with_previews(rows, previews, "" if spec.by == "hash" else spec.query)
     cap = whole_set_cap(most)
     truncated = spec.whole and len(rows) > cap
     rows = rows[:cap] if truncated else rows

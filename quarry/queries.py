@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.engine import Engine
 from quarry.functions import text as fn
 from quarry.operators import compare, index, keywords, search, suggest, tree
+from quarry.operators.readings import readings
 from quarry.plans.spec import SearchSpec, encode_cursor
 from quarry.sources.items import file_changes as changes_of_files
 from quarry.sources.items import fingerprinted, parsed_files, picked_preview, since, spread, with_file_facts
@@ -746,6 +747,27 @@ def suggest_by_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.suggestion_scores(words, ["su", "ete"], readings)
 
 
+# Terms in another script: letters are written as characters, which a table reads; phrases read some of them otherwise.
+LETTERS, CHARACTERS = "aeionrst", "啊鹅衣哦恩日思特"
+READING_TABLE = (
+    ("啊", "a"), ("鹅", "e"), ("衣", "yi"), ("哦", "o"), ("恩", "en"), ("日", "ri"), ("思", "si"), ("特", "te"),
+    ("特鹅", "tie e"), ("鹅恩", "nü ne"), ("衣哦恩", "ji ou nü"), ("恩特", "nin te"), ("日鹅思", "ri jue se"),
+)
+
+
+@query(
+    rf"""WITH terms AS (SELECT DISTINCT translate(term, '{LETTERS}', '{CHARACTERS}') AS term FROM ({STATS}) WHERE doc_count >= 3),
+pieces AS (SELECT term, regexp_extract_all(term, '{"|".join(sorted((t for t, _ in READING_TABLE), key=len, reverse=True))}|.') AS p FROM terms WHERE regexp_matches(term, '[{CHARACTERS}]')),
+said AS (SELECT term, list_transform(p, lambda x: CASE x {" ".join(f"WHEN '{t}' THEN '{r.replace('ü', 'v')}'" for t, r in READING_TABLE)} ELSE x END) AS said FROM pieces)
+SELECT term, replace(array_to_string(said, ''), ' ', '') AS "full",
+  array_to_string(list_transform(said, lambda x: CASE WHEN regexp_full_match(x, '[a-z ]{{2,}}|[a-z]') THEN regexp_replace(x, '([a-z])[a-z]*( |$)', '\1', 'g') ELSE x END), '') AS initials FROM said"""
+)
+def term_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of ranked terms written in characters, the longest phrase first."""
+    words = keywords.ranked(_stats(spark, sf_dir), min_docs=3).select(F.translate("term", LETTERS, CHARACTERS).alias("term"))
+    return readings(words, spark.createDataFrame(READING_TABLE, "text string, reading string"))
+
+
 @query(r"SELECT item_id, len(w)::INTEGER AS n, array_to_string(w, ' ') AS words FROM (SELECT item_id, regexp_extract_all(lower(trim(text)), '[A-Za-z0-9]+|\p{Han}') AS w FROM benchmark)")
 def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut as typed queries are."""

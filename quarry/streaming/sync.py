@@ -12,9 +12,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from quarry.operators.index import length, postings
+from quarry.operators.index import length, postings, term_rows
 from quarry.operators.keywords import MIN_DOCS, keyword_stats, merged, ranked
 from quarry.operators.suggest import grams
 from quarry.sources.items import ITEM_SCHEMA, check_schema, extent, file_changes, fingerprinted, since, with_file_facts
@@ -34,6 +34,8 @@ class Result:
     skipped: bool = False
     seconds: dict[str, float] = field(default_factory=dict)
     replaced: int = 0
+    #: Smallest and largest id of an appended batch.
+    ids: tuple[int, int] | None = None
 
 
 class Busy(RuntimeError):
@@ -48,6 +50,26 @@ def size_class(rows: int, fanout: int = FANOUT) -> int:
     return out
 
 
+class Progress(StreamingQueryListener):
+    """What streams of this session last reported, by their id."""
+
+    def __init__(self):
+        self.known: dict[str, dict] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 (the listener's names)
+        self.known.setdefault(str(event.id), {})["active"] = True
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.known.setdefault(str(p.id), {}).update(batch=p.batchId, batch_rows=p.numInputRows, rows_per_second=round(p.processedRowsPerSecond, 3), at=p.timestamp)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.known.setdefault(str(event.id), {})["at"] = event.timestamp
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.known.setdefault(str(event.id), {}).update(active=False, error=event.exception)
+
+
 class Sync:
     """The runs that change a store: one at a time in this driver, and whole against those of other drivers.
 
@@ -59,6 +81,8 @@ class Sync:
         self.store, self.progress, self.hot_min_docs = store, progress or (lambda step: None), hot_min_docs
         self._lock = threading.Lock()
         self.step: str | None = None
+        self._progress: Progress | None = None
+        self._written: dict[str, dict] = {}
 
     def _step(self, result: Result, name: str, run: Callable[[], object]) -> object:
         self.step = name
@@ -88,10 +112,15 @@ class Sync:
 
         with ThreadPoolExecutor(len(parts)) as pool:  # a small segment's jobs leave cores free
             list(pool.map(write, parts))
+        self._step(result, "terms", lambda: self._count_terms(name))
         own = self.store.spark.read.parquet(at("docs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         result.rows = own["n"]
         return Segment(name, low, high, own["n"], own["dl"])
 
+    def _count_terms(self, segment: str) -> None:
+        found = self.store.spark.read.parquet(self.store.place(segment, "postings"))
+        term_rows(found).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self.store.place(segment, "terms"))
+
     def _replacing(self, made: Segment, state: Manifest, result: Result, own_ids: DataFrame | None = None, targets: tuple[Segment, ...] | None = None) -> Segment:
         """``made``, with what it replaces in the state's segments written down.
 
@@ -257,7 +286,7 @@ class Sync:
             names = ITEM_SCHEMA.fieldNames()
             latest = F.max_by(F.struct(*names), F.struct("fetched_at", F.xxhash64(*names))).alias("row")
             rows = batch.groupBy("id").agg(latest).select("row.*")
-            ends = extent(batch)
+            ends = result.ids = extent(batch)
             if not ends:
                 self.store.commit(lambda now: replace(now, version=max(1, now.version), batches={**now.batches, stream: batch_id}))
                 return result
@@ -275,8 +304,18 @@ class Sync:
         """
         check_schema(source)
 
+        if self._progress is None:
+            self._progress = Progress()
+            self.store.spark.streams.addListener(self._progress)
+
         def write(batch: DataFrame, number: int) -> None:
-            self.append(batch, number, json.loads(Files(self.store.spark, checkpoint).read("metadata"))["id"])
+            stream = json.loads(Files(self.store.spark, checkpoint).read("metadata"))["id"]
+            done = self.append(batch, number, stream)
+            own = self._written.setdefault(stream, {"items": 0, "replaced": 0, "span": None})
+            if not done.skipped:
+                span = own["span"], done.ids
+                own.update(items=own["items"] + done.rows, replaced=own["replaced"] + done.replaced)
+                own["span"] = span[1] if span[0] is None else span[0] if span[1] is None else (min(span[0][0], span[1][0]), max(span[0][1], span[1][1]))
             while not self.compact(wait=True).skipped:
                 pass
 
@@ -284,6 +323,11 @@ class Sync:
         writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
         return writer.start()
 
+    def running(self) -> dict[str, dict]:
+        """Of each stream that this driver started: the last batch, its rows and rate, whether it goes on, and what it wrote (items, replaced, span of ids)."""
+        known = self._progress.known if self._progress else {}
+        return {i: known.get(i, {}) | self._written.get(i, {}) for i in {*known, *self._written}}
+
     @staticmethod
     def due(state: Manifest, least_rows: int = COMPACT_ROWS, fanout: int = FANOUT) -> list[Segment]:
         """The segments to merge next: ``fanout`` or more of one size class, the smallest such class first; else those
@@ -323,6 +367,7 @@ class Sync:
         parts["keyword_stats"] = merged(self.store.keyword_counts(state, names))
         for part, rows in parts.items():
             self._step(result, part, lambda rows=rows, part=part: rows.write.mode("overwrite").parquet(self.store.place(name, part)))
+        self._step(result, "terms", lambda: self._count_terms(name))
         live = [state.live(s) for s in own]
         result.rows = sum(n for n, _ in live)
         # What they replace in segments that stay is taken along.

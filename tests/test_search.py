@@ -44,6 +44,18 @@ def test_hits_and_scores_are_those_of_a_full_text_index(items, fts, text, field)
     assert {r["id"] for r in search.index_hits(index.build(items), text, field).collect()} == set(expected)
 
 
+@pytest.mark.parametrize("bounds", [(1000, 1_000_000), (0, 1_000_000), (0, 0)])
+def test_rarest_first_finds_the_same(items, monkeypatch, bounds):
+    monkeypatch.setattr(search, "NAMED_IDS", bounds[0])
+    monkeypatch.setattr(search, "BROADCAST_IDS", bounds[1])
+    built = index.build(items)
+    counted = index.Index(built.docs, built.postings, built.doc_stats, built.corpus, index.term_rows(built.postings))
+    for text in QUERIES:
+        for field in (None, "name"):
+            plain = sorted(map(tuple, search.index_hits(built, text, field).collect()))
+            assert sorted(map(tuple, search.index_hits(counted, text, field).collect())) == plain
+
+
 def test_nothing_to_search_for(items):
     for text in ("", "...---...", "  "):
         with pytest.raises(ValueError):

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -231,6 +232,14 @@ def test_stream(spark, engine, tmp_path):
     run()
     assert engine.count() == 5 and found(engine, "third") == [9]
     (stream,) = engine.store.manifest().batches
+    told = engine.stats()["streams"][stream]  # what the listener heard may come a little later
+    assert (told["items"], told["replaced"], told["span"]) == (2, 0, (5, 9)) and {"items", "replaced", "span"} <= set(told)
+    for _ in range(100):
+        told = engine.stats()["streams"][stream]
+        if told.get("active") is False:
+            break
+        time.sleep(0.1)
+    assert told["active"] is False and told["error"] is None and told["batch"] >= 1 and "rows_per_second" in told
     assert engine.runs.append(spark.createDataFrame(SECOND, ITEM_SCHEMA), 0, stream).skipped
     engine.rebuild(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
     assert engine.runs.append(spark.createDataFrame(SECOND, ITEM_SCHEMA), 0, stream).skipped  # a replay after a rebuild
