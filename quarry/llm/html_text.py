@@ -13,10 +13,15 @@ datalist, a closed dialog or details, and what stands in for content that browse
 otherwise (noscript, noembed, noframes, iframe, object, audio, video, canvas).
 
 Neither step recurses, so depth is bounded by memory alone, and both take time in
-proportion to the page: open elements are found by name, not by walking up. So is the text: cells
+proportion to the page: open elements are found by name, not by walking up. So is the text: beyond ``LEAD``
+blanks a line in lists and quotes is not indented but led by the number of its level; cells
 of over ``WIDE`` characters do not widen their column, and a table row that would need far more
 blanks than it has cells and lines stands unaligned, its cells two blanks apart.
 
+Visibility is that of elements, of the hidden attribute and of style attributes (a display there goes before
+hidden). Style sheets are not read: what only a rule of theirs hides is written out. Of form fields the
+labels of buttons and the texts that are filled in come out, none of passwords.
+
 Defined results: a null or empty page, or one without visible text, gives an empty text; a very
 long page is rendered whole;
 unclosed tags end with the page, an unfinished tag at its end is dropped; repeated rows are
@@ -29,7 +34,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -73,6 +78,10 @@ SCOPE = frozenset("td th caption table button object html".split())
 CLOSES_ALL = HIDDEN | frozenset("select button svg math".split())
 SOLID = SCOPE | BLOCKS
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blanks that a line in lists and quotes is indented by at most.
+LEAD = 24
+#: Kinds of form fields whose value is not shown as text.
+NO_TEXT = frozenset("hidden checkbox radio password file image range color".split())
 #: Characters of a cell that widens its column; row spans that are kept track of at once.
 WIDE, MOST_SPANS = 40, 64
 #: Blanks that aligning a row may cost: so many, and so many for each of its cells and lines.
@@ -84,7 +93,8 @@ _equals = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
 _bare = r"""[^ \t\n\r\f"'>][^ \t\n\r\f>]*+"""
 _tag = re.compile(rf"""<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{_name}(?:{_equals}(?:"[^"]*+"|'[^']*+'|{_bare})?+)?+)*+)>""")
 _attribute = re.compile(rf"""({_name})(?:{_equals}(?:"([^"]*+)"|'([^']*+)'|({_bare}))?+)?+""")
-_unseen = re.compile(r"display\s*:\s*none", re.I)
+_display = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_comment_end = re.compile(r"--!?>")
 _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
 
@@ -100,12 +110,10 @@ class Node:
     @property
     def hidden(self) -> bool:
         a = self.attributes
-        return (
-            self.tag in HIDDEN
-            or "hidden" in a
-            or ("style" in a and _unseen.search(a["style"]) is not None)
-            or (self.tag == "dialog" and "open" not in a)
-        )
+        shown = _display.findall(a["style"]) if "style" in a else []
+        if self.tag in HIDDEN or (self.tag == "dialog" and "open" not in a):
+            return True
+        return shown[-1].lower() == "none" if shown else "hidden" in a
 
     @property
     def seen(self) -> bool | None:
@@ -114,8 +122,11 @@ class Node:
         return found[-1].lower() == "visible" if found else None
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", it, ""), ("start", tag, attributes) and ("end", tag, "") of a page."""
+def tokens(page: str, foreign: Callable[[], bool] = bool) -> Iterator[tuple[str, str, str]]:
+    """("text", it, ""), ("raw", text as it is, ""), ("start", tag, attributes) and ("end", tag, "") of a page.
+
+    ``foreign``: whether the place reached is inside svg or math, where CDATA sections are text.
+    """
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
@@ -125,10 +136,19 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if lt > at:
             yield "text", page[at:lt], ""
         follows = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            early = next((x for x in (">", "->") if page.startswith(x, lt + 4)), None)  # an empty comment
+            end = None if early else _comment_end.search(page, lt + 4)
+            at = lt + 4 + len(early) if early else end.end() if end else n
+            continue
+        if page.startswith("<![CDATA[", lt) and foreign():
+            end = page.find("]]>", lt + 9)
+            yield "raw", page[lt + 9 : n if end < 0 else end], ""
+            at = n if end < 0 else end + 3
+            continue
         if follows == "!" or follows == "?":
-            close = "-->" if page.startswith("<!--", lt) else ">"
-            end = page.find(close, lt + (4 if close == "-->" else 2))
-            at = n if end < 0 else end + len(close)
+            end = page.find(">", lt + 2)
+            at = n if end < 0 else end + 1
             continue
         if not (follows.isascii() and follows.isalpha()) and not (follows == "/" and page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha()):
             yield "text", "<", ""
@@ -203,8 +223,15 @@ def tree(page: str) -> Node:
         enter(node)
         return node
 
+    def foreign_here() -> bool:
+        inside = places["*foreign"]
+        return bool(inside) and not (places["*html"] and places["*html"][-1] > inside[-1])
+
     paragraph = frozenset(["p"])
-    for kind, x, raw in tokens(page):
+    for kind, x, raw in tokens(page, foreign_here):
+        if kind == "raw":
+            open_[-1].children.append(x)
+            continue
         if kind == "text":
             if len(open_) == 1 and not x.isspace():
                 body = body or push("body", {})
@@ -288,7 +315,7 @@ class Writer:
         self.line: list[str] = []
         self.blank = False  # a blank is due before the next text
         self.gap = 0  # line ends that are due: 1 a new line, 2 a blank line
-        self.indents: list[str] = []
+        self.leads = [""]  # of the open lists and quotes; a level's number where the blanks would be too many
         self.mark = ""  # a bullet that waits for the item's first text
 
     def text(self, s: str, pre: bool) -> None:
@@ -315,9 +342,9 @@ class Writer:
             return
         self._break()
         if not self.line:
-            lead = "".join(self.indents)
+            lead = self.leads[-1]
             if self.mark:
-                lead = lead[: len(lead) - len(self.mark)] + self.mark
+                lead = lead + self.mark if lead.strip() else lead[: len(lead) - len(self.mark)] + self.mark
                 self.mark = ""
             self.line.append(lead)
         elif self.blank:
@@ -325,6 +352,11 @@ class Writer:
         self.blank = False
         self.line.append(s)
 
+    def indent(self, n: int) -> None:
+        lead = self.leads[-1]
+        numbered = lead.strip() or len(lead) + n > LEAD
+        self.leads.append(f"{len(self.leads)} " if numbered else lead + " " * n)
+
     def _end_line(self) -> None:
         self.lines.append("".join(self.line).rstrip(" "))
         self.line, self.blank = [], False
@@ -438,6 +470,8 @@ def render(root: Node) -> str:
             if tag == "br":
                 out.newline()
                 continue
+            if tag == "input" and node.attributes.get("type", "").lower() not in NO_TEXT and seen[-1] and (not drawn or drawn[-1]):
+                out.text(node.attributes.get("value", ""), False)
             if tag == "wbr" or tag == "input":
                 continue
             work.append((node, True))
@@ -469,10 +503,10 @@ def render(root: Node) -> str:
                 mark = "- " if here[0] is None else f"{here[0]}. "
                 if here[0] is not None:
                     here[0] += here[1]
-                out.indents.append(" " * len(mark))
+                out.indent(len(mark))
                 out.mark = mark
             elif tag in ("blockquote", "dd"):
-                out.indents.append("  ")
+                out.indent(2)
             elif tag in PREFORMATTED:
                 pre += 1
             children = node.children
@@ -504,11 +538,11 @@ def render(root: Node) -> str:
             lists.pop()
             out.block(1 if lists else 2)
         elif tag == "li":
-            out.indents.pop()
+            out.leads.pop()
             out.mark = ""
             out.block(1)
         elif tag in ("blockquote", "dd"):
-            out.indents.pop()
+            out.leads.pop()
             out.block(2 if tag == "blockquote" else 1)
         elif tag == "tr" and tables:
             pass

@@ -120,6 +120,9 @@ HOSTILE = {
     "deep": "<div>" * 100_000 + "</p>" * 50_000 + "end",
     "quotes": "<a b='" * 50_000 + "end",
     "formats": "<b><p></b>" * 60_000 + "end",
+    "nested quotes": "<blockquote>" * 3_000 + "<p>x" * 30_000 + "<p>end",
+    "nested lists": "<ul><li>a" * 20_000 + "end",
+    "nested numbers": "<ol start=99999><li>a" * 20_000 + "<p>b" * 20_000 + "<p>end",
 }
 
 
@@ -133,6 +136,32 @@ def test_hostile_pages(name):
     assert text.rstrip().endswith("end") or name == "quotes"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<!-->b-->c", "ab-->c"),
+        ("a<!--->b", "ab"),
+        ("<!-- x --!>d<!-- y -->e", "de"),
+        ("a<!-- never closed", "a"),
+        ("<svg><text><![CDATA[ b < c ]]></text></svg>", "b < c"),
+        ("x<![CDATA[ y ]]>z", "xz"),
+        ("<math><mtext><![CDATA[q]]>r</mtext></math>", "r"),
+        ("<span hidden style='display:block'>v</span>", "v"),
+        ("<span style='display:block;display: NONE'>v</span>w", "w"),
+        ("<p hidden>v</p>w", "w"),
+        ("<input type=submit value=Send><input value='a  b'><input type=password value=p><input type=checkbox value=c>", "Senda b"),
+        ("<style>.x{display:none}</style><p class=x>shown", "shown"),
+    ],
+)
+def test_browsers_rules(page, text):
+    assert extract(page) == text
+
+
+def test_deep_levels_are_numbered():
+    page = "<ul><li>" * 30 + "x<p>y"
+    assert extract(page).split("\n")[-1] == "30 y" and extract("<ul><li>" * 3 + "x") == "    - x"
+
+
 def made(rnd, depth=0):
     """A random page part as HTML (with optional end tags left out at random) and the lines a plain renderer gives for it."""
 
