@@ -8,7 +8,8 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key of over HEAVY rows that has over one row in SPOTS is dealt over SALTS keys of a join; there are fewer than SPOTS such keys.
+#: A key of over HEAVY rows is dealt over SALTS keys of a join, if it is one of the SPOTS keys with most rows: any other
+#: key has at most one row in SPOTS.
 HEAVY, SALTS, SPOTS = 256, 64, 4096
 
 _places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -82,27 +83,34 @@ def spot(key: Column | str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SPOTS)).cast("int")
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame:
-    """The keys with over ``HEAVY`` rows and over one row in ``SPOTS``: fewer than SPOTS rows, however large the table.
+def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
+    """The keys with over ``HEAVY`` rows, the ``SPOTS`` with most of them, so that they can be broadcast; None if there is none.
 
-    ``counts``: key and n, the rows with it.
+    ``counts``: key and n, the rows with it. Every key left out has at most one row in SPOTS.
     """
-    total = counts.agg(F.sum("n").alias("_all"))
-    return counts.where(F.col("n") > HEAVY).crossJoin(F.broadcast(total)).where(F.col("n") * SPOTS > F.col("_all")).select(key)  # one row
+    found = counts.where((F.col("n") > HEAVY) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(SPOTS).select(key)
+    rows = found.collect()
+    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
     """``many`` joined with ``one`` on ``key``, where very many rows of ``many`` may have one key.
 
-    Rows of such a key, and those of a null key, are dealt over ``SALTS`` keys by a hash of
+    Rows of such a key, and in a left join those of a null key, are dealt over ``SALTS`` keys by a hash of
     ``by``. ``counts``: key and n, the rows of ``many`` with it.
     """
-    hot = F.broadcast(hot_keys(counts, key).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    hot = hot_keys(counts, key)
+    dealt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    if hot is None:
+        if how == "inner":
+            return many.join(one, key)
+        apart = many.withColumn("_salt", F.when(F.col(key).isNull(), dealt).otherwise(0))
+        return apart.join(one.withColumn("_salt", F.lit(0)), [key, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = many.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    apart = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), dealt).otherwise(0)).drop("_hot")
     copies = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+    return apart.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def text_bytes(column: Column) -> Column:

@@ -128,8 +128,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _able(classes: DataFrame, percent: int) -> DataFrame:
     """The ids of the classes that may have a partner, by the first prefixes."""
-    rows = classes.select("id", "n_shingles", F.explode("prefix").alias("token"))
-    held = _shared(rows).groupBy("id", "n_shingles").agg(F.count("*").alias("held"))
+    held = _shared(classes.select("id", F.explode("prefix").alias("token"))).groupBy("id").agg(F.count("*").alias("held"))
+    held = held.join(classes.select("id", "n_shingles"), "id")
     held = held.withColumn("partner", F.expr(f"({percent} * n_shingles + 99) div 100"))
     want = F.least(F.expr(f"({percent} * partner + 99) div 100"), F.expr(f"1 + partner div {FIRST_STEP}"))
     return held.where(F.col("held") >= want).select("id")
@@ -160,8 +160,9 @@ def adaptive_prefixes(sets: DataFrame, percent: int) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
-    rows = _shared(sets.select("id", "n", F.explode("set").alias("token")))
-    gathered = rows.groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # bounded by one text's length
+    rows = _shared(sets.select("id", F.explode("set").alias("token")))
+    gathered = rows.groupBy("id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # bounded by one text's length
+    gathered = gathered.join(sets.select("id", "n"), "id").select("id", "n", "shared")
     chosen = gathered.mapInArrow(run, "id long, n long, shared long, level long, centre double, tokens array<long>, places array<long>, steps array<long>")
     each = chosen.select("id", "n", "shared", "level", "centre", F.explode(F.arrays_zip("tokens", "places", "steps")).alias("t"))
     return each.select(F.col("t.tokens").alias("token"), "id", "n", "shared", "level", F.col("t.places").alias("place"), F.col("t.steps").alias("step"), "centre")
@@ -173,10 +174,14 @@ def _enough(overlap: Column, n: Column, m: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the pairs (u, v) that link, on whole sets."""
-    first = sets.select(F.col("id").alias("u"), F.col("n").alias("n"), F.col("set").alias("one"))
-    second = sets.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("set").alias("other"))
-    with_first = spread_join(pairs, first, "u", "v", pairs.groupBy("u").agg(F.count("*").alias("n")))
-    both = spread_join(with_first, second, "v", "u", pairs.groupBy("v").agg(F.count("*").alias("n")))
+
+    def beside(rows: DataFrame, side: str, other: str, names: tuple[str, str]) -> DataFrame:
+        """``rows`` with the size and the set of one side; sets that no pair asks for are left out before they are dealt."""
+        asked_for = sets.join(pairs.select(F.col(side).alias("id")).distinct(), "id", "left_semi")
+        own = asked_for.select(F.col("id").alias(side), F.col("n").alias(names[0]), F.col("set").alias(names[1]))
+        return spread_join(rows, own, side, other, pairs.groupBy(side).agg(F.count("*").alias("n")))
+
+    both = beside(beside(pairs, "u", "v", ("n", "one")), "v", "u", ("m", "other"))
     return both.where(_enough(F.size(F.array_intersect("one", "other")).cast("long"), F.col("n"), F.col("m"), percent)).select("u", "v").distinct()
 
 
@@ -231,15 +236,24 @@ def _star_pairs(live: DataFrame, number: int, percent: int) -> DataFrame:
 def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
     """(u, v): pairs of different labels with the matches that their prefixes ask for and room behind the last."""
     names = ("id", "n", "shared", "level", "place", "step", "comp")
-    one = live.select("token", *names)
-    other = live.select("token", *(F.col(c).alias(f"{c}_") for c in names))
-    counts = live.groupBy("token").agg(F.count("*").alias("n"))
-    met = spread_join(one, other, "token", "id", counts)
+    # Of two labels at least one is not the one with most rows of a shingle, so only rows of the others are met by all.
+    each = live.groupBy("token", "comp").agg(F.count("*").alias("rows"))
+    heads = checkpoint(each.groupBy("token").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("n")))
+    one = spread_join(live.select("token", *names), heads.select("token", "main"), "token", "id", heads.select("token", "n"))
+    one = checkpoint(one)
+    other = one.where("comp <> main").select("token", *(F.col(c).alias(f"{c}_") for c in names))
+    met = spread_join(one, other, "token", "id", heads.select("token", "n"))
+    met = met.where((F.col("comp") == F.col("main")) | (F.col("comp") < F.col("comp_")))
     level, room = F.least("level", "level_"), F.least("shared", "shared_")
-    met = met.where((F.col("comp") < F.col("comp_")) & (F.col("step") <= level) & (F.col("step_") <= level) & _enough(room, F.col("n"), F.col("n_"), percent))
-    pairs = met.groupBy("id", "id_", "n", "n_", "level", "level_").agg(F.count("*").alias("found"), F.max("place").alias("last"), F.max("place_").alias("last_"))
-    most = F.col("found") + F.least(F.col("n") - 1 - F.col("last"), F.col("n_") - 1 - F.col("last_"))
-    return pairs.where((F.col("found") >= level) & _enough(most, F.col("n"), F.col("n_"), percent)).select(F.col("id").alias("u"), F.col("id_").alias("v")).distinct()
+    met = met.where((F.col("comp") != F.col("comp_")) & (F.col("step") <= level) & (F.col("step_") <= level) & _enough(room, F.col("n"), F.col("n_"), percent))
+    # A pair may meet either way round, according to which of its labels has most rows of a shingle.
+    turned = F.col("id") > F.col("id_")
+    sides = {f"{c}{i}": F.when(turned, F.col(second)).otherwise(F.col(first)) for c in ("id", "n", "level", "place") for i, first, second in ((1, c, f"{c}_"), (2, f"{c}_", c))}
+    pairs = met.select(*(x.alias(name) for name, x in sides.items()))
+    pairs = pairs.groupBy("id1", "id2", "n1", "n2", "level1", "level2").agg(F.count("*").alias("found"), F.max("place1").alias("last1"), F.max("place2").alias("last2"))
+    most = F.col("found") + F.least(F.col("n1") - 1 - F.col("last1"), F.col("n2") - 1 - F.col("last2"))
+    enough = (F.col("found") >= F.least("level1", "level2")) & _enough(most, F.col("n1"), F.col("n2"), percent)
+    return pairs.where(enough).select(F.col("id1").alias("u"), F.col("id2").alias("v"))
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:

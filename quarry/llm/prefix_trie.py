@@ -56,13 +56,15 @@ def turn_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     words = F.regexp_count(said, F.lit(WORD)).cast("long")
     narrow = rows.select(column(rows, conv).cast("long").alias("conv"), column(rows, turn).cast("long").alias("turn"), F.md5(whole).alias("digest"), words.alias("words"))
     narrow = checkpoint(narrow.where("conv is not null"))
-    # Only a conversation with over one row in SPOTS is cut into blocks: fewer than SPOTS, so their cuts can be broadcast.
-    large = F.broadcast(hot_keys(narrow.groupBy("conv").agg(F.count("*").alias("n")), "conv"))
-    shares = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
-    cuts = narrow.join(large, "conv").groupBy("conv").agg(F.percentile_approx("turn", shares, 10_000).alias("cuts"))
-    before = F.size(F.filter("cuts", lambda x: x < F.col("turn")))
-    block = F.when(F.col("cuts").isNotNull() & F.col("turn").isNotNull(), before).otherwise(0)
-    cut = narrow.join(F.broadcast(cuts), "conv", "left").withColumn("block", block).drop("cuts")
+    # Very long conversations are cut into blocks by shares of their turns; there are fewer of them than a broadcast can hold.
+    large = hot_keys(narrow.groupBy("conv").agg(F.count("*").alias("n")), "conv")
+    cut = narrow.withColumn("block", F.lit(0))
+    if large is not None:
+        shares = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
+        cuts = narrow.join(F.broadcast(large), "conv").groupBy("conv").agg(F.percentile_approx("turn", shares, 10_000).alias("cuts"))
+        before = F.size(F.filter("cuts", lambda x: x < F.col("turn")))
+        block = F.when(F.col("cuts").isNotNull() & F.col("turn").isNotNull(), before).otherwise(0)
+        cut = narrow.join(F.broadcast(cuts), "conv", "left").withColumn("block", block).drop("cuts")
     inside = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), "digest")
     placed = cut.withColumn("own", F.row_number().over(inside))
     sizes = cut.groupBy("conv", "block").agg(F.count("*").alias("n"))
