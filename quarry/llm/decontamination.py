@@ -15,7 +15,8 @@ benchmark fills the bitmap and makes the join larger, never wrong.
 Defined results: null and empty texts have no tokens and no overlap; very long texts are read
 whole, and only the tokens around hits leave the worker; items of fewer than
 ``MIN_ITEM`` tokens cannot be told from chance inside a sentence and are searched for only with
-``short``, as whole texts or whole lines of equal tokens; items with equal
+``short``, as whole texts of equal tokens or, from ``LEAST_LINE`` tokens on, whole lines ("Yes." on a line of its own
+tells nothing); items with equal
 tokens are searched for once, under their smallest id; a document has one row an item, its
 longest overlap (the earliest on ties); rows with a null id are compared under the null id;
 rows that share an id count as one document; empty tables give an empty result; ids may be of
@@ -39,6 +40,8 @@ from quarry.llm.words import mixed, numbers, word_hashes
 MASKS = ("1110111", "11011011", "110101011", "1100110011", "1111")
 SPAN = max(map(len, MASKS))
 MIN_ITEM = 8
+#: Tokens of a line that can be an item as a whole; shorter ones only where the whole text has no more.
+LEAST_LINE = 4
 #: Items of fewer tokens have the last mask's hashes too: a substitution leaves them few windows.
 SHORT_ITEM = 16
 #: Matching tokens that an overlap needs; of shorter items four in five.
@@ -174,7 +177,7 @@ def _regions(docs: DataFrame, bitmap: np.ndarray, key: str, text: str) -> DataFr
 
 
 def _whole_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, start and tokens of each line, and of each whole text, of fewer than ``MIN_ITEM`` tokens."""
+    """doc_id, start and tokens of each line of ``LEAST_LINE`` tokens or more, and of each whole text, of fewer than ``MIN_ITEM``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,10 +185,9 @@ def _whole_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 lines = [tokens(line) for line in (x.as_py() or "").split("\n")]
                 starts = np.cumsum([0, *map(len, lines)])
-                short = [(doc, int(a), line.view(np.int64)) for a, line in zip(starts, lines) if 0 < len(line) < MIN_ITEM]
-                if len(short) > 1 and starts[-1] < MIN_ITEM:
-                    short.append((doc, 0, np.concatenate(lines).view(np.int64)))
-                out += short
+                out += [(doc, int(a), line.view(np.int64)) for a, line in zip(starts, lines) if LEAST_LINE <= len(line) < MIN_ITEM]
+                if 0 < starts[-1] < MIN_ITEM:
+                    out.append((doc, 0, np.concatenate(lines).view(np.int64)))
             if out:
                 cols = zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64())), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["doc_id", "start", "tokens"])
@@ -237,7 +239,9 @@ def overlaps(
     few = every.where(F.size("tokens") < MIN_ITEM)
     if short and not few.isEmpty():
         n = F.size("tokens").cast("long")
-        equal = _whole_lines(docs, key, text).join(few, "tokens")
+        # A line that very many documents have is one key.
+        own = checkpoint(_whole_lines(docs, key, text))
+        equal = spread_join(own, few, "tokens", "doc_id", own.groupBy("tokens").agg(F.count("*").alias("n")))
         found = found.unionByName(equal.select("doc_id", "item_id", "start", n.alias("length"), n.alias("matches"), n.alias("item_tokens")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 

@@ -4,6 +4,7 @@ import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
 
+from quarry.llm import common
 from quarry.llm import decontamination as dc
 from quarry.llm.queries import QUERIES
 
@@ -92,7 +93,6 @@ def test_recall_of_seeds_at_every_length():
 
 
 def test_ids_of_any_type_and_hot_passages(spark, words, monkeypatch):
-    from quarry.llm import common
 
     monkeypatch.setattr(common, "HEAVY", 2)
     monkeypatch.setattr(common, "SALTS", 4)
@@ -124,6 +124,15 @@ def test_short_items_are_found_as_whole_lines(spark, tmp_path):
     assert {r["doc_id"] for r in cp.decontamination(spark, d, str(tmp_path)).collect()} == {3, 5}
 
 
+def test_a_word_on_a_line_is_no_leak(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 2)  # a line that many have is one key
+    docs = [(1, "Is it?\nYes.\nIt is, and so on."), (2, "yes"), (3, "A B C\nmore text"), (4, " a\nb, c "), *((i, "Said he:\nWhat is two and two") for i in range(5, 12))]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(7, "Yes."), (8, "a b c"), (9, "what is two and two?")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.overlaps(d, b, short=True).collect()}
+    assert got == {(2, 7), (4, 8), *((i, 9) for i in range(5, 12))}
+
+
 def test_empty_and_null(spark):
     d = spark.createDataFrame([(None, "a b c d e f g h i j k l m n"), (1, None)], "doc_id long, text string")
     b = spark.createDataFrame([(None, None), (2, "a b c d e f g h i j k l m n")], "item_id long, text string")
