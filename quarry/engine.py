@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 from collections.abc import Callable
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,20 @@ from quarry.streaming.sync import Result, Sync
 KNOWN_TOTALS, KNOWN_PAGES = 200, 200
 #: Searches whose hits are kept for the pages that follow.
 KNOWN_HITS = 4
+#: Files of the filter list's log that are kept apart, and seconds until one may be merged.
+LOG_FILES, LOG_SECONDS = 64, 3600
 #: Folders of rankings whose file lists are remembered.
 KNOWN_PARTS = 8
 
 
+class Imported(NamedTuple):
+    """Terms that an import added, distinct terms that its file holds, and terms that are filtered now."""
+
+    new: int
+    accepted: int
+    total: int
+
+
 class Keywords:
     """Rankings and the filter list, which lies outside the versioned data and outlives rebuilds."""
 
@@ -42,10 +53,24 @@ class Keywords:
         return spark.read.parquet(f"{store.root}/keyword_filter").groupBy("term").agg(F.min("created_at").alias("created_at"), F.max_by("removed", "seq").alias("gone")).where("not gone").select("term", "created_at").orderBy("term")
 
     def _log(self, terms: DataFrame, removed: bool) -> None:
-        log = f"{self._engine.store.root}/keyword_filter"
-        last = self._engine.spark.read.parquet(log).agg(F.max("seq")).first()[0] if self._engine.store.files.exists("keyword_filter") else None
-        rows = terms.select("term", F.current_timestamp().alias("created_at"), F.lit(removed).alias("removed"), F.lit((last or 0) + 1).cast("long").alias("seq"))
-        rows.write.mode("append").parquet(f"{self._engine.store.root}/keyword_filter")
+        """One more file of the log. Changes are in the order of their times, so that two drivers need not agree on numbers."""
+        rows = terms.select("term", F.current_timestamp().alias("created_at"), F.lit(removed).alias("removed"), F.lit(time.time_ns()).cast("long").alias("seq"))
+        rows.coalesce(1).write.mode("append").parquet(f"{self._engine.store.root}/keyword_filter")
+        self.compact()
+
+    def compact(self) -> int:
+        """Files of the log that are ``LOG_SECONDS`` old become one, if they are over ``LOG_FILES``; returns how many. Younger ones may be being read."""
+        store = self._engine.store
+        old = [n for n, age in store.files.children("keyword_filter").items() if n.endswith(".parquet") and age > LOG_SECONDS]
+        if len(old) <= LOG_FILES:
+            return 0
+        log = f"{store.root}/keyword_filter"
+        rows = self._engine.spark.read.parquet(*(f"{log}/{n}" for n in old)).groupBy("term")
+        last = rows.agg(F.min("created_at").alias("created_at"), F.max_by("removed", "seq").alias("removed"), F.max("seq").alias("seq"))
+        last.coalesce(1).write.mode("append").parquet(log)
+        for name in old:
+            store.files.delete(f"keyword_filter/{name}")
+        return len(old)
 
     def add(self, terms: list[str] | DataFrame) -> int:
         """Normalised terms that were not in the list before; returns how many."""
@@ -67,6 +92,14 @@ class Keywords:
     def load(self, path: str) -> int:
         return self.add(read_keywords(self._engine.spark, path))
 
+    def import_terms(self, path: str) -> Imported:
+        """``load``, with what the file holds and the list has afterwards; the same file once more changes nothing."""
+        terms = read_keywords(self._engine.spark, path).persist()
+        try:
+            return Imported(self.add(terms), terms.count(), self.filters().count())
+        finally:
+            terms.unpersist()
+
     def save(self, path: str) -> None:
         write_keywords(self.filters(), path)
 
@@ -183,7 +216,7 @@ class Engine:
         def run() -> Response:
             index = self.index()
             known = None if spec.by == "hash" else self._text_hits(spec, index)
-            return search(index.docs, spec, self.read("files").select("id", "preview"), index, count=self._total, known=known)
+            return search(index.docs, spec, self.store.looked_up, index, count=self._total, known=known)
 
         context = self.spark.sparkContext
         if tag:
@@ -201,7 +234,7 @@ class Engine:
     def latest(self, limit: Any = None, offset: Any = None) -> Response:
         n, skip = latest_page(limit, offset)
         rows = [r.asDict() for r in latest(self.read("docs"), n, skip).select(*LISTED).collect()]
-        return Response(with_previews(rows, self.read("files").select("id", "preview"), ""), self.count(), n, skip, False, None)
+        return Response(with_previews(rows, self.store.looked_up, ""), self.count(), n, skip, False, None)
 
     def typed(self, text: str) -> list[str]:
         """The words of a typed text: of Han characters by the stored counts, else runs of letters and digits."""
@@ -245,11 +278,13 @@ class Engine:
 
     def file_nodes(self, item: int) -> DataFrame:
         """The nodes of an item's files, as ``tree.flat_tree`` gives them."""
-        return tree.flat_tree(tree.file_rows(self.read("files").where(F.col("id") == item).select("id", "file_list")))
+        own = self.store.looked_up([item])
+        return tree.flat_tree(tree.file_rows((self.read("files").where("false") if own is None else own).select("id", "file_list")))
 
     def file_tree(self, item: int) -> list[dict] | None:
         """The same as a list in order, as a detail page shows it; None if there is no such item. A list is one cell of the source."""
-        if self.read("docs").where(F.col("id") == item).isEmpty():
+        own = self.store.looked_up([item])
+        if own is None or own.select("id").isEmpty():
             return None
         return [r.asDict() for r in self.file_nodes(item).orderBy("idx").collect()]
 

@@ -205,13 +205,18 @@ def page(found: DataFrame, spec: SearchSpec, most: int | None = None) -> DataFra
     return found.orderBy(*order).offset(spec.offset).limit(spec.limit)
 
 
-def with_previews(rows: list[dict], previews: DataFrame, query: str) -> list[dict]:
+#: Gives id and preview (and more) of the items of some ids; None if there is none of them.
+Previews = Callable[[list[int]], DataFrame | None]
+
+
+def with_previews(rows: list[dict], previews: Previews, query: str) -> list[dict]:
     """The rows of a page with the preview of each; without a stored one, an empty list. Only the page's ids are looked up."""
     found = {}
     for at in range(0, len(rows), LOOKED_UP):
         ids = [r["id"] for r in rows[at : at + LOOKED_UP]]
-        own = previews.where(F.col("id").isin(*ids)).select("id", picked_preview(F.col("preview"), words(query)).alias("preview"))
-        found |= {r["id"]: r["preview"] for r in own.collect()}
+        own = previews(ids)
+        if own is not None:
+            found |= {r["id"]: r["preview"] for r in own.select("id", picked_preview(F.col("preview"), words(query)).alias("preview")).collect()}
     return [r | {"preview": [f.asDict() for f in found.get(r["id"]) or []]} for r in rows]
 
 
@@ -234,7 +239,7 @@ class Response:
 def search(
     items: DataFrame,
     raw: SearchSpec | dict,
-    previews: DataFrame | None = None,
+    previews: Previews | None = None,
     index: Index | None = None,
     most: int | None = None,
     count: Callable[[SearchSpec, DataFrame], int] | None = None,
@@ -259,7 +264,7 @@ def search(
 def _page_of(
     items: DataFrame,
     spec: SearchSpec,
-    previews: DataFrame | None,
+    previews: Previews | None,
     index: Index | None,
     hits: DataFrame | None,
     most: int | None,

@@ -580,6 +580,20 @@ def stored_cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "id long, page int")
 
 
+@query(f"SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY round(score, 12), id))::INTEGER AS place FROM ({_ranked_sql('low c12', items=ITEMS)}) ORDER BY place LIMIT 200")
+def stored_relevance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 200 by relevance: hits alone are cut, then joined with their items."""
+    found = stored(spark, sf_dir).search(query="low c12", sort_by="relevance", limit=200)
+    return _rows(spark, [(r["id"], round(r["score"], 6), i) for i, r in enumerate(found.items, 1)], "id long, score double, place int")
+
+
+@query(f"SELECT id, name, (SELECT count(*) FROM ({_hits_sql('medium png', items=ITEMS)}) WHERE {_where('medium png')}) AS total FROM ({_hits_sql('medium png', items=ITEMS)}) WHERE {_where('medium png')} ORDER BY id LIMIT 120 OFFSET 30")
+def stored_id_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page by id, which hits alone give."""
+    found = stored(spark, sf_dir).search(query="medium png", sort_by="id", order="asc", limit=120, offset=30)
+    return _rows(spark, [(r["id"], r["name"], found.total) for r in found.items], "id long, name string, total long")
+
+
 @query(f"SELECT id, round(score, 6) AS score FROM ({_ranked_sql('urgent p12', items=ITEMS)})")
 def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit's rank value from the stored postings."""

@@ -58,6 +58,12 @@ def extent(source: DataFrame, key: str = "id") -> tuple[int, int] | None:
     return None if low is None else (low, high)
 
 
+def sized_extent(source: DataFrame, key: str = "id") -> tuple[int, int, int] | None:
+    """Smallest and largest id, and the number of rows; None for an empty table."""
+    low, high, n = source.agg(F.min(key), F.max(key), F.count(key)).first()
+    return None if low is None else (low, high, n)
+
+
 def since(source: DataFrame, watermark: int | None, upto: int | None = None, key: str = "id") -> DataFrame:
     """Rows after the watermark, up to an id fixed beforehand; both filters reach the scan."""
     out = source

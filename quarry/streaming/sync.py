@@ -17,11 +17,13 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from quarry.operators.index import length, postings, term_rows
 from quarry.operators.keywords import MIN_DOCS, keyword_stats, merged, ranked
 from quarry.operators.suggest import grams
-from quarry.sources.items import ITEM_SCHEMA, check_schema, extent, file_changes, fingerprinted, since, with_file_facts
+from quarry.sources.items import ITEM_SCHEMA, check_schema, extent, file_changes, fingerprinted, since, sized_extent, with_file_facts
 from quarry.streaming.store import FORMAT, Files, Manifest, Segment, Store
 
 #: Rows of small segments that make a compaction worth while; segments of one size class that do.
 COMPACT_ROWS, FANOUT = 50_000, 4
+#: Rows of a slot of files.
+SLOT_ROWS = 20_000
 
 
 @dataclass
@@ -70,6 +72,18 @@ class Progress(StreamingQueryListener):
         self.known.setdefault(str(event.id), {}).update(active=False, error=event.exception)
 
 
+def slot_width(low: int, high: int, rows: int | None) -> int:
+    """Ids that a slot holds: as many as share ``SLOT_ROWS`` rows where they are dense."""
+    slots = max(1, -(-(rows or 0) // SLOT_ROWS))
+    return max(1, -(-(high - low) // slots))
+
+
+def slotted(rows: DataFrame, low: int, width: int) -> DataFrame:
+    """``rows`` with slot, those of one slot together and in order."""
+    slot = F.floor((F.col("id") - F.lit(low + 1)) / F.lit(width)).cast("long")
+    return rows.withColumn("slot", slot).repartition("slot").sortWithinPartitions("slot", "id")
+
+
 class Sync:
     """The runs that change a store: one at a time in this driver, and whole against those of other drivers.
 
@@ -92,16 +106,18 @@ class Sync:
         result.seconds[name] = round(result.seconds.get(name, 0.0) + time.perf_counter() - began, 3)
         return out
 
-    def write_segment(self, rows: DataFrame, low: int, high: int, result: Result) -> Segment:
+    def write_segment(self, rows: DataFrame, low: int, high: int, result: Result, n: int | None = None) -> Segment:
         """All parts of a segment. The source is read and its file lists are parsed once, for the files part, from
-        which the other parts are made. Postings are ordered by term, so a look-up reads few row groups."""
+        which the other parts are made. Postings are ordered by term, so a look-up reads few row groups; files lie in
+        slots of ids, so one of an item opens one file. ``n``: rows, as far as they are known."""
         name = f"{high}-{uuid.uuid4().hex[:12]}"
         at = lambda part: self.store.place(name, part)
         items = fingerprinted(with_file_facts(rows)).withColumns({"name": F.coalesce("name", F.lit("")), "total_size": F.coalesce("total_size", F.lit(0)), "fetched_at": F.coalesce("fetched_at", F.lit(0))})
         narrow = ("id", "name", "infohash", "magnet", "total_size", "fetched_at", "file_count")
         wide = items.select(*narrow, "files", "file_list", "preview", "body", "fingerprint")
-        self._step(result, "files", lambda: wide.sortWithinPartitions("id").write.mode("overwrite").parquet(at("files")))
-        files = self.store.spark.read.parquet(at("files"))
+        width = slot_width(low, high, n)
+        self._step(result, "files", lambda: slotted(wide, low, width).write.partitionBy("slot").mode("overwrite").parquet(at("files")))
+        files = self.store.spark.read.parquet(at("files")).drop("slot")
         texts = files.select("id", "name", "body")
         docs = files.select(*narrow, F.lower("infohash").alias("hash_key"), length().alias("dl"))
         terms = postings(texts).repartitionByRange("term").sortWithinPartitions("term", "id")
@@ -115,7 +131,7 @@ class Sync:
         self._step(result, "terms", lambda: self._count_terms(name))
         own = self.store.spark.read.parquet(at("docs")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         result.rows = own["n"]
-        return Segment(name, low, high, own["n"], own["dl"])
+        return Segment(name, low, high, own["n"], own["dl"], width)
 
     def _count_terms(self, segment: str) -> None:
         found = self.store.spark.read.parquet(self.store.place(segment, "postings"))
@@ -188,8 +204,8 @@ class Sync:
 
     def _rebuild(self, source: DataFrame) -> Result:
         result, before = Result("rebuild"), self.store.manifest()
-        ends = self._step(result, "extent", lambda: extent(source))
-        made = self.write_segment(since(source, None, ends[1]), ends[0] - 1, ends[1], result) if ends else None
+        ends = self._step(result, "extent", lambda: sized_extent(source))
+        made = self.write_segment(since(source, None, ends[1]), ends[0] - 1, ends[1], result, ends[2]) if ends else None
         result.span = ends[1] - ends[0] + 1 if ends else 0
 
         def change(now: Manifest) -> Manifest:
@@ -223,10 +239,10 @@ class Sync:
         if now.format != FORMAT or now.version == 0:
             return self._rebuild(source)
         result = Result("sync")
-        ends = self._step(result, "extent", lambda: extent(since(source, now.watermark)))
+        ends = self._step(result, "extent", lambda: sized_extent(since(source, now.watermark)))
         if ends:
             low = now.watermark if now.watermark is not None else ends[0] - 1
-            made = self.write_segment(since(source, now.watermark, ends[1]), low, ends[1], result)
+            made = self.write_segment(since(source, now.watermark, ends[1]), low, ends[1], result, ends[2])
             result.span = ends[1] - low
             self._add(made, result)
             self._rank(result)
@@ -363,10 +379,14 @@ class Sync:
         names = tuple(s.name for s in own)
         name = f"{max(s.high for s in own)}-{uuid.uuid4().hex[:12]}"
         parts = {part: self.store.read(part, state, names) for part in ("docs", "files", "postings")}
-        parts = {"docs": parts["docs"].sortWithinPartitions("id"), "files": parts["files"].sortWithinPartitions("id"), "postings": parts["postings"].repartitionByRange("term").sortWithinPartitions("term", "id")}
+        low, high = min(s.low for s in own), max(s.high for s in own)
+        width = slot_width(low, high, sum(state.live(s)[0] for s in own))
+        parts = {"docs": parts["docs"].sortWithinPartitions("id"), "files": slotted(parts["files"], low, width), "postings": parts["postings"].repartitionByRange("term").sortWithinPartitions("term", "id")}
         parts["keyword_stats"] = merged(self.store.keyword_counts(state, names))
         for part, rows in parts.items():
-            self._step(result, part, lambda rows=rows, part=part: rows.write.mode("overwrite").parquet(self.store.place(name, part)))
+            writer = rows.write.mode("overwrite")
+            writer = writer.partitionBy("slot") if part == "files" else writer
+            self._step(result, part, lambda writer=writer, part=part: writer.parquet(self.store.place(name, part)))
         self._step(result, "terms", lambda: self._count_terms(name))
         live = [state.live(s) for s in own]
         result.rows = sum(n for n, _ in live)
@@ -382,7 +402,7 @@ class Sync:
             for target in gone:
                 places = [self.store.place(s.name, f"{part}-{s.attempt}/segment={target}") for s in own if target in s.gone]
                 self.store.spark.read.parquet(*places).write.parquet(self.store.place(name, f"{part}-{attempt}/segment={target}"))
-        made = Segment(name, min(s.low for s in own), max(s.high for s in own), result.rows, sum(d for _, d in live), attempt if gone else "", gone)
+        made = Segment(name, low, high, result.rows, sum(d for _, d in live), width, attempt if gone else "", gone)
 
         def change(now: Manifest) -> Manifest | None:
             if not set(names) <= set(now.names) or any(set(names) & set(s.gone) for s in now.segments if s.name not in state.names):

@@ -278,6 +278,40 @@ def test_keywords_outlive_rebuilds(spark, engine, tmp_path):
     engine.keywords.save(str(tmp_path / "list"))
     engine.keywords.remove("day")
     assert engine.keywords.load(str(tmp_path / "list")) == 1
+    (tmp_path / "more").write_text("# head\nDay\nday # again\nnew one\n\n...\n")
+    assert tuple(engine.keywords.import_terms(str(tmp_path / "more"))) == (1, 2, 2)
+    assert tuple(engine.keywords.import_terms(str(tmp_path / "more"))) == (0, 2, 2)
+
+
+def test_the_log_of_the_filter_list_is_merged(spark, tmp_path, monkeypatch):
+    own = Engine(spark, str(tmp_path / "store")).keywords
+    own.add(["one", "two", "three"])
+    own.remove("two")
+    own.add(["four"])
+    before = own.filters().collect()
+    monkeypatch.setattr("quarry.engine.LOG_FILES", 2)
+    assert own.compact() == 0  # too young
+    monkeypatch.setattr("quarry.engine.LOG_SECONDS", -1)
+    assert own.compact() == 3 and own.filters().collect() == before and own.filtered() == {"one", "three", "four"}
+    assert own.add(["two"]) == 1 and own.add(["two"]) == 0
+
+
+def test_one_file_is_opened_for_an_item(spark, tmp_path, monkeypatch):
+    from quarry.streaming import sync
+
+    monkeypatch.setattr(sync, "SLOT_ROWS", 10)
+    rows = [item(3 * i, f"Name {i}", [(f"f{i}.mkv", i)]) for i in range(-20, 45)]
+    e = Engine(spark, str(tmp_path / "store"), hot_min_docs=1)
+    e.rebuild(spark.createDataFrame(rows, ITEM_SCHEMA))
+    assert len(e.read("files").inputFiles()) > 4
+    for i in (-60, 0, 33, 132):
+        assert len(e.store.looked_up([i]).inputFiles()) == 1
+        assert [n["name"] for n in e.file_tree(i)] == [f"f{i // 3}.mkv"]
+    assert e.file_tree(1) is None and e.file_tree(10**9) is None and e.file_tree(-61) is None
+    e.runs.append(spark.createDataFrame([item(33, "Else", [("else.flac", 1)])], ITEM_SCHEMA), 0)
+    assert [n["name"] for n in e.file_tree(33)] == ["else.flac"] and [n["name"] for n in e.file_tree(36)] == ["f12.mkv"]
+    page = e.search(query="name", limit=3, sort_by="id", order="asc").items
+    assert [[f["path"] for f in r["preview"]] for r in page] == [[], [], []] and e.latest(1).items[0]["preview"] == [{"path": "f44.mkv", "size": 44.0}]
 
 
 def test_file_tree(engine):
