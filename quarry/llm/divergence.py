@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint, column
+from quarry.llm.common import checkpoint, column, forget
 
 #: A term; a document frequency that keeps it; ranks that the ``term`` part shows.
 TERM, LEAST_DOCS, MOST_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", 3, 200
@@ -42,7 +42,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0))
+    # Of a text that is ASCII throughout, the plain lower case is the same, and cheaper.
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
 
 
 def group_counts(docs: DataFrame) -> DataFrame:
@@ -54,18 +56,29 @@ def group_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("docs")).alias("count"), F.sum("docs").alias("docs"))
 
 
-def dense_shares(counts: DataFrame, groups: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, source (null: the language itself), term, count and p of every group and every kept term of its language."""
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count")).where(F.col("docs") >= least_docs)
-    kept = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part"), "term", F.col("count").alias("whole"))
-    met = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(kept, ["lang", "part"])
-    used = met.join(counts.select("lang", "source", "term", "count"), ["lang", "source", "term"], "left")
-    own = used.select("lang", "source", "term", F.coalesce("count", F.lit(0)).alias("count"))
-    every = own.unionByName(kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.col("whole").alias("count")))
-    sizes = every.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("v"))
-    sized = every.alias("e").join(sizes.alias("s"), (F.col("e.lang") == F.col("s.lang")) & F.col("e.source").eqNullSafe(F.col("s.source")))
-    share = F.expr(f"cast(e.count + 1 as decimal(20,0)) * cast({UNIT} as decimal(10,0)) div cast(s.n + s.v as decimal(20,0))")
-    return sized.select("e.lang", "e.source", "e.term", "e.count", (1 + share).alias("p"))
+def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """lang, term and count (in the whole language) of the terms in ``least_docs`` documents of their language."""
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
+    return kept.where(F.col("docs") >= least_docs).select("lang", "term", "count")
+
+
+def group_sizes(counts: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFrame:
+    """lang, source and n of every group, with n_lang of its language: occurrences of kept terms; and v, the number of these terms."""
+    langs = kept.groupBy("lang").agg(F.sum("count").alias("n_lang"), F.count("*").alias("v"))
+    own = counts.select("lang", "source", "term", "count").join(kept.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("count").alias("n"))
+    return groups.join(own, ["lang", "source"], "left").join(langs, "lang").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), "n_lang", "v")
+
+
+def dense_shares(counts: DataFrame, sizes: DataFrame, kept: DataFrame) -> DataFrame:
+    """lang, source, term, used (whether the group has it), p and q (the language's p) of every group and every kept term of its language."""
+    part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).alias("part")
+    every = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(kept.select("lang", part, "term", F.col("count").alias("whole")), ["lang", "part"])
+    own = every.join(counts.select("lang", "source", "term", "count"), ["lang", "source", "term"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+
+    def share(count: str, n: str) -> Column:
+        return F.expr(f"1 + cast({count} + 1 as decimal(20,0)) * cast({UNIT} as decimal(10,0)) div cast({n} + v as decimal(20,0))")
+
+    return own.select("lang", "source", "term", (F.col("count") > 0).alias("used"), share("count", "n").alias("p"), share("whole", "n_lang").alias("q"))
 
 
 #: (p - q)^2 / q, rounded down; at least 0.
@@ -80,10 +93,12 @@ def divergence(
     named = docs.select(F.coalesce(column(docs, text), empty).alias("text"), F.coalesce(column(docs, lang), empty).alias("lang"), F.coalesce(column(docs, source), empty).alias("source"))
     counts = checkpoint(group_counts(named))
     groups = checkpoint(named.select("lang", "source").distinct())
-    shares = checkpoint(dense_shares(counts, groups, least_docs))
-    own = shares.where("source is not null")
+    kept = checkpoint(kept_terms(counts, least_docs))
+    sizes = checkpoint(group_sizes(counts, groups, kept))
+    shares = checkpoint(dense_shares(counts, sizes, kept))
+    forget(counts)
 
-    one, other = own.alias("a"), own.alias("b")
+    one, other = shares.alias("a"), shares.alias("b")
     met = one.join(other, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.source") < F.col("b.source")))
     # Each two groups meet once a term, for both directions.
     two = met.select("a.lang", "a.source", F.col("b.source").alias("item"), F.col("a.p").alias("p"), F.col("b.p").alias("q"))
@@ -93,9 +108,7 @@ def divergence(
     others = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source <> item")
     pairs = others.join(sums, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
-    whole = shares.where("source is null").select("lang", "term", F.col("p").alias("q"))
-    used = own.where(F.col("count") > 0).join(whole, ["lang", "term"]).where("p > q")
-    terms_ = used.select("lang", "source", F.col("term").alias("item"), F.expr(GAP).alias("value"))
+    terms_ = shares.where("used and p > q").select("lang", "source", F.col("term").alias("item"), F.expr(GAP).alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows, part: rows.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
