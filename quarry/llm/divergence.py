@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import checkpoint, column, forget
 
-#: A term; a document frequency that keeps it; ranks that the ``term`` part shows.
-TERM, LEAST_DOCS, MOST_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", 3, 200
+#: What stands between terms; a document frequency that keeps one; ranks that the ``term`` part shows.
+BETWEEN, LEAST_DOCS, MOST_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", 3, 200
 UNIT = 1_000_000_000
 #: A language's vocabulary is dealt over so many keys where groups meet it.
 PARTS = 64
@@ -44,7 +44,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def terms(text: Column) -> Column:
     # Of a text that is ASCII throughout, the plain lower case is the same, and cheaper.
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    # The matches of the terms' pattern are what its complement leaves between.
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def group_counts(docs: DataFrame) -> DataFrame:
