@@ -83,23 +83,24 @@ def spot(key: Column | str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SPOTS)).cast("int")
 
 
-def hot_keys(counts: DataFrame, key: str) -> DataFrame | None:
-    """The keys with over ``HEAVY`` rows, the ``SPOTS`` with most of them, so that they can be broadcast; None if there is none.
+def hot_keys(counts: DataFrame, key: str, heavy: int | None = None) -> DataFrame | None:
+    """The keys with over ``heavy`` rows (``HEAVY``), the ``SPOTS`` with most of them, so that they can be broadcast; None if there is none.
 
     ``counts``: key and n, the rows with it. Every key left out has at most one row in SPOTS.
     """
-    found = counts.where((F.col("n") > HEAVY) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(SPOTS).select(key)
+    found = counts.where((F.col("n") > (HEAVY if heavy is None else heavy)) & F.col(key).isNotNull()).orderBy(F.desc("n")).limit(SPOTS).select(key)
     rows = found.collect()
     return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, how: str = "inner", heavy: int | None = None) -> DataFrame:
     """``many`` joined with ``one`` on ``key``, where very many rows of ``many`` may have one key.
 
     Rows of such a key, and in a left join those of a null key, are dealt over ``SALTS`` keys by a hash of
-    ``by``. ``counts``: key and n, the rows of ``many`` with it.
+    ``by``. ``counts``: key and n, the rows of ``many`` with it. ``heavy``: rows from which a key is dealt, more than
+    ``HEAVY`` where rows are narrow.
     """
-    hot = hot_keys(counts, key)
+    hot = hot_keys(counts, key, heavy)
     dealt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
     if hot is None:
         if how == "inner":

@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import by_key, checkpoint, column, forget, hot_keys, spread_join
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Turns from which a conversation is dealt over many tasks; a turn is a narrow row here.
+LONG = 10_000
 #: Depths that one block of a chain holds; blocks of turns that a very long conversation is cut into.
 BLOCK, CUTS = 512, 255
 #: Numbers that one stretch of a node's ends holds where they are dense.
@@ -57,7 +59,7 @@ def turn_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     narrow = rows.select(column(rows, conv).cast("long").alias("conv"), column(rows, turn).cast("long").alias("turn"), F.md5(whole).alias("digest"), words.alias("words"))
     narrow = checkpoint(narrow.where("conv is not null"))
     # Very long conversations are cut into blocks by shares of their turns; there are fewer of them than a broadcast can hold.
-    large = hot_keys(narrow.groupBy("conv").agg(F.count("*").alias("n")), "conv")
+    large = hot_keys(narrow.groupBy("conv").agg(F.count("*").alias("n")), "conv", LONG)
     cut = narrow.withColumn("block", F.lit(0))
     if large is not None:
         shares = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
@@ -90,7 +92,7 @@ def rebuilt(turns: DataFrame, every: int = 20, most: int = 4) -> tuple[DataFrame
     lent = convs.join(heads, "first").where("place <= h").select("conv", F.col("place").alias("depth"), "digest", "words")
     taken = sizes.select(F.col("conv").alias("first"), F.col("own").alias("there"))
     convs = checkpoint(convs.join(taken, "first", "left").select("conv", "h", F.least("h", F.coalesce("there", F.lit(0))).alias("got"), "own"))
-    kept = spread_join(turns, convs.select("conv", "h", "got"), "conv", "place", convs.select("conv", F.col("own").alias("n")))
+    kept = spread_join(turns, convs.select("conv", "h", "got"), "conv", "place", convs.select("conv", F.col("own").alias("n")), heavy=LONG)
     kept = kept.where("place > h").select("conv", (F.col("got") + F.col("place") - F.col("h")).alias("depth"), "digest", "words")
     lengths = convs.select("conv", (F.col("got") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("length"))
     return lengths, kept.unionByName(lent)
@@ -227,7 +229,7 @@ def prefix_trie(lengths: DataFrame, turns: DataFrame) -> DataFrame:
     real = hung.where("first <= length")
 
     sizes = real.select("conv", F.col("length").alias("n"))
-    nodes = spread_join(paths, real.select("conv", "first", "length", "parent"), "conv", "depth", sizes).where("depth >= first")
+    nodes = spread_join(paths, real.select("conv", "first", "length", "parent"), "conv", "depth", sizes, heavy=LONG).where("depth >= first")
     known = minima.select(*NODE, "n_convs")
     nodes = nodes.join(known, NODE, "left").withColumn("n_convs", F.coalesce("n_convs", F.lit(1)))
     nodes = checkpoint(nodes.withColumn("saved", (F.col("n_convs") - 1) * F.col("words")))

@@ -84,6 +84,7 @@ def test_rebuilt_conversations(spark):
 
 def test_long_conversations_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(common, "HEAVY", 3)
+    monkeypatch.setattr(prefix_trie, "LONG", 3)
     monkeypatch.setattr(prefix_trie, "BLOCK", 4)
     monkeypatch.setattr(prefix_trie, "STRETCH", 3)
     rows = random_rows(3, 40)
