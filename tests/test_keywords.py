@@ -78,3 +78,13 @@ def test_addresses():
     no = [("10.0.0.1", "11.0.0.0/8"), ("x", "10.0.0.0/8"), ("10.0.0.1", "10.0.0.0/40"), ("::1", "127.0.0.1"), ("", "0.0.0.0/0")]
     assert all(compare.address_matches(*x) for x in yes)
     assert not any(compare.address_matches(*x) for x in no)
+
+
+def test_grams_are_runs_of_characters(spark):
+    words = spark.createDataFrame([("c12", 0), ("Aé", 1)], "term string, rank int")
+    found = {}
+    for r in suggest.grams(words).collect():
+        found.setdefault(r["term"], []).append(r["gram"])
+    assert {t: sorted(g) for t, g in found.items()} == {"c12": sorted(["c", "1", "2", "c1", "12", "c12"]), "Aé": sorted(["a", "é", "aé"])}
+    # A word behind the first ranks is found by what it holds.
+    assert [r["term"] for r in suggest.gram_candidates(words, suggest.grams(words), ["c12"], 0).collect()] == ["c12"]
