@@ -335,3 +335,10 @@ def test_pages_are_remembered_until_the_state_changes(spark, engine):
     engine.sync(spark.createDataFrame(FIRST + SECOND, ITEM_SCHEMA))
     assert engine.search(query="movie").total == 2
     engine.cancel("one")
+
+
+@pytest.mark.parametrize("least", [1, 0])  # from the stored ranking, and from the statistics
+def test_terms_left_out_make_room_for_others(engine, least):
+    every = [r["term"] for r in engine.keywords.top(min_docs=least).collect()]
+    assert len(every) > 3
+    assert [r["term"] for r in engine.keywords.top(2, least, without=(every[0], every[2])).collect()] == [every[1], every[3]]
