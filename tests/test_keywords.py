@@ -1,3 +1,4 @@
+from oracle import same
 from quarry import queries
 from quarry.operators import compare, keywords, suggest
 
@@ -88,3 +89,8 @@ def test_grams_are_runs_of_characters(spark):
     assert {t: sorted(g) for t, g in found.items()} == {"c12": sorted(["c", "1", "2", "c1", "12", "c12"]), "Aé": sorted(["a", "é", "aé"])}
     # A word behind the first ranks is found by what it holds.
     assert [r["term"] for r in suggest.gram_candidates(words, suggest.grams(words), ["c12"], 0).collect()] == ["c12"]
+
+
+def test_ranks_have_no_bound(spark, data, monkeypatch):
+    monkeypatch.setattr(keywords, "MAX_TERMS", 3)
+    same(queries.hot_keyword_ranks(spark, data), queries.ORACLES["hot_keyword_ranks"], data)
