@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from quarry import queries
 from quarry.operators import tree
 
 SCHEMA = "id long, pos int, path string, size double"
@@ -85,3 +86,14 @@ def test_one_exchange_and_no_join(spark):
     files = spark.range(8).selectExpr("id % 2 as id", "cast(id as int) pos", "concat('a/', id) path", "1.0D size")
     plan = tree.flat_tree(files)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_tasks_grow_with_the_files(spark, data, monkeypatch):
+    """A task's share, and so its memory, stays the same; nothing is dealt again after that."""
+    monkeypatch.setattr(tree, "TASK_FILES", 100)
+    files = queries.line_files(spark, data)
+    tasks = -(-files.count() // 100)
+    assert tasks > 4 and files.rdd.getNumPartitions() == tasks
+    for name in ("flat_tree", "dir_rollup", "category_prune", "sorted_children", "category_summary"):
+        plan = queries.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(id" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan, name
