@@ -145,3 +145,17 @@ def test_precision_of_lists(spark):
     lists = spark.createDataFrame([("movie", [1, 2, 9]), ("c", [2, 3]), ("x", [])], "query string, ids array<long>")
     assert list_precision(lists, paths).collect()[0][0] == 0.5
     assert list_precision(lists.where("query = 'x'"), paths).collect()[0][0] == 1.0
+
+
+def test_tasks_grow_with_the_postings(items, spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_POSTINGS", 1)
+    monkeypatch.setattr(search, "BROADCAST_IDS", 0)
+    found = index.postings(items)
+    own = index.Index(items, found, index.doc_stats(items), index.corpus_stats(index.doc_stats(items)), index.term_rows(found))
+    rows = found.where("term = 'movie' or term like '2%'").count()
+    hits = search.index_hits(own, "movie 2")
+    assert rows > 1 and "REPARTITION_BY_NUM" in hits._jdf.queryExecution().executedPlan().toString()
+    plain = search.index_hits(index.build(items), "movie 2")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, plain.collect()))
+    ranked = [sorted((r["id"], round(r["score"], 9)) for r in search.index_ranked(i, "movie 2").collect()) for i in (own, index.build(items))]
+    assert ranked[0] == ranked[1]
