@@ -3,8 +3,11 @@ import time
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.engine import Engine
 from quarry.sources.items import ITEM_SCHEMA, SourceError
+from quarry.streaming import sync
 from quarry.streaming.store import FORMAT
 from quarry.streaming.sync import Busy
 
@@ -342,3 +345,16 @@ def test_terms_left_out_make_room_for_others(engine, least):
     every = [r["term"] for r in engine.keywords.top(min_docs=least).collect()]
     assert len(every) > 3
     assert [r["term"] for r in engine.keywords.top(2, least, without=(every[0], every[2])).collect()] == [every[1], every[3]]
+
+
+def test_a_term_of_most_items_is_no_single_task_s(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = sync.by_term(spark.range(400).selectExpr("'hot' as term", "'body' as field", "id", "1 as tf"))
+        assert rows.select(F.spark_partition_id().alias("task")).groupBy("task").count().agg(F.max("count")).first()[0] < 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_task_for_each_slot(spark):
+    assert sync.slotted(spark.range(1, 101).select("id"), 0, 100, 10).rdd.getNumPartitions() == 10
