@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quarry import queries
 from quarry.engine import Engine
 from quarry.operators.readings import possible_words, readings, segmented
 from quarry.operators.suggest import suggestions
@@ -97,3 +98,8 @@ def test_typed_characters_and_readings_in_the_engine(spark, tmp_path):
         assert engine.suggest(text) == [r["term"] for r in suggestions(ranking, engine.typed(text)).collect()]
     engine.keywords.add(["高清"])
     assert engine.suggest("高清影视") == ["影视"] and engine.keywords.top(2).select(F.collect_list("term")).first()[0] == ["影视", "重庆"]
+
+
+def test_the_words_are_made_once(spark, data):
+    plan = queries.term_readings(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
