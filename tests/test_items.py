@@ -78,3 +78,11 @@ def test_changes_are_looked_for_in_the_whole_table(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     assert all(n / 8 < kinds[k] < n / 2 for k in ("new", "changed"))
     assert queries.file_changes(spark, data).where("kind = 'changed' and id >= 150").count() > 0
+
+
+def test_elements_that_are_no_files(spark):
+    from quarry.sources.items import parsed_files
+
+    texts = ['[{"path":"a","size":1},5,"s",null,[{"path":"in"}],{"path":{"path":"q"}},{"path":true},{"size":4}]', '[{"path":"b","size":"abc"},{"path":"c","size":"1e3"},{"path":"d","size":{"a":1}},{"path":"e","size":"NaN"}]', '{"path":"f","more":[1]}', '{"path":1}', "1"]
+    found = spark.createDataFrame(list(enumerate(texts)), "id long, files string").select("id", parsed_files(F.col("files")).alias("p")).collect()
+    assert {r["id"]: [tuple(f) for f in r["p"]] for r in found} == {0: [("a", 1.0)], 1: [("b", 0.0), ("c", 1000.0), ("d", 0.0), ("e", 0.0)], 2: [("f", 0.0)], 3: [], 4: []}

@@ -358,3 +358,27 @@ def test_a_term_of_most_items_is_no_single_task_s(spark):
 
 def test_a_task_for_each_slot(spark):
     assert sync.slotted(spark.range(1, 101).select("id"), 0, 100, 10).rdd.getNumPartitions() == 10
+
+
+def test_a_build_deals_no_postings(spark, tmp_path, data):
+    """Postings, the largest part, are counted and put in order where items are read; lists are ordered once."""
+    from quarry.operators import index
+    from quarry.queries import item_source
+
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(item_source(spark, data))
+    texts = [None, "", "a a a b", "Été ete ÉTÉ x", "!!!", "22 1 22 p1/p1", "漢字 漢字 x", "the " * 3000]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    items = spark.createDataFrame(rows, "id long, name string, body string")
+    own, dealt = index.item_postings(items), index.postings(items)
+    assert "Exchange" not in plan(own.sortWithinPartitions("term", "id"))
+    assert sorted(own.collect()) == sorted(dealt.collect()) and own.dtypes == dealt.dtypes
+    e = Engine(spark, str(tmp_path / "dealt"), hot_min_docs=1)
+    seen = []
+    e.runs.progress = lambda step: seen.append(step)
+    e.rebuild(item_source(spark, data))
+    stored = e.read("postings").withColumn("file", F.input_file_name()).collect()
+    by_file = {}
+    for r in stored:
+        by_file.setdefault(r["file"], []).append((r["term"].encode(), r["id"]))
+    assert {"postings", "terms", "ranking"} <= set(seen) and all(own == sorted(own) for own in by_file.values())
